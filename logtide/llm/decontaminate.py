@@ -57,8 +57,8 @@ def _sized(df: DataFrame) -> DataFrame:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """Distinct (item_id, length, window) of (item_id, text)."""
-    words = items.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
+    """Distinct (item_id, length, window) of (item_id, words)."""
+    words = items.select("item_id", "words").where(F.size("words") > 0)
     words = words.withColumn("length", F.least(F.lit(WINDOW), F.size("words")))
     return words.select("item_id", "length", F.explode(_text_at("words", F.col("length"))).alias("window")).distinct()
 
@@ -68,9 +68,10 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text_of(F.col("text")).alias("text"))
     rows = rows.withColumn("print", F.xxhash64("text")).withColumn("words", words_of(F.col("text")))
     counted = saved(with_fingerprints(rows).select("doc_id", "print", F.size("words").alias("n_words"), "prints"), "leak-prints")
-    windows = saved(item_windows(items), "leak-windows")
-    item_words = items.select(words_of(F.col("text")).alias("words"))
-    known = saved(with_fingerprints(item_words).select(F.explode("prints").alias("fp")).distinct(), "leak-known")
+    # Written before they are exploded: a filter on the exploded array would else compute it anew for each element.
+    item_prints = saved(with_fingerprints(items.select("item_id", words_of(F.col("text")).alias("words"))), "leak-items")
+    windows = saved(item_windows(item_prints), "leak-windows")
+    known = saved(item_prints.select(F.explode("prints").alias("fp")).distinct(), "leak-known")
 
     met = counted.select("doc_id", "print", F.explode("prints").alias("fp")).join(_sized(known), "fp", "left_semi")
     candidates = saved(met.select("doc_id", "print").distinct(), "leak-candidates")
