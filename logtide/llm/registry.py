@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import audio, decontaminate, licenses, mixing, warc
+from . import audio, decontaminate, langid, licenses, mixing, pseudonyms, secrets, warc
 
 QUERIES = {
+    "op1_hyperdimensional_language": langid.query,
+    "op2_inferred_secrets": secrets.query,
     "op3_entropy_mix": mixing.query,
     "op4_warc_revisits": warc.query,
+    "op5_feistel_pseudonyms": pseudonyms.query,
     "op6_winnowing": decontaminate.query,
     "op9_license_digests": licenses.query,
     "op10_audio_features": audio.query,
