@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, decontaminate, langid, licenses, mixing, near_duplicates, pseudonyms, secrets, warc
+from . import audio, decontaminate, langid, licenses, line_dedup, mixing, near_duplicates, pseudonyms, secrets, warc
 
 QUERIES = {
     "op1_hyperdimensional_language": langid.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_warc_revisits": warc.query,
     "op5_feistel_pseudonyms": pseudonyms.query,
     "op6_winnowing": decontaminate.query,
+    "op7_line_dedup": line_dedup.query,
     "op8_jaccard_components": near_duplicates.query,
     "op9_license_digests": licenses.query,
     "op10_audio_features": audio.query,
