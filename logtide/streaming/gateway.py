@@ -15,7 +15,7 @@ from ..functions.layout import date_of
 from ..operators.routing import fan_out, route
 from ..schemas import REQUEST
 
-MAX_AGE, MAX_BYTES = "60 seconds", "8m"
+MAX_AGE, MAX_BYTES = "60 seconds", 8 << 20
 
 
 def requests(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
