@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -46,3 +47,11 @@ def ascii_lower(col: Column) -> Column:
 
 def text_of(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit(""))
+
+
+def with_fields(df: DataFrame, *fields: tuple[str, str]) -> StructType:
+    """A new schema: that of ``df`` and further (name, type) fields."""
+    schema = StructType(list(df.schema.fields))
+    for name, kind in fields:
+        schema.add(name, kind)
+    return schema

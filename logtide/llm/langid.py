@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, saved
+from .common import read, with_fields
 
 DIMENSION, GRAM = 512, 3
 TABLE_ROWS, CHUNK = 40_000, 8_192
@@ -192,8 +192,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
                 langs, scores = classify(piece.column(place).to_pylist(), names, matrix)
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*piece.schema.names, "lang_pred", "score"])
 
-    schema = kept.schema.add("lang_pred", "string").add("score", "double")
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, with_fields(kept, ("lang_pred", "string"), ("score", "double")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

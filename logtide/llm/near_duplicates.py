@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, saved
+from .common import read, saved, with_fields
 from .components import components
 from .shingles import set_id, shingle_set
 
@@ -297,7 +297,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     groups = near_components(docs)
     kept = groups.where("n_shingles = 0 or doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id"), F.col("sid").alias("_kept")).distinct()
     kept = saved(kept, "near-kept")
-    marked = docs.mapInArrow(run, docs.schema.add("_sid", "long"))
+    marked = docs.mapInArrow(run, with_fields(docs, ("_sid", "long")))
     same = marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_sid"] == kept["_kept"])
     return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_sid"]).drop("_sid")
 
