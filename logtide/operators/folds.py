@@ -10,11 +10,16 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StructField, StructType
 
 # Limits of a batch.
 OVERHEAD, MAX_BYTES, MAX_EVENTS, MAX_SPAN_MS = 26, 1_048_576, 10_000, 86_400_000
 
 
+def _with(records: DataFrame, name: str) -> StructType:
+    return StructType([*records.schema.fields, StructField(name, LongType())])
+
+
 def rotate(records: DataFrame, keys: list[str], order: list[str], size: str, target: int) -> DataFrame:
     """Number the objects of each key: add a record, then cut if the size has reached ``target``."""
 
@@ -31,7 +36,7 @@ def rotate(records: DataFrame, keys: list[str], order: list[str], size: str, tar
                     seq, total = seq + 1, 0
             yield pdf.assign(seq=pd.Series(out, dtype="int64", index=pdf.index))
 
-    return records.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, records.schema.add("seq", "long"))
+    return records.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, _with(records, "seq"))
 
 
 def batches(
@@ -52,4 +57,4 @@ def batches(
                 count, total = count + 1, total + n
             yield pdf.assign(batch=pd.Series(out, dtype="int64", index=pdf.index))
 
-    return records.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, records.schema.add("batch", "long"))
+    return records.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, _with(records, "batch"))
