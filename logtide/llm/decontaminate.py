@@ -113,15 +113,15 @@ def _hits(docs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
 
 
 def _left(rows: DataFrame, found: DataFrame) -> DataFrame:
-    found = found.withColumnsRenamed({"doc_id": "_id", "print": "_print"})
-    return rows.join(found, rows["doc_id"].eqNullSafe(found["_id"]) & (rows["print"] == found["_print"]), "left").drop("_id", "_print")
+    found = found.withColumnsRenamed({"doc_id": "_leak_id", "print": "_leak_print"})
+    return rows.join(found, rows["doc_id"].eqNullSafe(found["_leak_id"]) & (rows["print"] == found["_leak_print"]), "left").drop("_leak_id", "_leak_print")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without those that hold a benchmark window."""
-    bad = contaminated(docs, items).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).distinct()
+    bad = contaminated(docs, items).where("contaminated").select(F.col("doc_id").alias("_leak_id"), F.col("print").alias("_leak_print")).distinct()
     bad = saved(bad, "leak-bad")
-    same = docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(text_of(docs["text"])) == bad["_print"])
+    same = docs["doc_id"].eqNullSafe(bad["_leak_id"]) & (F.xxhash64(text_of(docs["text"])) == bad["_leak_print"])
     return docs.join(bad, same, "left_anti")
 
 

@@ -145,12 +145,12 @@ def variant_table(docs: DataFrame, suspects: DataFrame) -> DataFrame:
                     columns += [pa.array([doc_id] * len(columns[0]), pa.int64()), pa.array(np.concatenate(lines).astype(np.int32)), pa.array(np.concatenate(own).view(np.int64))]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = docs.select(F.col("doc_id"), "text", "print").join(suspects.withColumnsRenamed({"doc_id": "_id", "print": "_print"}), _same("doc_id", "print"))
+    rows = docs.select(F.col("doc_id"), "text", "print").join(suspects.withColumnsRenamed({"doc_id": "_line_id", "print": "_line_print"}), _same("doc_id", "print"))
     return rows.select("doc_id", "text", "asked").mapInArrow(run, "g long, kind int, doc_id long, line int, h long")
 
 
 def _same(doc_id: str, mark: str):
-    return F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col(mark) == F.col("_print"))
+    return F.col(doc_id).eqNullSafe(F.col("_line_id")) & (F.col(mark) == F.col("_line_print"))
 
 
 def _near(docs: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def _near(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     shared = saved(keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key"), "line-halves")
     asked = keys.join(shared, "key", "left_semi").groupBy("pos.doc_id", "pos.print", "pos.line").agg(F.max("l").alias("l"), F.max(~F.col("l")).alias("r"))
     suspects = saved(asked.groupBy("doc_id", "print").agg(F.collect_list(F.struct("line", "l", "r")).alias("asked")), "line-suspects")
-    once = docs.join(suspects.select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")), _same("doc_id", "print"), "left_semi")
+    once = docs.join(suspects.select(F.col("doc_id").alias("_line_id"), F.col("print").alias("_line_print")), _same("doc_id", "print"), "left_semi")
     variants = saved(variant_table(once.dropDuplicates(["doc_id", "print"]), suspects), "line-variants")
     at = F.struct("doc_id", "line", "h")
     least = lambda kind: F.min(F.when(F.col("kind") == kind, at))
@@ -191,17 +191,17 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the text's remaining lines, and n_lines (before) and n_gone; columns of these names are replaced."""
-    gone = duplicate_lines(docs.select("doc_id", "text")).withColumnsRenamed({"doc_id": "_id", "print": "_print", "gone": "_gone"})
+    gone = duplicate_lines(docs.select("doc_id", "text")).withColumnsRenamed({"doc_id": "_line_id", "print": "_line_print", "gone": "_line_gone"})
     rows = docs.drop("n_lines", "n_gone")
-    joined = rows.withColumn("_mark", F.xxhash64(text_of(F.col("text")))).join(gone, _same("doc_id", "_mark"), "left")
+    joined = rows.withColumn("_line_mark", F.xxhash64(text_of(F.col("text")))).join(gone, _same("doc_id", "_line_mark"), "left")
     lines = F.split("text", "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.get(lines, i))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_line_gone"), lambda i: F.get(lines, i))
     joined = joined.withColumns({
         "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long"),
-        "n_gone": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
+        "n_gone": F.coalesce(F.size("_line_gone"), F.lit(0)).cast("long"),
     })
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn("text", text).drop("_id", "_print", "_gone", "_mark")
+    text = F.when(F.col("_line_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return joined.withColumn("text", text).drop("_line_id", "_line_print", "_line_gone", "_line_mark")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

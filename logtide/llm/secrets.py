@@ -2,7 +2,8 @@
 
 Base patterns find labelled credentials of three kinds.  From a bounded sample of each kind's values (the ``SAMPLE``
 distinct ones of smallest hash over all documents) a prefix tree is built whose statistically compatible states
-are merged into a probabilistic automaton; a further one is learned from tokens that are in no credential.  Then every
+are merged into a probabilistic automaton.  Class frequencies of tokens that are in no credential tell what is ordinary; they have
+no memory, so that unlabelled secrets among those tokens do not teach them a format.  Then every
 credential-like token of every document is scored: one that is in no base span, is as likely in a kind's format as its own
 values are, and is likelier there than among ordinary tokens by ``MARGIN`` nats a character, is a span of kind ``inferred``.
 
@@ -153,6 +154,24 @@ def learn(values: list[str], alpha: float = ALPHA) -> dict:
     return {"n": [n[k] for k in kept], "end": [end[k] for k in kept], "next": [{c: [number[t], m] for c, (t, m) in step[k].items()} for k in kept]}
 
 
+def frequencies(values: list[str]) -> dict:
+    """Mean log likelihood needs only this of ordinary tokens: the share of each class."""
+    count: dict[str, int] = {}
+    for value in values:
+        for c in value:
+            c = CLASS_OF.get(c, c)
+            count[c] = count.get(c, 0) + 1
+    return {"count": count, "n": sum(count.values())}
+
+
+def usual(background: dict | None, value: str) -> float:
+    """Mean log probability a character among ordinary tokens; evenly likely if there are none."""
+    if not background:
+        return -math.log(68)
+    of = [CLASS_OF.get(c, c) for c in value]
+    return sum(math.log((background["count"].get(c, 0) + 0.5) / (background["n"] + 5)) - WIDTH.get(c, 0.0) for c in of) / len(of)
+
+
 def log_likelihood(automaton: dict, value: str) -> float:
     """Mean log probability a character, the end included; what a state has never seen gets a small share."""
     total, at = 0.0, 0
@@ -202,6 +221,8 @@ def infer(docs: DataFrame) -> dict[str, dict]:
     """Automata by kind, each with ``floor``: the score that all but a twentieth of its own values reach."""
 
     def run(key: tuple, values: pd.DataFrame) -> pd.DataFrame:
+        if key[0] == OTHER:
+            return pd.DataFrame({"kind": [OTHER], "automaton": [json.dumps(frequencies(values["value"].tolist()))]})
         automaton = learn(values["value"].tolist())
         scores = sorted(log_likelihood(automaton, v) for v in values["value"])
         automaton["floor"] = scores[len(scores) // 20]
@@ -211,20 +232,13 @@ def infer(docs: DataFrame) -> dict[str, dict]:
     return {r["kind"]: json.loads(r["automaton"]) for r in learned.collect()}  # four at most, each from SAMPLE values
 
 
-def _plain(value: str) -> float:
-    return -math.log(68)
-
-
 def inferred(tokens: list[tuple[int, int, str]], automata: dict[str, dict]) -> list[tuple[int, int]]:
     out = []
     for start, stop, value in tokens:
-        usual = log_likelihood(automata[OTHER], value) if OTHER in automata else _plain(value)
-        for kind in KINDS:
-            if kind in automata:
-                score = log_likelihood(automata[kind], value)
-                if score >= automata[kind]["floor"] and score - usual >= MARGIN:
-                    out.append((start, stop))
-                    break
+        ordinary = usual(automata.get(OTHER), value)
+        scores = ((automata[k]["floor"], log_likelihood(automata[k], value)) for k in KINDS if k in automata)
+        if any(score >= floor and score - ordinary >= MARGIN for floor, score in scores):
+            out.append((start, stop))
     return out
 
 

@@ -122,4 +122,5 @@ def test_pseudonym_cases(spark, hard, nothing):
     got = pseudonyms.pseudonymise(hard)
     assert got.count() == hard.count() and got.where("text is null").count() == 1
     assert pseudonyms.pseudonymise(nothing).count() == 0
-    assert got.join(hard, "doc_id").where(F.col("doc_id") == 100).select((got.text == hard.text).alias("same")).first().same
+    long = got.where(F.col("doc_id") == 100).first()
+    assert long.text == hard.where("doc_id = 100").first().text
