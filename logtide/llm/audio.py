@@ -146,7 +146,8 @@ def tensors(media: DataFrame) -> DataFrame:
                 blobs = []
                 for block in mel.reshape(-1, STEP, MELS):
                     sink = pa.BufferOutputStream()
-                    column = pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(block)[None].copy())
+                    storage = pa.FixedSizeListArray.from_arrays(pa.array(block.ravel(), pa.float32()), STEP * MELS)
+                    column = pa.ExtensionArray.from_storage(tensor_type(), storage)
                     with pa.ipc.new_stream(sink, pa.schema([("log_mel", column.type)])) as out:
                         out.write_batch(pa.record_batch([column], names=["log_mel"]))
                     blobs.append(sink.getvalue().to_pybytes())
