@@ -185,7 +185,7 @@ def apply_mix(sized: DataFrame, plan: DataFrame, cap: float = 2.0) -> DataFrame:
 
 
 def mix(docs: DataFrame, ratio: float = 1.5, weights: tuple = (5, 2, 1), cap: float = 2.0) -> DataFrame:
-    """``docs`` (doc_id, text, source, any more) with size, source_size, target and taken."""
+    """``docs`` (doc_id, text, source, any more) with size, source_size, target and taken; columns of these names are replaced."""
     sized = docs.withColumn("size", size_of(F.col("text")))
     narrow = saved(sized.select("doc_id", "source", "size"), "mix-sizes")
     return apply_mix(sized, plan_mix(narrow, ratio, weights, cap), cap)
