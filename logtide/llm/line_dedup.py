@@ -27,11 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, saved, text_of
-from .shingles import GOLD, STEP, mix, powers, words
+from .shingles import BACK, GOLD, grouped, mix, powers, words
 
 LEAST, NEAR = 5, 10
 SUBSTITUTED, SHORTENED, WHOLE = 0, 1, 2
-BACK = np.uint64(pow(int(STEP), -1, 1 << 64))
 LEFT, RIGHT = np.uint64(0x51ED270B27B7A3D1), np.uint64(0xA24BAED4963EE407)
 
 
@@ -48,15 +47,10 @@ def _half(n: np.ndarray) -> np.ndarray:
     return _halves()[np.maximum(np.searchsorted(_halves(), n // 2, side="right") - 1, 0)]
 
 
-def _inverse(n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(0, n - 1), BACK)]))
-
-
 class Lines:
     """Word hashes of a text, by line: ``number``, ``n`` words, ``first`` word of each line of LEAST words or more."""
 
-    def __init__(self, text: str) -> None:
-        data = text.encode("utf-8", "replace")
+    def __init__(self, data: bytes) -> None:
         w, at = words(data)
         breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
         line = np.searchsorted(breaks, at)
@@ -64,10 +58,10 @@ class Lines:
         n = np.diff(np.concatenate([first, [len(line)]]))
         place = np.arange(len(line)) - np.repeat(first, n)
         top = int(n.max()) + 1 if len(n) else 1
-        self.power, self.inverse = powers(top), _inverse(top)
+        self.power, self.inverse = powers(top), powers(top, back=True)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * self.power[place])]) if len(w) else np.zeros(1, np.uint64)
         kept = n >= LEAST
-        self.number, self.n, self.first = line[first][kept] if len(first) else first, n[kept], first[kept]
+        self.number, self.n, self.first = line[first][kept], n[kept], first[kept]
 
     def part(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Hash of words start .. stop of each line, from the beginning of the run."""
@@ -101,20 +95,19 @@ def line_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for doc_id, text, mark in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                x = Lines(text.as_py())
-                if not len(x.n):
-                    continue
-                near, other = x.n >= NEAR, _half(x.n) != _half(x.n - 1)
+            at = 0
+            for group in grouped(batch.column(1).to_pylist()):
+                x = Lines(b"\n".join(group))
+                breaks = np.cumsum([data.count(b"\n") + 1 for data in group])  # lines up to each text's end
+                place = np.searchsorted(breaks, x.number, side="right")
+                line = x.number - np.concatenate([[0], breaks])[place]
+                doc_ids, marks = (batch.column(c).take(pa.array(place + at)) for c in (0, 2))
+                near, more = x.n >= NEAR, (x.n > NEAR) & (_half(x.n) != _half(x.n - 1))
                 halves = [*x.half_keys(x.n), *x.half_keys(x.n - 1)]
-                columns = [x.names().view(np.int64), x.n.astype(np.int32), doc_id, mark, x.number.astype(np.int32), *(h.view(np.int64) for h in halves)]
-                masks = [None] * 5 + [~near, ~near, ~(near & other & (x.n > NEAR)), ~(near & other & (x.n > NEAR))]
-                for k, (values, mask) in enumerate(zip(columns, masks, strict=True)):
-                    kind = pa.int32() if names[k] in ("n", "line") else pa.int64()
-                    out[k].append(pa.array(values, kind, mask=mask) if isinstance(values, np.ndarray) else pa.array([values] * len(x.n), kind))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in out], names)
+                keys = [pa.array(k.view(np.int64), mask=~m) for k, m in zip(halves, (near, near, more, more), strict=True)]
+                columns = [pa.array(x.names().view(np.int64)), pa.array(x.n.astype(np.int32)), doc_ids, marks, pa.array(line.astype(np.int32)), *keys]
+                yield pa.RecordBatch.from_arrays(columns, names)
+                at += len(group)
 
     schema = "h long, n int, doc_id long, print long, line int, left long, right long, left2 long, right2 long"
     return docs.select("doc_id", "text", "print").mapInArrow(run, schema)
@@ -127,7 +120,7 @@ def variant_table(docs: DataFrame, suspects: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                x = Lines(text.as_py())
+                x = Lines(text.as_py().encode("utf-8", "replace"))
                 index, hashes = {int(v): i for i, v in enumerate(x.number)}, x.names()
                 keys, kinds, lines, own = [], [], [], []
                 for ask in asked:
@@ -145,7 +138,8 @@ def variant_table(docs: DataFrame, suspects: DataFrame) -> DataFrame:
                     columns += [pa.array([doc_id] * len(columns[0]), pa.int64()), pa.array(np.concatenate(lines).astype(np.int32)), pa.array(np.concatenate(own).view(np.int64))]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = docs.select(F.col("doc_id"), "text", "print").join(suspects.withColumnsRenamed({"doc_id": "_line_id", "print": "_line_print"}), _same("doc_id", "print"))
+    asked = suspects.withColumnsRenamed({"doc_id": "_line_id", "print": "_line_print"}).hint("shuffle_hash")  # texts need no sort
+    rows = docs.select("doc_id", "text", "print").join(asked, _same("doc_id", "print"))
     return rows.select("doc_id", "text", "asked").mapInArrow(run, "g long, kind int, doc_id long, line int, h long")
 
 
@@ -160,8 +154,7 @@ def _near(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     shared = saved(keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key"), "line-halves")
     asked = keys.join(shared, "key", "left_semi").groupBy("pos.doc_id", "pos.print", "pos.line").agg(F.max("l").alias("l"), F.max(~F.col("l")).alias("r"))
     suspects = saved(asked.groupBy("doc_id", "print").agg(F.collect_list(F.struct("line", "l", "r")).alias("asked")), "line-suspects")
-    once = docs.join(suspects.select(F.col("doc_id").alias("_line_id"), F.col("print").alias("_line_print")), _same("doc_id", "print"), "left_semi")
-    variants = saved(variant_table(once.dropDuplicates(["doc_id", "print"]), suspects), "line-variants")
+    variants = saved(variant_table(docs, suspects), "line-variants")
     at = F.struct("doc_id", "line", "h")
     least = lambda kind: F.min(F.when(F.col("kind") == kind, at))
     met = variants.groupBy("g").agg(
@@ -191,13 +184,13 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the text's remaining lines, and n_lines (before) and n_gone; columns of these names are replaced."""
-    gone = duplicate_lines(docs.select("doc_id", "text")).withColumnsRenamed({"doc_id": "_line_id", "print": "_line_print", "gone": "_line_gone"})
+    gone = duplicate_lines(docs.select("doc_id", "text")).withColumnsRenamed({"doc_id": "_line_id", "print": "_line_print", "gone": "_line_gone"}).hint("shuffle_hash")
     rows = docs.drop("n_lines", "n_gone")
     joined = rows.withColumn("_line_mark", F.xxhash64(text_of(F.col("text")))).join(gone, _same("doc_id", "_line_mark"), "left")
     lines = F.split("text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_line_gone"), lambda i: F.get(lines, i))
     joined = joined.withColumns({
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long"),
+        "n_lines": F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long"),
         "n_gone": F.coalesce(F.size("_line_gone"), F.lit(0)).cast("long"),
     })
     text = F.when(F.col("_line_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

@@ -264,3 +264,16 @@ def test_pipeline_cases(spark, hard, nothing, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = saved(stage(spark, docs, SF), "stage")
     assert docs.count() == 0
+
+
+def test_long_texts_are_hashed_in_blocks():
+    from logtide.llm import shingles
+
+    text = "ab cd " * 400_000 + "x" * 3_000_000 + " yy zz ab cd"
+    data, size = text.encode(), shingles.BLOCK
+    hashes, starts = shingles.words(data)
+    whole, at = shingles._words(np.frombuffer(data, np.uint8))
+    assert len(data) > 2 * size and (hashes == whole).all() and (starts == at).all()
+    sets = list(shingles.shingle_sets(["a b c d e f", text, None, "a B", "A  b\n"]))
+    assert [len(s) for s, _ in sets] == [2, len(shingles.shingle_set(text)), 0, 1, 1] and (sets[3][0] == sets[4][0]).all()
+    assert all((s == shingles.shingle_set(d.decode())).all() for s, d in sets)
