@@ -10,6 +10,8 @@ Documents of equal sets are one class; everything after the first pass works on
    members of different components, with a window that grows up to the whole list.  So a large group of near copies costs
    about its size and not its square, while no link between different components is lost.
    A set's answers are thus completed from those of a highly similar one instead of being computed anew.
+   A pair is dropped unverified if the parity bitmaps of its sets (each shingle flips one of ``64 * MASKS`` bits) differ in so many
+   bits that the sets must differ in too many shingles.
 4. A pair is verified on whole sets: the text of one side is sent to the other, where all of a set's partners are
    answered in a row.
 
@@ -30,10 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import read, saved, with_fields
 from .components import components
-from .shingles import set_id, shingle_set
+from .shingles import set_id, shingle_sets
 
 K, PERCENT = 5, 80
 BUCKETS = 1 << 18
+MASKS = 8
 WINDOWS = (8, None)
 """How far later rounds look in a list; None: all of it."""
 
@@ -51,40 +54,51 @@ def _needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-PERCENT * (a + b) // (100 + PERCENT))
 
 
-def _ids(batch: pa.RecordBatch) -> list:
-    return batch.column(0).to_pylist()
+def _mask(hashes: np.ndarray) -> np.ndarray:
+    """The parity of the set's shingles in each of 64 * MASKS bits, as MASKS numbers."""
+    odd = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % (64 * MASKS), minlength=64 * MASKS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_link(n, bits):
+    """n: sum of both sizes; bits: in how many bits the masks differ, at most the number of unshared shingles."""
+    return (n - bits) * (100 + PERCENT) >= 2 * PERCENT * n
+
+
+MASK_NAMES = [f"m{i}" for i in range(MASKS)]
 
 
 def sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, sid) of every row, and the counts of all shingles by bucket."""
+    """(doc_id, n, sid, masks) of every row, and the counts of all shingles by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
-        names = ["doc_id", "n", "sid", "bucket", "hits"]
+        names = ["doc_id", "n", "sid", "bucket", "hits", *MASK_NAMES]
         for batch in batches:
-            sizes, sids, every = [], [], []
-            for text in batch.column(1):
-                s = shingle_set(text.as_py(), K)
+            sizes, sids, every, masks = [], [], [], []
+            for s, _ in shingle_sets(batch.column(1).to_pylist(), K):
                 every.append(_bucket(s))
                 sizes.append(len(s))
                 sids.append(set_id(s))
+                masks.append(_mask(s))
                 if sum(map(len, every[-64:])) > BUCKETS or len(every) >= 512:
                     counts += np.bincount(np.concatenate(every), minlength=BUCKETS)
                     every = []
             if every:
                 counts += np.bincount(np.concatenate(every), minlength=BUCKETS)
             blank = pa.nulls(len(sizes), pa.int64())
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), blank, blank], names=names)
+            own = [pa.array(m) for m in np.array(masks, np.int64).reshape(-1, MASKS).T]
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), blank, blank, *own], names=names)
         used = np.flatnonzero(counts)
         blank = pa.nulls(len(used), pa.int64())
-        yield pa.record_batch([blank, blank, blank, pa.array(used), pa.array(counts[used])], names=names)
+        yield pa.record_batch([blank, blank, blank, pa.array(used), pa.array(counts[used]), *([blank] * MASKS)], names=names)
 
-    schema = "doc_id long, n long, sid long, bucket long, hits long"
+    schema = "doc_id long, n long, sid long, bucket long, hits long, " + ", ".join(f"{m} long" for m in MASK_NAMES)
     out = saved(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema), "near-sets")
     found = out.where("bucket is not null").groupBy("bucket").agg(F.sum("hits").alias("hits")).toArrow()  # BUCKETS rows at most
     counts = np.zeros(BUCKETS, np.int64)
     counts[found.column("bucket").to_numpy()] = found.column("hits").to_numpy()
-    return out.where("bucket is null").select("doc_id", "n", "sid"), counts
+    return out.where("bucket is null").drop("bucket", "hits"), counts
 
 
 def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -95,8 +109,7 @@ def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             tokens, sids, sizes, places = [], [], [], []
-            for text in batch.column(0):
-                s = shingle_set(text.as_py(), K)
+            for s, _ in shingle_sets(batch.column(0).to_pylist(), K):
                 sid = set_id(s)
                 if not len(s) or sid in seen:
                     continue
@@ -144,11 +157,11 @@ def neighbours(posted: DataFrame) -> DataFrame:
             length = np.diff(np.concatenate([start, [len(token)]]))
             lists = []
             for first, m in zip(start[length > 2].tolist(), length[length > 2].tolist(), strict=True):
-                members = np.column_stack([sid[first : first + m], n[first : first + m]])
-                name = set_id(members[:, 0].view(np.uint64))
+                members = sid[first : first + m]
+                name = set_id(members.view(np.uint64))
                 if name not in known:
                     known.add(name)
-                    lists.append((name, members.ravel().tolist()))
+                    lists.append((name, members.tolist()))
             if lists:
                 names, members = zip(*lists, strict=True)
                 yield pa.record_batch([pa.array(names, pa.int64()), pa.nulls(len(names), pa.int64()), pa.array(members, pa.list_(pa.int64()))], names=["a", "b", "members"])
@@ -167,32 +180,40 @@ def _paired(token: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndarray |
     return np.minimum(x, y), np.maximum(x, y)
 
 
-def across(lists: DataFrame, roots: DataFrame, window: int | None) -> DataFrame:
-    """(a, b): members of a list of different components, up to ``window`` apart (None: any)."""
-    members = lists.select(F.col("a").alias("list"), F.expr("explode(sequence(0, cast(size(members) div 2 as int) - 1))").alias("i"), "members")
-    members = members.selectExpr("list", "members[2 * i] as sid", "members[2 * i + 1] as n")
-    members = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("list", "sid", "n", F.coalesce("root", "sid").alias("root"))
+def likely(pairs: DataFrame, masks: DataFrame) -> DataFrame:
+    """The ``pairs`` that their masks allow to link."""
+    one, other = (masks.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), *[F.col(m).alias(f"{m}_{c}") for m in MASK_NAMES]) for c in "ab")
+    bits = sum((F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in MASK_NAMES), F.lit(0))
+    return pairs.join(one, "a").join(other, "b").where(_may_link(F.col("n_a") + F.col("n_b"), bits)).select("a", "b")
+
+
+def across(lists: DataFrame, roots: DataFrame, masks: DataFrame, window: int | None) -> DataFrame:
+    """(a, b): members of a list of different components, up to ``window`` apart (None: any), that their masks allow to link."""
+    members = lists.select(F.col("a").alias("list"), F.explode("members").alias("sid"))
+    members = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    open_lists = members.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list")
+    members = members.join(open_lists, "list", "left_semi").join(masks, "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for listed, sid, n, root in _groups(batches):
-            n = n.astype(np.int64)
+        for listed, sid, n, root, *mask in _groups(batches):
+            mask = np.column_stack(mask)
             start = np.flatnonzero(np.concatenate([[True], listed[1:] != listed[:-1]]))
+            found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for first, stop in zip(start.tolist(), [*start[1:].tolist(), len(listed)], strict=True):
-                ids, sizes, own = sid[first:stop], n[first:stop], root[first:stop]
-                names, of, share = np.unique(own, return_inverse=True, return_counts=True)
-                if len(names) == 1:
-                    continue
+                ids, sizes, own, bits = sid[first:stop], n[first:stop], root[first:stop], mask[first:stop]
+                _, of, share = np.unique(own, return_inverse=True, return_counts=True)
                 # Every pair of components has a member outside the largest one.
                 for i in np.flatnonzero(of != share.argmax()).tolist():
-                    low, high = (0, len(ids)) if window is None else (max(0, i - window), i + window + 1)
-                    other = np.arange(low, min(high, len(ids)))
-                    x, y = np.minimum(sizes[other], sizes[i]), np.maximum(sizes[other], sizes[i])
-                    other = other[(of[other] != of[i]) & (100 * x >= PERCENT * y)]
-                    a, b = np.minimum(ids[other], ids[i]), np.maximum(ids[other], ids[i])
-                    if len(a):
-                        yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    sorted_members = members.select("list", "sid", "n", "root").repartition("list").sortWithinPartitions("list", "n", "sid")
+                    low, high = (0, len(ids)) if window is None else (max(0, i - window), min(len(ids), i + window + 1))
+                    fits = _may_link(sizes[low:high] + sizes[i], np.bitwise_count((bits[low:high] ^ bits[i]).view(np.uint64)).sum(axis=1, dtype=np.int64))
+                    x, y = np.minimum(sizes[low:high], sizes[i]), np.maximum(sizes[low:high], sizes[i])
+                    other = low + np.flatnonzero(fits & (of[low:high] != of[i]) & (100 * x >= PERCENT * y))
+                    found_a.append(np.minimum(ids[other], ids[i]))
+                    found_b.append(np.maximum(ids[other], ids[i]))
+            once = np.unique(np.column_stack([np.concatenate(found_a), np.concatenate(found_b)]), axis=0)
+            yield pa.record_batch([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["a", "b"])
+
+    sorted_members = members.select("list", "sid", "n", "root", *MASK_NAMES).repartition("list").sortWithinPartitions("list", "n", "sid")
     return sorted_members.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -203,23 +224,21 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         pack, seen = zstandard.ZstdCompressor(level=3), set()
         for batch in batches:
             sids, blobs = [], []
-            for text in batch.column(0):
-                value = text.as_py()
-                s = shingle_set(value, K)
+            for s, data in shingle_sets(batch.column(0).to_pylist(), K):
                 sid = set_id(s)
                 if len(s) and sid not in seen:
                     seen.add(sid)
                     sids.append(sid)
-                    blobs.append(pack.compress(value.encode("utf-8", "replace")))
+                    blobs.append(pack.compress(data))
             yield pa.record_batch([pa.array(sids, pa.int64()), pa.array(blobs, pa.binary())], names=["sid", "text"])
 
-    own = docs.select("text").mapInArrow(run, "sid long, text binary").join(wanted, "sid", "left_semi")
+    own = docs.select("text").mapInArrow(run, "sid long, text binary").join(wanted.hint("shuffle_hash"), "sid", "left_semi")  # texts need no sort
     return own.groupBy("sid").agg(F.min("text").alias("text"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets link."""
-    sent = pairs.join(texts, pairs["b"] == texts["sid"]).select("a", "b", "text")
+    sent = texts.join(pairs.hint("shuffle_hash"), pairs["b"] == texts["sid"]).select("a", "b", "text")
     own = pairs.select("a").distinct().join(texts, F.col("a") == texts["sid"]).select("a", F.lit(None).cast("long").alias("b"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,8 +246,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         owner, mine = None, None
         for batch in batches:
             found_a, found_b = [], []
-            for a, b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                theirs = shingle_set(unpack.decompress(blob.as_py()).decode(), K)
+            texts = (unpack.decompress(blob.as_py()).decode() for blob in batch.column(2))
+            for a, b, (theirs, _) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(texts, K), strict=True):
                 if b is None:
                     owner, mine = a, theirs
                     continue
@@ -249,18 +268,18 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def links(docs: DataFrame, counts: np.ndarray) -> DataFrame | None:
-    """(node, root) of the classes that link with another one."""
+def links(docs: DataFrame, masks: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(node, root) of the classes that link with another one; ``masks`` has (sid, n, masks) of every class."""
     found = saved(neighbours(postings(docs, counts)), "near-lists")
-    pairs = saved(found.where("b is not null").select("a", "b").distinct(), "near-pairs")
+    pairs = saved(likely(found.where("b is not null").select("a", "b").distinct(), masks), "near-pairs")
     lists = saved(found.where("members is not null").groupBy("a").agg(F.first("members").alias("members")), "near-groups")
-    listed = lists.select(F.explode(F.filter("members", lambda x, i: i % 2 == 0)).alias("sid"))
+    listed = lists.select(F.explode("members").alias("sid"))
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(listed).distinct()
     texts = saved(texts_of(docs, saved(wanted, "near-wanted")), "near-texts")
     linked = saved(verified(pairs, texts), "near-links")
     roots = components(linked)
     for window in WINDOWS:
-        more = across(lists, roots, window).join(pairs, ["a", "b"], "left_anti")
+        more = across(lists, roots, masks, window).join(pairs, ["a", "b"], "left_anti")
         more = saved(more, "near-pairs")
         if more.isEmpty():
             continue
@@ -275,12 +294,13 @@ def links(docs: DataFrame, counts: np.ndarray) -> DataFrame | None:
 def near_components(docs: DataFrame) -> DataFrame:
     """Per row of (doc_id, text): doc_id, n_shingles, component_id, sid."""
     rows, counts = sets(docs)
-    roots = links(docs, counts)
+    masks = saved(rows.where("n > 0").groupBy("sid").agg(F.max("n").alias("n"), *[F.max(m).alias(m) for m in MASK_NAMES]), "near-masks")
+    roots = links(docs, masks, counts)
     classes = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "sid"), "sid", "left")
     classes = saved(classes.withColumn("root", F.coalesce("root", "sid")), "near-classes")
     named = saved(classes.groupBy("root").agg(F.min("least").alias("component_id")), "near-named")
     classes = saved(classes.join(named, "root").select("sid", "component_id"), "near-classes")
-    joined = rows.join(classes, "sid", "left")
+    joined = rows.select("doc_id", "n", "sid").join(classes, "sid", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "sid")
 
@@ -290,16 +310,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [set_id(shingle_set(t.as_py(), K)) for t in batch.column(place)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], [*batch.schema.names, "_sid"])
+            ids = [set_id(s) for s, _ in shingle_sets(batch.column(place).to_pylist(), K)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], [*batch.schema.names, "_near_sid"])
 
     place = docs.columns.index("text")
     groups = near_components(docs)
-    kept = groups.where("n_shingles = 0 or doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id"), F.col("sid").alias("_kept")).distinct()
+    kept = groups.where("n_shingles = 0 or doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_near_id"), F.col("sid").alias("_near_kept")).distinct()
     kept = saved(kept, "near-kept")
-    marked = docs.mapInArrow(run, with_fields(docs, ("_sid", "long")))
-    same = marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_sid"] == kept["_kept"])
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_sid"]).drop("_sid")
+    marked = docs.mapInArrow(run, with_fields(docs, ("_near_sid", "long")))
+    same = marked["doc_id"].eqNullSafe(kept["_near_id"]) & (marked["_near_sid"] == kept["_near_kept"])
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_near_sid"]).drop("_near_sid")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
