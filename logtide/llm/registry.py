@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, decontaminate, langid, licenses, line_dedup, mixing, near_duplicates, pseudonyms, secrets, warc
+from . import audio, decontaminate, langid, licenses, line_dedup, mixing, near_duplicates, pseudonyms, secrets, sql, warc
 
 QUERIES = {
     "op1_hyperdimensional_language": langid.query,
@@ -19,5 +19,7 @@ QUERIES = {
 ORACLES = {
     "op4_warc_revisits": warc.ORACLE,
     "op6_winnowing": decontaminate.ORACLE,
+    "op7_line_dedup": sql.LINE_DEDUP,
+    "op8_jaccard_components": sql.JACCARD_COMPONENTS,
     "op9_license_digests": licenses.oracle(),
 }
