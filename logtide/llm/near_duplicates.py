@@ -5,9 +5,9 @@ Documents of equal sets are one class; everything after the first pass works on
 1. One pass counts shingles in a table of fixed size (``BUCKETS``) over all documents and gives every row its set's size and id.
 2. Shingles are ordered by that count, rare ones first.  A class is indexed under its first
    ``n - ceil(0.8 n) + 1`` shingles only; any two classes that link meet in the list of their first common shingle.
-3. Index lists are sorted by set size; entries whose size or position rules out a link are skipped.  Neighbours in a list
-   are compared first.  Whoever is then known to be in the same component needs no further answer: later rounds compare only
-   members of different components, with a window that grows up to the whole list.  So a large group of near copies costs
+3. Index lists are sorted by set size; entries whose size or position rules out a link are skipped.  Each member of a list
+   is first compared with the head of its block, and heads with the heads of larger blocks.  Whoever is then known to be in the same component needs no further answer: later rounds compare only
+   members of different components, first the likeliest, then all.  So a large group of near copies costs
    about its size and not its square, while no link between different components is lost.
    A set's answers are thus completed from those of a highly similar one instead of being computed anew.
    A pair is dropped unverified if the parity bitmaps of its sets (each shingle flips one of ``64 * MASKS`` bits) differ in so many
@@ -30,15 +30,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, saved, with_fields
+from .common import read, saved
 from .components import components
 from .shingles import set_id, shingle_sets
 
 K, PERCENT = 5, 80
 BUCKETS = 1 << 18
 MASKS = 8
-WINDOWS = (8, None)
-"""How far later rounds look in a list; None: all of it."""
+ROUNDS = (1, None)
+"""With how many most similar members of other components a later round compares a member of a list; None: with all."""
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -69,11 +69,11 @@ MASK_NAMES = [f"m{i}" for i in range(MASKS)]
 
 
 def sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, sid, masks) of every row, and the counts of all shingles by bucket."""
+    """(doc_id, print, n, sid, masks) of every row, and the counts of all shingles by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
-        names = ["doc_id", "n", "sid", "bucket", "hits", *MASK_NAMES]
+        names = ["doc_id", "print", "n", "sid", "bucket", "hits", *MASK_NAMES]
         for batch in batches:
             sizes, sids, every, masks = [], [], [], []
             for s, _ in shingle_sets(batch.column(1).to_pylist(), K):
@@ -88,13 +88,13 @@ def sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 counts += np.bincount(np.concatenate(every), minlength=BUCKETS)
             blank = pa.nulls(len(sizes), pa.int64())
             own = [pa.array(m) for m in np.array(masks, np.int64).reshape(-1, MASKS).T]
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), blank, blank, *own], names=names)
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), blank, blank, *own], names=names)
         used = np.flatnonzero(counts)
         blank = pa.nulls(len(used), pa.int64())
-        yield pa.record_batch([blank, blank, blank, pa.array(used), pa.array(counts[used]), *([blank] * MASKS)], names=names)
+        yield pa.record_batch([blank, blank, blank, blank, pa.array(used), pa.array(counts[used]), *([blank] * MASKS)], names=names)
 
-    schema = "doc_id long, n long, sid long, bucket long, hits long, " + ", ".join(f"{m} long" for m in MASK_NAMES)
-    out = saved(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema), "near-sets")
+    schema = "doc_id long, print long, n long, sid long, bucket long, hits long, " + ", ".join(f"{m} long" for m in MASK_NAMES)
+    out = saved(docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) print").mapInArrow(run, schema), "near-sets")
     found = out.where("bucket is not null").groupBy("bucket").agg(F.sum("hits").alias("hits")).toArrow()  # BUCKETS rows at most
     counts = np.zeros(BUCKETS, np.int64)
     counts[found.column("bucket").to_numpy()] = found.column("hits").to_numpy()
@@ -143,18 +143,18 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield rest
 
 
-def neighbours(posted: DataFrame) -> DataFrame:
-    """Rows (a, b, members): pairs of neighbours in a list, and once for each list of three or more (a: its hash) its members."""
+def heads(posted: DataFrame) -> DataFrame:
+    """Rows (a, b, members): pairs of a list's members and their heads, and once for each list of three or more (a: its hash) its members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         for token, sid, n, pos in _groups(batches):
             new = np.concatenate([[True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])])
             token, sid, n, pos = token[new], sid[new], n[new].astype(np.int64), pos[new].astype(np.int64)
-            a, b = _paired(token, sid, n, pos, 1)
-            yield pa.record_batch([pa.array(a), pa.array(b), pa.nulls(len(a), pa.list_(pa.int64()))], names=["a", "b", "members"])
             start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             length = np.diff(np.concatenate([start, [len(token)]]))
+            a, b = _paired(sid, n, pos, start, length)
+            yield pa.record_batch([pa.array(a), pa.array(b), pa.nulls(len(a), pa.list_(pa.int64()))], names=["a", "b", "members"])
             lists = []
             for first, m in zip(start[length > 2].tolist(), length[length > 2].tolist(), strict=True):
                 members = sid[first : first + m]
@@ -170,13 +170,20 @@ def neighbours(posted: DataFrame) -> DataFrame:
     return sorted_lists.mapInArrow(run, "a long, b long, members array<long>")
 
 
-def _paired(token: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndarray | None, gap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Members of a list ``gap`` apart that size and position allow to link, the smaller id first."""
-    small, large = n[:-gap], n[gap:]  # lists are sorted by size
-    fits = (token[:-gap] == token[gap:]) & (100 * small >= PERCENT * large)
-    if pos is not None:
-        fits &= 1 + np.minimum(small - pos[:-gap] - 1, large - pos[gap:] - 1) >= _needed(small, large)
-    x, y = sid[:-gap][fits], sid[gap:][fits]
+def _paired(sid: np.ndarray, n: np.ndarray, pos: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each member of a list with the one whose place has one base-8 digit less, if size and position allow them to link.
+
+    So a list becomes a tree of few levels, which components need few rounds for; the smaller id stands first.
+    """
+    place = np.arange(len(sid)) - np.repeat(start, length)
+    digit = np.ones(len(sid), np.int64)
+    while (more := (place > 0) & (place % (digit * 8) == 0)).any():
+        digit[more] *= 8
+    other = np.flatnonzero(place > 0)
+    head = other - place[other] % (8 * digit[other])
+    small, large = n[head], n[other]  # lists are sorted by size
+    fits = (100 * small >= PERCENT * large) & (1 + np.minimum(small - pos[head] - 1, large - pos[other] - 1) >= _needed(small, large))
+    x, y = sid[head][fits], sid[other][fits]
     return np.minimum(x, y), np.maximum(x, y)
 
 
@@ -187,8 +194,9 @@ def likely(pairs: DataFrame, masks: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").where(_may_link(F.col("n_a") + F.col("n_b"), bits)).select("a", "b")
 
 
-def across(lists: DataFrame, roots: DataFrame, masks: DataFrame, window: int | None) -> DataFrame:
-    """(a, b): members of a list of different components, up to ``window`` apart (None: any), that their masks allow to link."""
+def across(lists: DataFrame, roots: DataFrame, masks: DataFrame, most: int | None) -> DataFrame:
+    """(a, b): members of a list that their masks allow to link, of different components; of each smaller component's
+    member its ``most`` likely partners (None: all)."""
     members = lists.select(F.col("a").alias("list"), F.explode("members").alias("sid"))
     members = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     open_lists = members.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list")
@@ -204,10 +212,11 @@ def across(lists: DataFrame, roots: DataFrame, masks: DataFrame, window: int | N
                 _, of, share = np.unique(own, return_inverse=True, return_counts=True)
                 # Every pair of components has a member outside the largest one.
                 for i in np.flatnonzero(of != share.argmax()).tolist():
-                    low, high = (0, len(ids)) if window is None else (max(0, i - window), min(len(ids), i + window + 1))
-                    fits = _may_link(sizes[low:high] + sizes[i], np.bitwise_count((bits[low:high] ^ bits[i]).view(np.uint64)).sum(axis=1, dtype=np.int64))
-                    x, y = np.minimum(sizes[low:high], sizes[i]), np.maximum(sizes[low:high], sizes[i])
-                    other = low + np.flatnonzero(fits & (of[low:high] != of[i]) & (100 * x >= PERCENT * y))
+                    apart = np.bitwise_count((bits ^ bits[i]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                    x, y = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
+                    other = np.flatnonzero(_may_link(x + y, apart) & (of != of[i]) & (100 * x >= PERCENT * y))
+                    if most is not None and len(other) > most:
+                        other = other[np.lexsort((ids[other], apart[other]))[:most]]
                     found_a.append(np.minimum(ids[other], ids[i]))
                     found_b.append(np.maximum(ids[other], ids[i]))
             once = np.unique(np.column_stack([np.concatenate(found_a), np.concatenate(found_b)]), axis=0)
@@ -270,7 +279,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 def links(docs: DataFrame, masks: DataFrame, counts: np.ndarray) -> DataFrame:
     """(node, root) of the classes that link with another one; ``masks`` has (sid, n, masks) of every class."""
-    found = saved(neighbours(postings(docs, counts)), "near-lists")
+    found = saved(heads(postings(docs, counts)), "near-lists")
     pairs = saved(likely(found.where("b is not null").select("a", "b").distinct(), masks), "near-pairs")
     lists = saved(found.where("members is not null").groupBy("a").agg(F.first("members").alias("members")), "near-groups")
     listed = lists.select(F.explode("members").alias("sid"))
@@ -278,8 +287,8 @@ def links(docs: DataFrame, masks: DataFrame, counts: np.ndarray) -> DataFrame:
     texts = saved(texts_of(docs, saved(wanted, "near-wanted")), "near-texts")
     linked = saved(verified(pairs, texts), "near-links")
     roots = components(linked)
-    for window in WINDOWS:
-        more = across(lists, roots, masks, window).join(pairs, ["a", "b"], "left_anti")
+    for most in ROUNDS:
+        more = across(lists, roots, masks, most).join(pairs, ["a", "b"], "left_anti")
         more = saved(more, "near-pairs")
         if more.isEmpty():
             continue
@@ -292,7 +301,7 @@ def links(docs: DataFrame, masks: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def near_components(docs: DataFrame) -> DataFrame:
-    """Per row of (doc_id, text): doc_id, n_shingles, component_id, sid."""
+    """Per row of (doc_id, text): doc_id, n_shingles, component_id, print (xxhash64 of the text)."""
     rows, counts = sets(docs)
     masks = saved(rows.where("n > 0").groupBy("sid").agg(F.max("n").alias("n"), *[F.max(m).alias(m) for m in MASK_NAMES]), "near-masks")
     roots = links(docs, masks, counts)
@@ -300,27 +309,24 @@ def near_components(docs: DataFrame) -> DataFrame:
     classes = saved(classes.withColumn("root", F.coalesce("root", "sid")), "near-classes")
     named = saved(classes.groupBy("root").agg(F.min("least").alias("component_id")), "near-named")
     classes = saved(classes.join(named, "root").select("sid", "component_id"), "near-classes")
-    joined = rows.select("doc_id", "n", "sid").join(classes, "sid", "left")
+    joined = rows.select("doc_id", "print", "n", "sid").join(classes, "sid", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "sid")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "print")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that of the component's least id (of rows that repeat it, any one)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [set_id(s) for s, _ in shingle_sets(batch.column(place).to_pylist(), K)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], [*batch.schema.names, "_near_sid"])
-
-    place = docs.columns.index("text")
-    groups = near_components(docs)
-    kept = groups.where("n_shingles = 0 or doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_near_id"), F.col("sid").alias("_near_kept")).distinct()
-    kept = saved(kept, "near-kept")
-    marked = docs.mapInArrow(run, with_fields(docs, ("_near_sid", "long")))
-    same = marked["doc_id"].eqNullSafe(kept["_near_id"]) & (marked["_near_sid"] == kept["_near_kept"])
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_near_sid"]).drop("_near_sid")
+    """``docs`` with one row of each component: that of the component's least id (of rows that repeat it, one)."""
+    rows = near_components(docs.select("doc_id", "text"))
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    key = F.struct("doc_id", "print")
+    named = rows.where(~alone & (F.col("doc_id") == F.col("component_id"))).groupBy("component_id").agg(F.min(key).alias("key"))
+    kept = saved(named.select("key.*").unionByName(rows.where(alone).select("doc_id", "print").distinct()), "near-kept")
+    distinct = rows.groupBy("doc_id", "print").count().where("count > 1").isEmpty()
+    kept = kept.withColumnsRenamed({"doc_id": "_near_id", "print": "_near_print"}).hint("shuffle_hash")  # texts need no sort
+    same = docs["doc_id"].eqNullSafe(kept["_near_id"]) & F.xxhash64(docs["text"]).eqNullSafe(kept["_near_print"])
+    left = docs.join(kept, same, "left_semi")
+    return left if distinct else left.dropDuplicates(["doc_id", "text"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_components(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("sid")
+    return near_components(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("print")
