@@ -5,8 +5,8 @@ format, the rank is permuted by a keyed Feistel network, and the value of the ne
 separators.  A permutation of the whole format keeps values of equal content equal in every document and different ones different,
 without any table of values; check digits are made anew, so a valid value stays valid.
 
-Cases:  a null text stays null and has no finds; a text without finds stays as it is; where finds overlap, the first and then
-the earlier kind in ``KINDS`` wins; other columns are ignored.
+Cases:  a null text stays null and has no finds; a text without finds stays as it is; where finds overlap, the earlier kind in
+``ORDER`` and then the first wins; a value beside other numbers and words is found at the borders of its groups; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +27,9 @@ ROUNDS = 8
 KEY = b"logtide example key"
 """For tests and examples; give your own."""
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
+ORDER = ("email", "iban", "card", "ssn", "ip", "date", "phone", "other card")
+"""What is found by one is out of reach for those after it; ``other card``: digits that pass the Luhn test, but of no known issuer and beside others."""
+TAKEN = "\0"
 
 
 def _round(key: bytes, kind: str, size: int, turn: int, value: int) -> int:
@@ -91,22 +94,72 @@ def _email(m: re.Match, key: bytes) -> str | None:
     return f"{_mixed(key, 'email', local)}@{host}"
 
 
-def _iban(m: re.Match, key: bytes) -> str | None:
-    value = m[0].replace(" ", "")
+def _iban(shape: str, key: bytes) -> str | None:
+    value = shape.replace(" ", "")
     number = lambda s: int("".join(str(int(c, 36)) for c in s))
     if not 15 <= len(value) <= 34 or number(value[4:] + value[:4]) % 97 != 1:
         return None
     body = _mixed(key, f"iban{value[:2]}", value[4:])
     check = str(98 - number(body + value[:2] + "00") % 97).zfill(2)
-    return _refill(m[0], value[:2] + check + body, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    return _refill(shape, value[:2] + check + body, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+
+
+def _ibans(text: str, key: bytes) -> Iterator[tuple[int, int, str]]:
+    """Account numbers; where words or numbers follow, the country's length is tried first and then every other, the longest first."""
+    at = 0
+    for m in IBAN.finditer(text):
+        if m.start() < at:
+            continue
+        ends, n = [], 4
+        for c in IBAN_REST.match(text, m.end())[0]:
+            ends.append(ends[-1] + 1 if ends else m.end() + 1)
+            n += c != " "
+            if n > 34:
+                break
+        stops = [e for e in ends if text[e - 1] != " " and not text[e : e + 1].isalnum()]
+        stops.sort(key=lambda e: (len(text[m.start() : e].replace(" ", "")) != IBAN_LENGTH.get(m[0][:2]), -e))
+        for stop in stops:
+            new = _iban(text[m.start() : stop], key)
+            if new is not None:
+                at = stop
+                yield m.start(), stop, new
+                break
 
 
-def _card(m: re.Match, key: bytes) -> str | None:
-    digits = re.sub(r"\D", "", m[0])
+def _card(shape: str, key: bytes) -> str | None:
+    digits = re.sub(r"[^0-9]", "", shape)
     if luhn_digit(digits[:-1]) != digits[-1]:
         return None
     body = _digits(key, "card", digits[:-1])
-    return _refill(m[0], body + luhn_digit(body))
+    return _refill(shape, body + luhn_digit(body))
+
+
+def _cards(text: str, key: bytes, every: bool) -> Iterator[tuple[int, int, str]]:
+    """Card numbers among groups of digits: of all extents from group to group those of issuers' prefixes and lengths and those that
+    are a whole run with one separator; with ``every``, all extents.  Wider ones go first."""
+    for m in RUN.finditer(text):
+        if m.end() - m.start() < 13:
+            continue
+        groups = [(g.start(), g.end()) for g in GROUP.finditer(text, m.start(), m.end())]
+        extents = []
+        for i, (start, _) in enumerate(groups):
+            n = 0
+            for j in range(i, len(groups)):
+                stop = groups[j][1]
+                n += stop - groups[j][0]
+                if n > 19:
+                    break
+                if n >= 13:
+                    digits = re.sub("[ -]", "", text[start:stop])
+                    whole = stop - start == m.end() - m.start() and len(set(m[0]) & {" ", "-"}) < 2
+                    if every or whole or ISSUER.fullmatch(digits):
+                        extents.append((-n, start, stop))
+        done: set[int] = set()
+        for _, start, stop in sorted(extents):
+            new = None if start in done or stop - 1 in done else _card(text[start:stop], key)
+            if new is not None:
+                done.update(range(start, stop))
+                yield start, stop, new
 
 
 def _ssn(m: re.Match, key: bytes) -> str | None:
@@ -123,8 +176,11 @@ def _ssn(m: re.Match, key: bytes) -> str | None:
 
 def _phone(m: re.Match, key: bytes) -> str | None:
     lead = m["lead"] or ""
+    if m["code"]:
+        code = CODE.match(re.sub("[^0-9]", "", m[0]))[0]
+        lead = re.match(r"\+" + "[^0-9]*".join(code), m[0])[0]
     rest = m[0][len(lead) :]
-    digits = re.sub(r"\D", "", rest)
+    digits = re.sub(r"[^0-9]", "", rest)
     return lead + _refill(rest, _digits(key, "phone", digits))
 
 
@@ -141,6 +197,9 @@ FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal
 
 def _date(m: re.Match, key: bytes) -> str | None:
     year, month, day = (int(m[x] or m[x + "2"]) for x in ("y", "m", "d"))
+    month_first = not m["y"] and month > 12
+    if month_first:
+        month, day = day, month
     try:
         at = date(year, month, day).toordinal()
     except ValueError:
@@ -150,15 +209,37 @@ def _date(m: re.Match, key: bytes) -> str | None:
     new = date.fromordinal(FIRST_DAY + permute(key, "date", at - FIRST_DAY, LAST_DAY - FIRST_DAY + 1))
     if m["y"]:
         return new.isoformat()
-    return f"{new.day:02d}{m['sep']}{new.month:02d}{m['sep']}{new.year:04d}"
-
-
+    first, second = (new.month, new.day) if month_first else (new.day, new.month)
+    return f"{first:02d}{m['sep']}{second:02d}{m['sep']}{new.year:04d}"
+
+
+# Lengths of account numbers by country, issuers' prefixes and lengths of card numbers, calling codes.
+IBAN_LENGTH = {
+    c: int(n)
+    for n, countries in (x.split(":") for x in (
+        "15:NO 16:BE 18:DK,FI,FO,GL,NL,SD,FK 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK,MN 21:CH,CR,HR,LI,LV 22:BG,BH,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,TL,OM,SO "
+        "24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+    ).split())
+    for c in countries.split(",")
+}
+ISSUER = re.compile(r"4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(?:5[1-5]|2[2-7])[0-9]{14}|3[47][0-9]{13}|3(?:0[0-5]|[689][0-9])[0-9]{11}|(?:35|8[12]|9792)[0-9]*(?<=^[0-9]{16})|6[0-9]{15,18}|5[06-9][0-9]{11,17}")
+CODE = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+IBAN_REST = re.compile(r"(?: ?[A-Z0-9])*")
+RUN = re.compile(r"(?<![0-9])[0-9]+(?:[ -][0-9]+)*")
+GROUP = re.compile(r"[0-9]+")
 PATTERNS = {
     "email": (re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), _email),
-    "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), _iban),
-    "card": (re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"), _card),
     "ssn": (re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), _ssn),
-    "phone": (re.compile(r"(?<![0-9A-Za-z])(?P<lead>\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"), _phone),
+    "phone": (
+        re.compile(
+            r"(?<![0-9A-Za-z])(?:(?P<lead>\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+            r"|(?P<code>\+[1-9])(?:[ ./-]?\(?[0-9]\)?){6,14}"
+            r"|(?=0(?:[ /-]?[0-9]){8,11}(?![0-9]))0[1-9][0-9]{0,4}[ /-][0-9]{2,8}(?:[ -][0-9]{2,8})*"
+            r"|\(0[1-9][0-9]{0,4}\) ?[0-9]{2,8}(?:[ -][0-9]{2,8})*|0[1-9](?:\.[0-9]{2}){4})(?![0-9])"
+        ),
+        _phone,
+    ),
     "ip": (re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"), _ip),
     "date": (re.compile(r"(?<![0-9-])(?P<y>[0-9]{4})-(?P<m>[0-9]{2})-(?P<d>[0-9]{2})(?![0-9-])|(?<![0-9./])(?P<d2>[0-9]{1,2})(?P<sep>[./])(?P<m2>[0-9]{1,2})(?P=sep)(?P<y2>[0-9]{4})(?!\.?[0-9])"), _date),
 }
@@ -185,19 +266,26 @@ def replace(text: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
     counts = dict.fromkeys(KINDS, 0)
     if not DIGIT.search(text) and "@" not in text:
         return text, counts
-    found = []
-    for place, kind in enumerate(KINDS):
-        pattern, change = PATTERNS[kind]
-        for m in _matches(kind, pattern, text):
-            new = change(m, key)
-            if new is not None:
-                found.append((m.start(), place, m.end(), kind, new))
+    found, rest = [], text
+    for kind in ORDER:
+        if kind == "iban":
+            new = list(_ibans(rest, key))
+        elif kind in ("card", "other card"):
+            new = list(_cards(rest, key, kind != "card"))
+        else:
+            pattern, change = PATTERNS[kind]
+            new = [(m.start(), m.end(), x) for m in _matches(kind, pattern, rest) if (x := change(m, key)) is not None]
+        at = 0
+        for start, stop, value in sorted(new):
+            if start >= at:
+                found.append((start, stop, kind.removeprefix("other "), value))
+                rest = rest[:start] + TAKEN * (stop - start) + rest[stop:]
+                at = stop
     out, at = [], 0
-    for start, _, stop, kind, new in sorted(found):
-        if start >= at:
-            out += [text[at:start], new]
-            at = stop
-            counts[kind] += 1
+    for start, stop, kind, value in sorted(found):
+        out += [text[at:start], value]
+        at = stop
+        counts[kind] += 1
     return "".join([*out, text[at:]]), counts
 
 
