@@ -224,7 +224,10 @@ def drain_window_summary(spark, sf):
 @query(f"""WITH {fx.OBJECTS}, g AS (SELECT DISTINCT account, log_group FROM lr), w AS ({GRID.format(w=HOUR, a=T0, b=D4)})
 SELECT g.log_group, window_start_ms, window_end_ms, mf.log_group IS NOT NULL AS archived FROM g, w LEFT JOIN mf USING (log_group, window_start_ms, window_end_ms) WHERE window_end_ms <= {D4}""".replace("LEFT JOIN mf USING (log_group, window_start_ms, window_end_ms)", "LEFT JOIN mf ON mf.log_group = g.log_group AND mf.window_start_ms = w.window_start_ms").replace("SELECT g.log_group, window_start_ms, window_end_ms,", "SELECT g.log_group, w.window_start_ms, w.window_end_ms,").replace("WHERE window_end_ms", "WHERE w.window_end_ms"))
 def drain_skip(spark, sf):
-    every, found = _group_grid(spark, sf, HOUR), fx.manifests(spark, sf)
+    return _marked(_group_grid(spark, sf, HOUR), fx.manifests(spark, sf))
+
+
+def _marked(every, found):
     mark = lambda df, is_there: df.select("log_group", *drain.WINDOW, F.lit(is_there).alias("archived"))
     return mark(drain.pending(every, found), False).unionByName(mark(drain.skipped(every, found), True))
 
@@ -236,7 +239,10 @@ SELECT log_group, count(CASE WHEN skipped THEN 1 END) AS windows_skipped, count(
   CAST(sum(CASE WHEN skipped THEN 0 ELSE b // 6 END) AS BIGINT) AS compressed_bytes, CAST(sum(CASE WHEN skipped OR n = 0 THEN 0 ELSE 1 END) AS BIGINT) AS objects_written,
   round(sum(CASE WHEN skipped THEN 0 ELSE b END) / 1073741824e0 / 4e0 * 3e-2 * 1e6, 6) AS log_micro_usd, round(sum(CASE WHEN skipped THEN 0 ELSE b // 6 END) / 1073741824e0 * 23e-3 * 1e6, 6) AS archive_micro_usd FROM x GROUP BY log_group""")
 def drain_report(spark, sf):
-    rows = drain.window_summary(_group_grid(spark, sf, HOUR), fx.log_records(spark, sf), HOUR)
+    return _report(drain.window_summary(_group_grid(spark, sf, HOUR), fx.log_records(spark, sf), HOUR))
+
+
+def _report(rows):
     rows = rows.withColumns({
         "skipped": F.expr(f"(window_start_ms div {HOUR}) % 4 = 0"), "dropped": F.lit(0).cast("long"), "compressed_bytes": F.expr("raw_bytes div 6"),
         "objects": F.when(F.col("records") > 0, 1).otherwise(0).cast("long"),
@@ -246,6 +252,42 @@ def drain_report(spark, sf):
     return out.withColumns(micro).drop("log_usd", "archive_usd", "savings_usd")
 
 
+# The same over all events: each group from its creation to the window of the greatest event time
+
+
+def _whole_grid(spark, sf, width):
+    until = fx.log_records(spark, sf).agg((F.max("timestamp") + 1).alias("_until"))
+    rows = fx.groups(spark, sf).select("account", "log_group", "creation_time_ms").crossJoin(F.broadcast(until))
+    return windows.with_grid(rows, F.col("creation_time_ms"), F.col("_until"), width, False).select("account", "log_group", *drain.WINDOW)
+
+
+WHOLE = f"""w AS (SELECT account, log_group, window_start_ms, window_start_ms + {HOUR} AS window_end_ms
+  FROM (SELECT account, log_group, unnest(range(creation_time_ms, (SELECT max(timestamp) + 1 FROM lr), {HOUR})) AS window_start_ms FROM gr)),
+s AS (SELECT log_group, timestamp // {HOUR} * {HOUR} AS s, count(*) AS n, CAST(sum(strlen(message)) AS BIGINT) AS b FROM lr GROUP BY ALL),
+x AS (SELECT account, w.log_group, window_start_ms, window_end_ms, coalesce(n, 0) AS n, coalesce(b, 0) AS b, (window_start_ms // {HOUR}) % 4 = 0 AS skipped
+  FROM w LEFT JOIN s ON s.log_group = w.log_group AND s.s = window_start_ms)"""
+
+
+@query(f"WITH {fx.GROUPS}, {WHOLE} SELECT account, log_group, window_start_ms, window_end_ms, n AS records, b AS raw_bytes FROM x")
+def drain_window_summary_whole(spark, sf):
+    return drain.window_summary(_whole_grid(spark, sf, HOUR), fx.log_records(spark, sf), HOUR)
+
+
+@query(f"""WITH {fx.OBJECTS}, {fx.GROUPS.removeprefix(fx.LOGS + ", ")}, {WHOLE}
+SELECT x.log_group, x.window_start_ms, x.window_end_ms, mf.log_group IS NOT NULL AS archived FROM x LEFT JOIN mf ON mf.log_group = x.log_group AND mf.window_start_ms = x.window_start_ms""")
+def drain_skip_whole(spark, sf):
+    return _marked(_whole_grid(spark, sf, HOUR), fx.manifests(spark, sf))
+
+
+@query(f"""WITH {fx.GROUPS}, {WHOLE}
+SELECT log_group, count(CASE WHEN skipped THEN 1 END) AS windows_skipped, count(CASE WHEN NOT skipped THEN 1 END) AS windows_processed, count(CASE WHEN NOT skipped AND n = 0 THEN 1 END) AS windows_empty,
+  CAST(sum(CASE WHEN skipped THEN 0 ELSE n END) AS BIGINT) AS records, CAST(0 AS BIGINT) AS events_outside_window, CAST(sum(CASE WHEN skipped THEN 0 ELSE b END) AS BIGINT) AS raw_bytes,
+  CAST(sum(CASE WHEN skipped THEN 0 ELSE b // 6 END) AS BIGINT) AS compressed_bytes, CAST(sum(CASE WHEN skipped OR n = 0 THEN 0 ELSE 1 END) AS BIGINT) AS objects_written,
+  round(sum(CASE WHEN skipped THEN 0 ELSE b END) / 1073741824e0 / 4e0 * 3e-2 * 1e6, 6) AS log_micro_usd, round(sum(CASE WHEN skipped THEN 0 ELSE b // 6 END) / 1073741824e0 * 23e-3 * 1e6, 6) AS archive_micro_usd FROM x GROUP BY log_group""")
+def drain_report_whole(spark, sf):
+    return _report(drain.window_summary(_whole_grid(spark, sf, HOUR), fx.log_records(spark, sf), HOUR))
+
+
 @query(f"""{LR}, s AS (SELECT DISTINCT log_group, stream FROM lr), n AS (SELECT *, count(*) OVER (PARTITION BY log_group) AS n, row_number() OVER (PARTITION BY log_group ORDER BY stream) - 1 AS p FROM s)
 SELECT log_group, stream, CAST(p % least(n, 3) AS BIGINT) AS shard, CAST(least(n, 3) AS BIGINT) AS shards FROM n""")
 def shard_assign(spark, sf):
@@ -309,6 +351,14 @@ def retention_gate(spark, sf):
     return retention.gate(fx.groups(spark, sf), fx.manifests(spark, sf), T0 + 10 * DAY, 7, HOUR)
 
 
+@query(f"""WITH {fx.OBJECTS}, {fx.GROUPS.removeprefix(fx.LOGS + ", ")}, n AS (SELECT log_group, unnest(range(creation_time_ms, (SELECT max(timestamp) - {7 * DAY} FROM lr), {HOUR})) AS s FROM gr),
+x AS (SELECT n.log_group, count(*) AS required, count(CASE WHEN mf.log_group IS NULL THEN 1 END) AS lacks FROM n LEFT JOIN mf ON mf.log_group = n.log_group AND mf.window_start_ms = s GROUP BY ALL)
+SELECT gr.log_group, coalesce(required, 0) AS required_windows, coalesce(lacks, 0) AS missing_windows, coalesce(lacks, 0) = 0 AS allowed FROM gr LEFT JOIN x USING (log_group)""")
+def retention_gate_whole(spark, sf):
+    now = fx.log_records(spark, sf).agg(F.max("timestamp")).first()[0] or T0  # one value
+    return retention.gate(fx.groups(spark, sf), fx.manifests(spark, sf), now, 7, HOUR)
+
+
 # Frames
 
 
@@ -510,6 +560,13 @@ def archive_roundtrip(spark, sf):
     return search.scan(archive.read(spark, path), D2, D2 + DAY)
 
 
+@query(f"{LR} SELECT account, log_group, timestamp, stream, message, ingestion_time, event_id, strftime(make_timestamp(timestamp * 1000), '%Y-%m-%d') AS dt, false AS bad FROM lr")
+def archive_roundtrip_whole(spark, sf):
+    path = _folder(spark, "archive")
+    archive.write(fx.log_records(spark, sf), path)
+    return archive.read(spark, path)
+
+
 @query(f"""{LR}, l AS (SELECT CASE arrival % 11 WHEN 3 THEN 'not json' WHEN 5 THEN '{{"stream": "s", "message": "m"}}' WHEN 7 THEN '' ELSE 'ok' END AS k FROM lr)
 SELECT k <> 'ok' AS bad, count(*) AS lines FROM l WHERE k <> '' GROUP BY ALL""")
 def corrupt_lines(spark, sf):

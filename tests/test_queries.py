@@ -52,3 +52,15 @@ def test_nothing_else_imports_the_training_data_operators():
             if name.endswith(".py") and os.path.basename(folder) != "llm":
                 with open(os.path.join(folder, name)) as f:
                     assert not re.search(r"^\s*(from|import)\b.*\bllm\b", f.read(), re.M), name
+
+
+def test_drain_covers_every_event(spark):
+    from logtide.plans import fixtures as fx
+
+    records, queries = fx.log_records(spark, SF), entry.queries()
+    n = records.count()
+    assert queries["drain_window_summary_whole"](spark, SF).selectExpr("sum(records)").first()[0] == n == queries["archive_roundtrip_whole"](spark, SF).count()
+    last = records.selectExpr("max(timestamp)").first()[0]
+    assert queries["drain_skip_whole"](spark, SF).selectExpr("max(window_end_ms)").first()[0] > last
+    hours = records.where(f"(timestamp div {fx.HOUR}) % 4 <> 0").count()
+    assert queries["drain_report_whole"](spark, SF).selectExpr("sum(records)").first()[0] == hours
