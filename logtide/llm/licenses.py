@@ -1,8 +1,8 @@
 """License scans by canonical digest, in DataFrame functions only.
 
-A text is brought into canonical form (lower case, copyright lines dropped, equivalent spellings made one,
-punctuation and white space reduced to single spaces) and hashed whole; the digest is joined with those of known
-licenses.
+A text is brought into canonical form (lower case, copyright notices dropped, equivalent spellings made one,
+punctuation and white space reduced to single spaces) and hashed whole.  Licenses are matched by the digest of a bare form, in which
+title lines and lines of reserved rights are dropped too and spellings are made one across line ends; it is joined with those of known licenses.
 
 Cases:  a null text has a null digest and no license; a text without letters or digits has the digest of the empty
 text and no license; copies of a license under several ids report the least id; other columns are ignored.
@@ -10,6 +10,8 @@ text and no license; copies of a license under several ids report the least id;
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,17 +29,35 @@ SPELLINGS = [
     ("sub license", "sublicense"), ("sub-license", "sublicense"), ("non commercial", "noncommercial"), ("non-commercial", "noncommercial"),
     ("per cent", "percent"), ("copyright owner", "copyright holder"), ("https://", "http://"),
 ]
-COPYRIGHT_LINE = r"(?m)^[ \t*#/;>-]*(?:copyright\b|©|\(c\))[^\n]*$"
+_MARGIN = r"(?m)^[ \t*#/;>-]*+"
+NOTICE = _MARGIN + r"(?:copyright\b(?![ \t]*$)(?![ \t,]+(?:notices?|holders?|owners?|laws?|licen[sc]es?|interests?|statements?|permissions?|protections?|treat(?:y|ies)|disclaimers?|rights?|status|conditions|and|or|in|on|to|of|is|as|for|which|that|with)\b)|©|\(c\)[ \t]*(?:(?=[^\n]*(?:copyright|\b(?:19|20)\d\d\b))|(?=(?:\S+[ \t]*){0,4}$)))[^\n]*$"
+"""A notice; wrapped text such as "copyright notice and this ..." and list items such as "(c) you must ..." are none."""
+_FAMILY = r"(?:mit(?:-0)?|expat|x11|isc|0?bsd|zlib|libpng)"
+TITLE = _MARGIN + r"(?=[^\n]*\b" + _FAMILY + r"\b)(?:[ \t\"':(),/._=*-]|\b(?:" + _FAMILY + r"|spdx|identifier|the|software|licen[sc]e|free|zero|two|three|[0-3]|clause|simplified|freebsd|net|new|revised|modified|original|no|attribution|or|style)\b){1,80}$"
+RIGHTS = _MARGIN + r"all rights (?:are )?reserved[.!]?[ \t*#/;-]*$"
 APART = r"[^\p{L}\p{N}]+"
 
 
+def _without_notices(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(text.cast("string")), r"\r\n?", "\n"), NOTICE, " ")
+
+
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text.cast("string")), COPYRIGHT_LINE, " ")
+    out = _without_notices(text)
     for one, other in SPELLINGS:
         out = F.replace(out, F.lit(one), F.lit(other))
     return F.trim(F.regexp_replace(out, APART, " "))
 
 
+def bare(text: Column) -> Column:
+    out = F.regexp_replace(F.regexp_replace(_without_notices(text), TITLE, " "), RIGHTS, " ")
+    out = F.concat(F.regexp_replace(F.replace(out, F.lit("https://"), F.lit("http://")), APART, " "), F.lit(" "))
+    for one, other in SPELLINGS:
+        if one.replace(" ", "").isalpha():
+            out = F.replace(out, F.lit(one), F.lit(other))
+    return F.trim(out)
+
+
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
@@ -49,10 +69,10 @@ def known_licenses(spark: SparkSession) -> DataFrame:
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Per row of (doc_id, text): doc_id, canonical_sha256, license_id (null: none)."""
-    table = known.select("license_id", digest(F.col("text")).alias("canonical_sha256"), canonical(F.col("text")).alias("_c")).where(F.length("_c") > 0)
-    table = table.groupBy("canonical_sha256").agg(F.min("license_id").alias("license_id"))
-    rows = docs.select("doc_id", digest(F.col("text")).alias("canonical_sha256"))
-    return rows.join(table, "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license_id")
+    table = known.select("license_id", bare(F.col("text")).alias("_c")).where(F.length("_c") > 0).select("license_id", F.sha2("_c", 256).alias("_bare"))
+    table = table.groupBy("_bare").agg(F.min("license_id").alias("license_id"))
+    rows = docs.select("doc_id", digest(F.col("text")).alias("canonical_sha256"), F.sha2(bare(F.col("text")), 256).alias("_bare"))
+    return rows.join(table, "_bare", "left").select("doc_id", "canonical_sha256", "license_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,15 +80,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
+    """SQL of the query over texts without wrapped notices, titles or full licenses, such as those of the test tables."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
     def form(text: str) -> str:
-        out = f"regexp_replace(lower({text}), {quote(COPYRIGHT_LINE)}, ' ', 'g')"
+        out = f"regexp_replace(lower({text}), {quote(SQL_NOTICE)}, ' ', 'g')"
         for one, other in SPELLINGS:
             out = f"replace({out}, {quote(one)}, {quote(other)})"
         return f"trim(regexp_replace({out}, {quote(APART)}, ' ', 'g'))"
 
-    known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in LICENSES.items())
+    known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in SHORT.items())
     return f"""
     WITH k(license_id, text) AS (VALUES {known}),
     t AS (SELECT sha256({form('text')}) AS canonical_sha256, min(license_id) AS license_id FROM k GROUP BY 1),
@@ -77,7 +98,8 @@ def oracle() -> str:
     """
 
 
-# The texts of short licenses.
+SQL_NOTICE = r"(?m)^[ \t*#/;>-]*(?:copyright\b|©|\(c\))[^\n]*$"
+# The texts of short licenses; the folder ``texts`` has long ones.
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 _BSD_WARRANTY = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 _BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
@@ -86,7 +108,7 @@ _BSD_HEAD = """Redistribution and use in source and binary forms, with or withou
 _BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
 _ISC_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-LICENSES = {
+SHORT = {
     "0BSD": f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n{_ISC_WARRANTY}",
     "BSD-2-Clause": f"{_BSD_HEAD}\n\n{_BSD_WARRANTY}",
     "BSD-3-Clause": f"{_BSD_HEAD}\n{_BSD_THIRD}\n\n{_BSD_WARRANTY}",
@@ -101,3 +123,4 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
 }
+LICENSES = SHORT | {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in sorted((files(__package__) / "texts").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import io
 import random
+import textwrap
 import zlib
 
 import brute
@@ -185,6 +186,32 @@ def test_licenses(spark, hard, nothing):
     assert len({r.d for r in known.select(licenses.digest(F.col("text")).alias("d")).collect()}) == len(licenses.LICENSES)
 
 
+def test_license_files(spark):
+    wrap = lambda text, n: "\n".join("\n".join(textwrap.wrap(p, n)) for p in text.split("\n"))
+    mit, isc, bsd = (licenses.LICENSES[x] for x in ("MIT", "ISC", "BSD-3-Clause"))
+    isc_file = """ISC License
+
+Copyright (c) 2004-2010 by Internet Systems Consortium, Inc. ("ISC")
+Copyright 1995 Someone
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+""" + wrap(isc.split("\n\n")[1], 70)
+    texts = {
+        "ISC": [isc_file, isc_file.replace("\n", "\r\n"), *("Copyright (c) 2020 A\n" + wrap(isc, n) for n in (40, 60, 72, 100))],
+        "MIT": [f"{t}\n\nCopyright (c) 2020 Someone\nAll rights reserved.\n\n{wrap(mit, n)}\n" for t in ("MIT License", "The MIT License (MIT)", "SPDX-License-Identifier: MIT") for n in (50, 78)],
+        "BSD-3-Clause": [f"{t}\n\nCopyright (c) 2020, The Authors.\nAll rights reserved.\n\n{wrap(bsd, 79)}" for t in ("BSD 3-Clause License", 'The 3-Clause "New" or "Revised" BSD License', "")],
+        **{k: ["Copyright The Owners\n" + licenses.LICENSES[k]] for k in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "LGPL-2.1")},
+        None: ["MIT License", "All rights reserved.", f"MIT License\n\n{mit}\n\nand more", licenses.LICENSES["GPL-3.0"][:9000]],
+    }
+    rows = [(i, name, text) for i, (name, text) in enumerate((k, t) for k, v in texts.items() for t in v)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(docs, licenses.known_licenses(spark)).collect()}
+    assert got == {i: name for i, name, _ in rows}
+
+
 def test_audio_round_trip(spark, hard, nothing):
     got = {(r.doc_id, r.n_bytes): r for r in audio.media_digests(hard).collect()}
     for d, text in pairs(hard):
