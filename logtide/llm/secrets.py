@@ -2,9 +2,9 @@
 
 Base patterns find labelled credentials of three kinds.  From a bounded sample of each kind's values (the ``SAMPLE``
 distinct ones of smallest hash over all documents) a prefix tree is built whose statistically compatible states
-are merged into a probabilistic automaton.  Class frequencies of tokens that are in no credential tell what is ordinary; they have
+are merged into a probabilistic automaton.  Class frequencies of tokens that overlap no credential tell what is ordinary; they have
 no memory, so that unlabelled secrets among those tokens do not teach them a format.  Then every
-credential-like token of every document is scored: one that is in no base span, is as likely in a kind's format as its own
+credential-like token of every document is scored, with its dots and also without those at its ends: one that is in no base span (it may contain one), is as likely in a kind's format as its own
 values are, and is likelier there than among ordinary tokens by ``MARGIN`` nats a character, is a span of kind ``inferred``.
 
 Characters are read by class (digits, a-f, other lower case, ...; each other character is a class of its own), evenly likely within it.
@@ -36,7 +36,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
-TOKEN = 16
+TOKEN = min(LEAST.values())
 SAMPLE, ALPHA, MARGIN = 2000, 0.05, 0.5
 OTHER = "token"
 
@@ -45,7 +45,7 @@ OTHER = "token"
 def _sets() -> tuple[np.ndarray, np.ndarray]:
     hexa, token = np.zeros(256, bool), np.zeros(256, bool)
     hexa[list(b"0123456789abcdef")] = True
-    token[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
+    token[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
     return hexa, token
 
 
@@ -58,6 +58,12 @@ def _runs(member: np.ndarray, least: int) -> list[tuple[int, int]]:
 
 def scan(text: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int, str]]]:
     """Base spans (start, kind's place, end, secret) and tokens (start, end, text) that overlap none; in code points."""
+    base, tokens, _ = candidates(text)
+    return base, tokens
+
+
+def candidates(text: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """Base spans, tokens that overlap none, and tokens that contain base spans and more."""
     base = []
     low = text.lower()
     if any(k in low for k in KEYWORDS):
@@ -71,10 +77,15 @@ def scan(text: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, in
     at = (lambda i: i) if plain else (lambda i: int(before[i]))
     hexa, token = _sets()
     base += [(at(a), 2, at(b), data[a:b].decode()) for a, b in _runs(hexa[raw], LEAST["hex"])]
-    tokens = [(at(a), at(b), data[a:b].decode()) for a, b in _runs(token[raw], TOKEN)]
-    if base and tokens:
-        tokens = [t for t in tokens if not any(s < t[1] and t[0] < e for s, _, e, _ in base)]
-    return sorted(base), tokens
+    free, around = [], []
+    for a, b in _runs(token[raw], TOKEN):
+        start, stop, value = at(a), at(b), data[a:b].decode()
+        met = [(s, e) for s, _, e, _ in base if s < stop and start < e] if base else []
+        if not met:
+            free.append((start, stop, value))
+        elif all(start <= s and e <= stop and (s, e) != (start, stop) for s, e in met):
+            around.append((start, stop, value))
+    return sorted(base), free, around
 
 
 # Grammar inference
@@ -167,7 +178,7 @@ def frequencies(values: list[str]) -> dict:
 def usual(background: dict | None, value: str) -> float:
     """Mean log probability a character among ordinary tokens; evenly likely if there are none."""
     if not background:
-        return -math.log(68)
+        return -math.log(69)
     of = [CLASS_OF.get(c, c) for c in value]
     return sum(math.log((background["count"].get(c, 0) + 0.5) / (background["n"] + 5)) - WIDTH.get(c, 0.0) for c in of) / len(of)
 
@@ -235,10 +246,16 @@ def infer(docs: DataFrame) -> dict[str, dict]:
 def inferred(tokens: list[tuple[int, int, str]], automata: dict[str, dict]) -> list[tuple[int, int]]:
     out = []
     for start, stop, value in tokens:
-        ordinary = usual(automata.get(OTHER), value)
-        scores = ((automata[k]["floor"], log_likelihood(automata[k], value)) for k in KINDS if k in automata)
-        if any(score >= floor and score - ordinary >= MARGIN for floor, score in scores):
-            out.append((start, stop))
+        inner = value.strip(".")
+        left = start + len(value) - len(value.lstrip("."))
+        for at, one in ((left, inner), (start, value)) if inner != value else ((start, value),):  # a dot may end the sentence
+            if len(one) < TOKEN:
+                continue
+            ordinary = usual(automata.get(OTHER), one)
+            scores = ((automata[k]["floor"], log_likelihood(automata[k], one)) for k in KINDS if k in automata)
+            if any(score >= floor and score - ordinary >= MARGIN for floor, score in scores):
+                out.append((at, at + len(one)))
+                break
     return out
 
 
@@ -246,9 +263,11 @@ def find(docs: DataFrame, automata: dict[str, dict]) -> DataFrame:
     """Per row of (doc_id, text): counts of base spans, their digest, and all spans as kind:start:end."""
 
     def row(text: str) -> tuple:
-        base, tokens = scan(text)
+        base, free, around = candidates(text)
+        taken = {(s, e) for s, _, e, _ in base}
+        tokens = free + around
         told = [(s, k, f"{KINDS[k]}:{s}:{e}") for s, k, e, _ in base]
-        every = sorted(told + [(s, len(KINDS), f"inferred:{s}:{e}") for s, e in inferred(tokens, automata)])
+        every = sorted(told + [(s, len(KINDS), f"inferred:{s}:{e}") for s, e in inferred(tokens, automata) if (s, e) not in taken])
         return (
             *(sum(1 for x in base if x[1] == k) for k in range(3)),
             hashlib.sha256(",".join(x[2] for x in told).encode()).hexdigest(), ",".join(x[2] for x in every), len(every) - len(told),

@@ -140,3 +140,20 @@ def test_pseudonyms_beside_numbers_and_words(around):
         if "+" not in number and not number.startswith("0"):  # their length is not known
             assert alone in new
     assert pseudonyms.replace("4111 1111 1111 1111 4012 8888 8888 1881 DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32")[1] | {"email": 0} == {"email": 0, "iban": 2, "card": 2, "ssn": 0, "phone": 0, "ip": 0, "date": 0}
+
+
+def test_secrets_score_every_candidate(spark):
+    dice = random.Random(5)
+    draw = lambda n: "".join(dice.choice("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    short, dotted, mixed = (lambda: "k_" + draw(11)), (lambda: f"{draw(8)}.{draw(8)}.{draw(8)}"), (lambda: f"{draw(6)}_0123456789abcdef")
+    word = lambda: "".join(dice.choice("aeiounrst") for _ in range(dice.randrange(12, 24)))
+    forms = {"short": short, "dotted": dotted, "mixed": mixed}
+    for name, form in forms.items():
+        rows = [(i, f"token = {form()} and {word()}") for i in range(120)]
+        bare = [(1000 + i, form()) for i in range(20)]
+        docs = spark.createDataFrame([*rows, *((i, f"found {v}{'.' if i % 2 else ''} here {word()}") for i, v in bare)], "doc_id long, text string")
+        found = {r.doc_id: r for r in secrets.find(docs, secrets.infer(docs)).collect()}
+        hits = sum(f"inferred:6:{6 + len(v)}" in found[i].spans.split(",") for i, v in bare)
+        assert hits >= 12, (name, hits)
+        if name == "mixed":
+            assert all(found[i].n_hex == 1 for i, _ in bare)
