@@ -2,7 +2,7 @@
 
 Base patterns find labelled credentials of three kinds.  From a bounded sample of each kind's values (the ``SAMPLE``
 distinct ones of smallest hash over all documents) a prefix tree is built whose statistically compatible states
-are merged into a probabilistic automaton.  Class frequencies of tokens that overlap no credential tell what is ordinary; they have
+are merged into a probabilistic automaton.  Class frequencies of all occurrences of tokens that overlap no credential tell what is ordinary; they have
 no memory, so that unlabelled secrets among those tokens do not teach them a format.  Then every
 credential-like token of every document is scored, with its dots and also without those at its ends: one that is in no base span (it may contain one), is as likely in a kind's format as its own
 values are, and is likelier there than among ordinary tokens by ``MARGIN`` nats a character, is a span of kind ``inferred``.
@@ -165,14 +165,11 @@ def learn(values: list[str], alpha: float = ALPHA) -> dict:
     return {"n": [n[k] for k in kept], "end": [end[k] for k in kept], "next": [{c: [number[t], m] for c, (t, m) in step[k].items()} for k in kept]}
 
 
-def frequencies(values: list[str]) -> dict:
-    """Mean log likelihood needs only this of ordinary tokens: the share of each class."""
-    count: dict[str, int] = {}
-    for value in values:
-        for c in value:
-            c = CLASS_OF.get(c, c)
-            count[c] = count.get(c, 0) + 1
-    return {"count": count, "n": sum(count.values())}
+def count_classes(count: dict[str, int], value: str) -> None:
+    """Mean log likelihood needs only this of ordinary tokens: how often each class occurs."""
+    for c in value:
+        c = CLASS_OF.get(c, c)
+        count[c] = count.get(c, 0) + 1
 
 
 def usual(background: dict | None, value: str) -> float:
@@ -196,32 +193,39 @@ def log_likelihood(automaton: dict, value: str) -> float:
     return total / (len(value) + 1)
 
 
-def sample(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """(kind, value): per kind the ``size`` distinct values of smallest hash over all documents.
+def sample(docs: DataFrame, size: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
+    """(kind, value): per kind the ``size`` distinct values of smallest hash over all documents; and (class, n): how often each class occurs in
+    all ordinary tokens.
 
     A task keeps no more than that of its own rows, so what is shuffled is bounded per task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[str, dict[str, int]] = {}
+        ordinary: dict[str, int] = {}
         for batch in batches:
             for text in batch.column(0):
                 base, tokens = scan(text.as_py() or "")
-                for kind, value in [*((KINDS[k], v) for _, k, _, v in base), *((OTHER, v) for _, _, v in tokens)]:
-                    least.setdefault(kind, {})[value] = _hash(value)
+                for _, k, _, value in base:
+                    least.setdefault(KINDS[k], {})[value] = _hash(value)
+                for _, _, value in tokens:
+                    count_classes(ordinary, value)
             for kind, found in least.items():
                 if len(found) > size:
                     least[kind] = dict(sorted(found.items(), key=lambda x: (x[1], x[0]))[:size])
-        rows = [(kind, value, h) for kind, found in least.items() for value, h in found.items()]
-        columns = list(zip(*rows, strict=True)) or [[], [], []]
-        yield pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["kind", "value", "h"])
-
-    found = saved(docs.select("text").mapInArrow(run, "kind string, value string, h long").distinct(), "secret-values")
-    parts = [found.where(F.col("kind") == k).orderBy("h", "value").limit(size) for k in (*KINDS, OTHER)]
+        rows = [(kind, value, h, 0) for kind, found in least.items() for value, h in found.items()]
+        rows += [(OTHER, c, 0, n) for c, n in ordinary.items()]
+        columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+        types = (pa.string(), pa.string(), pa.int64(), pa.int64())
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kind", "value", "h", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "kind string, value string, h long, n long")
+    found = saved(rows.groupBy("kind", "value", "h").agg(F.sum("n").alias("n")), "secret-values")
+    parts = [found.where(F.col("kind") == k).orderBy("h", "value").limit(size) for k in KINDS]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.select("kind", "value")
+    return out.select("kind", "value"), found.where(F.col("kind") == OTHER).select(F.col("value").alias("class"), "n")
 
 
 def _hash(value: str) -> int:
@@ -232,15 +236,16 @@ def infer(docs: DataFrame) -> dict[str, dict]:
     """Automata by kind, each with ``floor``: the score that all but a twentieth of its own values reach."""
 
     def run(key: tuple, values: pd.DataFrame) -> pd.DataFrame:
-        if key[0] == OTHER:
-            return pd.DataFrame({"kind": [OTHER], "automaton": [json.dumps(frequencies(values["value"].tolist()))]})
         automaton = learn(values["value"].tolist())
         scores = sorted(log_likelihood(automaton, v) for v in values["value"])
         automaton["floor"] = scores[len(scores) // 20]
         return pd.DataFrame({"kind": [key[0]], "automaton": [json.dumps(automaton)]})
 
-    learned = sample(docs).groupBy("kind").applyInPandas(run, "kind string, automaton string")
-    return {r["kind"]: json.loads(r["automaton"]) for r in learned.collect()}  # four at most, each from SAMPLE values
+    values, classes = sample(docs)
+    learned = values.groupBy("kind").applyInPandas(run, "kind string, automaton string")
+    automata = {r["kind"]: json.loads(r["automaton"]) for r in learned.collect()}  # three at most, each from SAMPLE values
+    count = {r["class"]: r["n"] for r in classes.collect()}  # a row for each class
+    return automata | ({OTHER: {"count": count, "n": sum(count.values())}} if count else {})
 
 
 def inferred(tokens: list[tuple[int, int, str]], automata: dict[str, dict]) -> list[tuple[int, int]]:

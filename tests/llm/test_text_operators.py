@@ -157,3 +157,9 @@ def test_secrets_score_every_candidate(spark):
         assert hits >= 12, (name, hits)
         if name == "mixed":
             assert all(found[i].n_hex == 1 for i, _ in bare)
+
+
+def test_secrets_count_every_ordinary_token(spark):
+    rows = [(i, f"{'a' * 12} {'G' * 13}{i:05d} {'z' * 20}") for i in range(3000)]
+    automata = secrets.infer(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert automata[secrets.OTHER]["count"] == {"a": 12 * 3000, "Z": 13 * 3000, "9": 5 * 3000, "z": 20 * 3000}
