@@ -9,7 +9,7 @@ Documents of equal sets are one class; everything after the first pass works on
    is first compared with the head of its block, and heads with the heads of larger blocks.  Whoever is then known to be in the same component needs no further answer: later rounds compare only
    members of different components, first the likeliest, then all.  So a large group of near copies costs
    about its size and not its square, while no link between different components is lost.
-   A set's answers are thus completed from those of a highly similar one instead of being computed anew.
+   Links inside a component are thus left out; only components are complete.
    A pair is dropped unverified if the parity bitmaps of its sets (each shingle flips one of ``64 * MASKS`` bits) differ in so many
    bits that the sets must differ in too many shingles.
 4. A pair is verified on whole sets: the text of one side is sent to the other, where all of a set's partners are
