@@ -157,6 +157,60 @@ def test_near_cases(spark, hard, nothing):
     assert near_duplicates.near_components(nothing).count() == 0
 
 
+def test_near_join_lists_every_link(spark, hard, nothing, monkeypatch):
+    for part in (near_duplicates.PART, 4):  # 4: lists of many parts
+        monkeypatch.setattr(near_duplicates.Index.__init__, "__defaults__", (part,))
+        links, rows = near_duplicates.join(hard)
+        class_of = collections.defaultdict(set)
+        for r in rows.collect():
+            class_of[r.sid].add(r.doc_id)
+        texts = dict(x for x in pairs(hard) if x[0] is not None)
+        sets = {sid: brute.shingles(texts[next(d for d in ids if d is not None)]) for sid, ids in class_of.items() if ids != {None}}
+        want = set()
+        for x in sets:
+            for y in sets:
+                common = len(sets[x] & sets[y])
+                if x < y and 100 * common >= 80 * (len(sets[x]) + len(sets[y]) - common):
+                    want.add((x, y, len(sets[x]), len(sets[y])))
+        got = [tuple(r) for r in links.collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+        rows = near_duplicates.near_components(hard).where("doc_id is not null").collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute.near_components(list(texts.items()))
+    assert near_duplicates.join(nothing)[0].count() == 0
+
+
+def test_near_long_documents_below_the_threshold(spark):
+    """Of documents that share 85 of 100 words and do not link, few pairs are compared on their texts."""
+    dice = random.Random(3)
+    common, compared = " ".join(f"c{dice.randrange(10**6)}" for _ in range(2550)), {}
+    for n in (60, 120, 240):
+        docs = [(i, f"{common} " + " ".join(f"d{dice.randrange(10**9)}" for _ in range(450))) for i in range(n)]
+        index = near_duplicates.Index(spark.createDataFrame(docs, "doc_id long, text string"))
+        assert index.linked.isEmpty()
+        for most in near_duplicates.ROUNDS:
+            index.round(spark.createDataFrame([], "node long, root long"), most)
+        compared[n] = index.answers.count()
+    assert all(v <= n for n, v in compared.items()), compared
+
+
+def test_near_answers_follow_from_leaders(spark):
+    """Two groups of near copies whose leaders do not link: most pairs between them need no text."""
+    dice = random.Random(5)
+    word = lambda: f"w{dice.randrange(10**6)}"
+    one = [word() for _ in range(300)]
+    two = one[:255] + [word() for _ in range(45)]
+    docs = []
+    for i in range(60):
+        w = list((one, two)[i % 2])
+        w[dice.randrange(250)] = word()
+        docs.append((i, " ".join(w)))
+    index = near_duplicates.Index(spark.createDataFrame(docs, "doc_id long, text string"))
+    ids = [r.sid for r in index.rows.orderBy("doc_id").collect()]
+    more = [(min(a, b), max(a, b), 296, 296) for a in ids[::2] for b in ids[1::2]]
+    counted, links = near_duplicates.derived(spark.createDataFrame(more, "a long, b long, n_a long, n_b long"), near_duplicates.leaders(index.linked), index.answers, index.texts)
+    assert links.isEmpty() and counted.count() < len(more) / 10
+
+
 def test_components(spark):
     dice = random.Random(9)
     edges = [(dice.randrange(300), dice.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1200)]
