@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, saved
-from .components import components
+from .components import components, extended
 from .shingles import GOLD, STEP, mix, set_id, shingle_sets
 
 K, PERCENT = 5, 80
 BUCKETS, CHUNK = 1 << 22, 1 << 14
 MASKS = 8
-PART, BLOCK, HUB = 512, 32, 512
+PART, BLOCK, HUB = 512, 32, 4096
 ROUNDS = (1, None)
 """With how many most similar members of other components a later round compares an entry in a part; None: with all."""
 PAIR, TOP, ENTRY = 0, 1, 2
@@ -272,12 +272,12 @@ def across(lists: DataFrame, roots: DataFrame, masks: DataFrame, most: int | Non
     shares = members.groupBy("list", "root").agg(F.count(F.lit(1)).alias("k"), F.max("part").alias("last"))
     open_lists = shares.groupBy("list").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.max("last").alias("last"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     pieces = lists.select("list", "part").distinct().join(open_lists.drop("roots"), "list")
-    members = saved(members.join(pieces, ["list", "part"]).join(masks.drop("n"), "sid"), "near-open")
-    others = F.explode(F.sequence(F.lit(0), "last")).alias("other")
-    columns = ["sid", "place", "root", *MASK_NAMES]
-    asking = members.where("root <> main").select("list", F.col("part").alias("mine"), others, F.lit(True).alias("asks"), *columns)
-    asked = members.select("list", "part", others, *columns).select("list", F.col("other").alias("mine"), F.col("part").alias("other"), F.lit(False).alias("asks"), *columns)
-    cells = asking.unionByName(asked).withColumn("cell", F.xxhash64("list", "mine", "other"))
+    members = members.join(pieces, ["list", "part"]).join(masks.drop("n"), "sid")
+    cell = lambda mine, other, asks: F.struct(mine.alias("mine"), other.alias("other"), F.lit(asks).alias("asks"))
+    others, own = F.sequence(F.lit(0), "last"), F.col("part")
+    asking = F.when(F.col("root") != F.col("main"), F.transform(others, lambda i: cell(own, i, True)))
+    dealt = F.explode(F.concat(F.transform(others, lambda i: cell(i, own, False)), F.coalesce(asking, F.array().cast("array<struct<mine:int,other:int,asks:boolean>>"))))
+    cells = members.withColumn("_cell", dealt).withColumns({"cell": F.xxhash64("list", "_cell.mine", "_cell.other"), "asks": F.col("_cell.asks")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, sid, place, root, asks, *mask in _groups(batches):
@@ -300,7 +300,7 @@ def across(lists: DataFrame, roots: DataFrame, masks: DataFrame, most: int | Non
 
 def texts_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(sid, text): a text of each wanted class (twice, if rows repeat it with its id)."""
-    one = rows.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "print")).alias("_one"))
+    one = rows.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "print")).alias("_one")).join(wanted, "sid", "left_semi")
     one = saved(one.select("sid", F.col("_one.doc_id").alias("_id"), F.col("_one.print").alias("_print")), "near-wanted")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_print"))
     return docs.select("doc_id", "text").join(one.hint("shuffle_hash"), same).select("sid", "text")  # texts need no sort
@@ -311,34 +311,36 @@ def answered(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     The pairs of a class with more than ``HUB`` of them are dealt to several tasks.
     """
-    asked = pairs.select("a", "b")
-    hubs = saved(asked.groupBy("a").agg((F.count(F.lit(1)) / HUB).cast("long").alias("parts")).where("parts > 0"), "near-hubs")
-    if hubs.isEmpty():
+    asked = saved(pairs.select("a", "b"), "near-asked")
+    count = asked.count()
+    small = count <= 200_000  # 24 bytes a row
+    hubs = asked.groupBy("a").agg((F.count(F.lit(1)) / HUB).cast("long").alias("parts")).where("parts > 0")
+    if count <= HUB or (hubs := saved(hubs, "near-hubs")).isEmpty():
         asked = asked.withColumn("part", F.lit(0).cast("long"))
     else:
         asked = asked.join(hubs, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts") + 1), F.lit(0)).alias("part"))
-    asked = saved(asked, "near-asked")
-    small = asked.count() <= 200_000  # 24 bytes a row
+        asked = saved(asked, "near-asked")
     side = lambda df: F.broadcast(df) if small else df.hint("shuffle_hash")
     sent = texts.join(side(asked), asked["b"] == texts["sid"]).select("a", "part", "b", "text")
     owners = asked.select("a", "part").distinct()
     own = texts.join(side(owners), F.col("a") == texts["sid"]).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner, mine = None, None
+        owner, mine, last = None, None, None
         for batch in batches:
             out = []
             for a, b, (theirs, _) in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(3).to_pylist(), K), strict=True):
                 if b is None:
-                    owner, mine = a, theirs
-                    continue
-                assert owner == a
-                out.append((a, b, len(mine), len(theirs), _common(mine, theirs)))
+                    owner, mine, last = a, theirs, None
+                elif b != last:
+                    assert owner == a
+                    last = b
+                    out.append((a, b, len(mine), len(theirs), _common(mine, theirs)))
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n_a", "n_b", "common"])
 
     rows = own.unionByName(sent).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return saved(rows.mapInArrow(run, "a long, b long, n_a long, n_b long, common long").distinct(), "near-answers")
+    return saved(rows.mapInArrow(run, "a long, b long, n_a long, n_b long, common long"), "near-answers")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -404,16 +406,19 @@ class Index:
         self.asked = pairs.select("a", "b")
         self.answers = answered(pairs, self.texts)
         self.linked = self.answers.where(LINKED)
+        self.nearest = None
 
-    def round(self, roots: DataFrame, most: int | None) -> bool:
-        """Answer the likely pairs across ``roots``; true if some link."""
+    def round(self, roots: DataFrame, most: int | None) -> DataFrame | None:
+        """Answer the likely pairs across ``roots``; the new links, if there are some."""
         more = saved(across(self.lists, roots, self.masks, most).join(self.asked, ["a", "b"], "left_anti"), "near-pairs")
         if more.isEmpty():
-            return False
-        answers, links = derived(more, saved(leaders(self.linked), "near-leaders"), self.answers, self.texts)
+            return None
+        if self.nearest is None:
+            self.nearest = saved(leaders(self.linked), "near-leaders")
+        answers, links = derived(more, self.nearest, self.answers, self.texts)
         self.asked = self.asked.unionByName(more.select("a", "b"))
         self.answers, self.linked = self.answers.unionByName(answers), self.linked.unionByName(links)
-        return not links.isEmpty()
+        return None if links.isEmpty() else links
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -429,8 +434,8 @@ def near_components(docs: DataFrame) -> DataFrame:
     index = Index(docs)
     rows, roots = index.rows, components(index.linked.select("a", "b"))
     for most in ROUNDS:
-        if index.round(roots, most):
-            roots = components(index.linked.select("a", "b"))
+        links = index.round(roots, most)
+        roots = roots if links is None else extended(roots, links)
     classes = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "sid"), "sid", "left")
     classes = saved(classes.withColumn("root", F.coalesce("root", "sid")), "near-classes")
     named = saved(classes.groupBy("root").agg(F.min("least").alias("component_id")), "near-named")
