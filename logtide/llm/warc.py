@@ -1,12 +1,16 @@
 """Write pages as a deduplicated WARC archive and read it back.
 
-Revisit resolution: only headers (digest, length, id) are shuffled by payload digest; the record with the largest
-id of each group of equal payloads is the response and every other one is written as a revisit that names it, with fresh
-headers and no payload.  Archives are written by Spark's text writer, whose line separator is WARC's
-end-of-record mark, and read back whole, record by record, by Content-Length.
+Revisit resolution: headers (digest, length, id, address) are shuffled by payload digest; the record with the largest
+id of each group of equal payloads is the response and every other one is a revisit that names it, with fresh
+headers and no payload.  Revisit records are made of headers alone.  Responses are the pages whose (id, digest) is not a revisit's: up to ``BROADCAST``
+revisits these keys are sent to the pages, and no payload is moved; beyond, pages are shuffled once to meet them.
+
+Archives are gzip files by Spark's text writer, whose line separator is WARC's end-of-record mark, of as many records as hold about
+``FILE_BYTES`` at the mean size; each file is read back in a stream, record by record, by Content-Length, and every payload's digest is verified.
 
 Cases:  null html is an empty payload; a null url writes no target line; rows that repeat the largest id of a
-group are all written as responses; a null id counts as smaller than any other; an empty table gives an empty archive;
+group are all written as responses; a null id counts as smaller than any other, and rows that only have null ids are responses; rows that repeat id, address and payload have one
+record id, all others their own; an empty table gives an empty archive; a very large page is held by one task, on its own and compressed with its file;
 other columns are ignored.
 """
 
@@ -14,16 +18,20 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, scratch, text_of
+from .common import read, saved, scratch, text_of
 
 END = "\r\n\r\n"
 HEX32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-ROWS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, url string"
+ROWS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, url string, record_id string, refers_to_record string"
+BROADCAST, FILE_BYTES, MOST = 500_000, 128 << 20, 20_000
+PIECE = 1 << 18
+REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def base32_sha1(data: Column) -> Column:
@@ -33,91 +41,158 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*parts), HEX32, BASE32)
 
 
-def resolve(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload (string), bytes, digest and ``original``: the id a revisit refers to, else null."""
-    rows = pages.select("page_id", "url", text_of(F.col("html")).alias("payload"))
-    rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": base32_sha1(F.encode("payload", "UTF-8"))})
-    copied = (
-        rows.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes")
-        .agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("rows"))
-        .where("rows > 1 and original is not null").drop("rows")
-    )
-    joined = rows.join(copied, ["digest", "bytes"], "left")
-    revisit = F.col("original").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("original")))
-    return joined.withColumn("original", F.when(revisit, F.col("original")))
-
-
-def records(resolved: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """One WARC record a row, without its end mark."""
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    is_revisit = F.col("original").isNotNull()
-    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
-    uri = F.regexp_replace(F.col("url"), r"[\x00-\x20\x7F]", "%20")
-    head = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.when(is_revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", name(F.col("page_id"))),
-        line("WARC-Date", F.lit(date)),
-        F.when(uri.isNotNull(), line("WARC-Target-URI", uri)).otherwise(""),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        line("X-Payload-Length", F.col("bytes").cast("string")),
-        F.when(
-            is_revisit,
-            F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", name(F.col("original")))),
-        ).otherwise(line("Content-Type", F.lit("text/html; charset=utf-8"))),
-        line("Content-Length", F.when(is_revisit, "0").otherwise(F.col("bytes").cast("string"))),
-        F.lit("\r\n"),
-    )
-    return resolved.select(F.concat(head, F.when(is_revisit, "").otherwise(F.col("payload"))).alias("record"))
+def payloads(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, bytes and digest of every page."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of(F.col("html")).alias("payload"))
+    return rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": base32_sha1(F.encode("payload", "UTF-8"))})
 
 
-def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int = 2000) -> None:
-    """Write gzip-compressed archives of at most ``records_per_file`` records below ``path``."""
-    out = records(resolve(pages, least_bytes)).write
-    out.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+def revisits(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """Of (page_id, url, bytes, digest) those rows that revisit an earlier original, with ``original`` (id) and ``original_url``."""
+    rows = headers.where(F.col("bytes") >= least_bytes)
+    top = rows.where("page_id is not null").groupBy("digest", "bytes").agg(F.max(F.struct("page_id", "url")).alias("top"), F.count(F.lit(1)).alias("rows"))
+    nulls = rows.where("page_id is null").select("digest", "bytes").distinct().withColumn("null_too", F.lit(True))
+    top = top.join(nulls, ["digest", "bytes"], "left").where("rows > 1 or null_too")
+    joined = rows.join(top.select("digest", "bytes", "top"), ["digest", "bytes"])
+    found = joined.where(F.col("page_id").isNull() | (F.col("page_id") < F.col("top.page_id")))
+    return found.select("page_id", "url", "bytes", "digest", F.col("top.page_id").alias("original"), F.col("top.url").alias("original_url"))
 
 
-def _id(text: bytes) -> int | None:
-    inner = text.removeprefix(b"<urn:page:").removesuffix(b">")
-    return None if inner == b"null" else int(inner)
+def record_id(kind: str, page_id: Column, digest: Column, url: Column) -> Column:
+    parts = [F.coalesce(c.cast("string"), F.lit("null")) for c in (page_id, digest, url)]
+    key = F.md5(F.concat_ws(" ", F.lit(kind), *parts))
+    return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(key, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
-def parse(data: bytes) -> Iterator[tuple]:
-    """Records of one archive: the body's length is Content-Length, whatever it contains."""
-    at, mark = 0, END.encode()
-    while at < len(data):
-        stop = data.index(mark, at)
-        head = dict(x.split(b": ", 1) for x in data[at:stop].split(b"\r\n")[1:])
-        length = int(head[b"Content-Length"])
-        body = data[stop + 4 : stop + 4 + length]
-        at = stop + 4 + length + len(mark)
-        kind = head[b"WARC-Type"].decode()
+def _line(name: str, value: Column) -> Column:
+    return F.when(value.isNull(), "").otherwise(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")))
+
+
+def _head(kind: str, date: str, more: list[Column]) -> Column:
+    return F.concat(
+        F.lit("WARC/1.1\r\n"),
+        _line("WARC-Type", F.lit(kind)),
+        _line("WARC-Record-ID", record_id(kind, F.col("page_id"), F.col("digest"), F.col("url"))),
+        _line("WARC-Date", F.lit(date)),
+        _line("WARC-Target-URI", F.regexp_replace(F.col("url"), r"[\x00-\x20\x7F]", "%20")),
+        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+        _line("X-Page-ID", F.col("page_id").cast("string")),
+        _line("X-Payload-Length", F.col("bytes").cast("string")),
+        *more,
+        F.lit("\r\n"),
+    )
+
+
+def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int | None = None, date: str | None = None) -> None:
+    """Write gzip-compressed archives below ``path``; ``date`` is that of all records, now by default."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    rows = payloads(pages)
+    headers = saved(rows.drop("payload"), "warc-headers")
+    again = saved(revisits(headers, least_bytes), "warc-revisits")
+    keys = again.select("page_id", "digest").distinct()
+    if again.count() <= BROADCAST:  # some 60 bytes a row
+        keys = F.broadcast(keys)
+    keys = keys.withColumnsRenamed({"page_id": "_id", "digest": "_digest"})
+    known = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    body = [_line("Content-Type", F.lit("text/html; charset=utf-8")), _line("Content-Length", F.col("bytes").cast("string"))]
+    responses = rows.join(keys, known, "left_anti").select(F.concat(_head("response", date, body), F.col("payload")).alias("record"))
+    named = [
+        _line("WARC-Profile", F.lit(REVISIT)), _line("WARC-Refers-To", record_id("response", F.col("original"), F.col("digest"), F.col("original_url"))),
+        _line("X-Refers-To-Page-ID", F.col("original").cast("string")), _line("Content-Length", F.lit("0")),
+    ]
+    records = responses.unionByName(again.select(_head("revisit", date, named).alias("record")))
+    if records_per_file is None:
+        mean = headers.agg(F.avg("bytes")).first()[0] or 0
+        records_per_file = int(min(MOST, max(1, FILE_BYTES // (mean + 512))))
+    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+
+
+class Stream:
+    """The inflated bytes of a gzip file of one or more members, a piece at a time."""
+
+    def __init__(self, packed: bytes) -> None:
+        self.packed, self.at, self.inflate, self.ready = packed, 0, zlib.decompressobj(wbits=31), bytearray()
+
+    def more(self) -> bool:
+        """Inflate a piece; false at the end."""
+        if self.at >= len(self.packed):
+            return False
+        if self.inflate.eof:
+            self.inflate = zlib.decompressobj(wbits=31)
+        piece = self.packed[self.at : self.at + PIECE]
+        self.ready += self.inflate.decompress(piece)
+        self.at += len(piece) - len(self.inflate.unused_data)
+        return True
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What stands before ``mark``; none at the end."""
+        seen = 0
+        while (stop := self.ready.find(mark, seen)) < 0:
+            seen = max(0, len(self.ready) - len(mark) + 1)
+            if not self.more():
+                if self.ready:
+                    raise ValueError("an archive ends inside a record")
+                return None
+        found = bytes(self.ready[:stop])
+        del self.ready[: stop + len(mark)]
+        return found
+
+    def pieces(self, n: int) -> Iterator[bytes]:
+        """The next n bytes."""
+        while n:
+            if not self.ready and not self.more():
+                raise ValueError("an archive ends inside a record")
+            piece = bytes(self.ready[:n])
+            del self.ready[: len(piece)]
+            n -= len(piece)
+            if piece:
+                yield piece
+
+
+def parse(packed: bytes, bodies: bool = True) -> Iterator[tuple]:
+    """Records of one gzip file, in ``ROWS``: the body's length is Content-Length, whatever it contains."""
+    import base64
+    import hashlib
+
+    stream, mark = Stream(packed), END.encode()
+    while (top := stream.until(mark)) is not None:
+        head = dict(x.split(": ", 1) for x in top.decode().split("\r\n")[1:])
+        kind, page, sha1, body = head["WARC-Type"], head.get("X-Page-ID"), hashlib.sha1(), bytearray()
+        for piece in stream.pieces(int(head["Content-Length"])):
+            sha1.update(piece)
+            if bodies:
+                body += piece
+        if stream.until(mark) != b"":
+            raise ValueError(f"record {page}: no end mark")
+        digest, refers = head["WARC-Payload-Digest"].removeprefix("sha1:"), head.get("X-Refers-To-Page-ID")
+        if kind == "response" and base64.b32encode(sha1.digest()).decode() != digest:
+            raise ValueError(f"payload of record {page} does not match its digest")
         yield (
-            _id(head[b"WARC-Record-ID"]), int(head[b"X-Payload-Length"]), head[b"WARC-Payload-Digest"].removeprefix(b"sha1:").decode(), kind,
-            _id(head[b"WARC-Refers-To"]) if kind == "revisit" else None, body if kind == "response" else None,
-            head[b"WARC-Target-URI"].decode() if b"WARC-Target-URI" in head else None,
+            None if page is None else int(page), int(head["X-Payload-Length"]), digest, kind, None if refers is None else int(refers),
+            bytes(body) if kind == "response" and bodies else None, head.get("WARC-Target-URI"), head["WARC-Record-ID"], head.get("WARC-Refers-To"),
         )
 
 
 def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Rows of ``ROWS``; a revisit has no payload of its own.  The digest of every payload is verified."""
-    import base64
-    import hashlib
-
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.string()]
     names = [x.split()[0] for x in ROWS.split(", ")]
 
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*found, strict=True) if found else [[] for _ in names]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                data = zlib.decompress(content.as_py(), wbits=31)
-                found = []
-                for record in parse(data):
-                    if record[5] is not None and base64.b32encode(hashlib.sha1(record[5]).digest()).decode() != record[2]:
-                        raise ValueError(f"payload of record {record[0]} does not match its digest")
-                    found.append(record if payloads else (*record[:5], None, record[6]))
-                columns = zip(*found, strict=True) if found else [[] for _ in names]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+                found, size = [], 0
+                for record in parse(content.as_py(), payloads):
+                    found.append(record)
+                    size += 256 + len(record[5] or b"")
+                    if size >= FILE_BYTES // 4:
+                        yield batch_of(found)
+                        found, size = [], 0
+                yield batch_of(found)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(rows, ROWS)

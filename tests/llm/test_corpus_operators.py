@@ -8,6 +8,7 @@ import zlib
 import brute
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -79,11 +80,33 @@ def test_warc(spark, tmp_path):
             original = top.get(h or "") if len(data) >= least else None
             revisit = original is not None and (i is None or i < original)
             assert (r.payload_bytes, r.record_type, r.refers_to) == (len(data), "revisit" if revisit else "response", original if revisit else None)
+        ids = {(r.record_type, r.page_id, r.payload_digest, r.url): r.record_id for r in got}
+        assert len(set(ids.values())) == len(ids)
+        responses = {r.record_id for r in got if r.record_type == "response"}
+        assert all(r.refers_to_record in responses for r in got if r.record_type == "revisit")
     empty = str(tmp_path / "none")
     warc.write_archive(pages.limit(0), empty)
     assert warc.read_archive(spark, empty).count() == 0
 
 
+def test_warc_moves_no_payload(spark, tmp_path, monkeypatch):
+    """A page of 50 MB is read in a stream; beyond the bound on broadcasts the result is the same."""
+    rows = [(i, "u", "ab" * 25_000_000 if i == 3 else f"page {i % 4}") for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = []
+    for bound in (warc.BROADCAST, 0):
+        monkeypatch.setattr(warc, "BROADCAST", bound)
+        warc.write_archive(pages, str(tmp_path / f"w{bound}"))
+        got.append(sorted(map(tuple, warc.read_archive(spark, str(tmp_path / f"w{bound}"), payloads=False).drop("record_id", "refers_to_record").collect())))
+    assert got[0] == got[1] and got[0][3][:2] == (3, 50_000_000) and [r[3] for r in got[0]].count("revisit") == 7
+    import gzip
+
+    packed = b"".join(gzip.compress(f"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:{i}>\r\nWARC-Payload-Digest: sha1:X\r\nX-Payload-Length: 0\r\nContent-Length: 0\r\n\r\n\r\n\r\n".encode()) for i in range(3))
+    assert [r[7] for r in warc.parse(packed)] == ["<urn:0>", "<urn:1>", "<urn:2>"]
+    with pytest.raises(ValueError):
+        list(warc.parse(packed[:-20]))
+
+
 def leaks(df):
     return [(r.doc_id, (r.n_words, r.n_hit, r.n_items, r.items_sha256)) for r in df.collect()]
 

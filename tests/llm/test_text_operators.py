@@ -163,3 +163,32 @@ def test_secrets_count_every_ordinary_token(spark):
     rows = [(i, f"{'a' * 12} {'G' * 13}{i:05d} {'z' * 20}") for i in range(3000)]
     automata = secrets.infer(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     assert automata[secrets.OTHER]["count"] == {"a": 12 * 3000, "Z": 13 * 3000, "9": 5 * 3000, "z": 20 * 3000}
+
+
+def test_secret_scan_takes_linear_time():
+    import time
+
+    text = "token = 0123456789ABCDEFGHIJ deadbeefdeadbeef12 abc_0.12345678901 " * 20_000
+    began = time.time()
+    base, free, around = secrets.candidates(text)
+    assert (len(base), len(free), len(around)) == (40_000, 20_000, 0) and time.time() - began < 20
+
+
+def test_secrets_precision_and_recall(spark):
+    """Planted unlabelled secrets of three labelled formats among identifiers, paths, numbers and words."""
+    dice = random.Random(8)
+    draw = lambda chars, n: "".join(dice.choice(chars) for _ in range(n))
+    upper, low = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    secret = [lambda: "zk_" + draw(upper, 24), lambda: draw(upper + low, 32), lambda: f"{draw(upper, 8)}-{draw(upper, 8)}"]
+    plain = [
+        lambda: "_".join(draw(low, dice.randrange(4, 9)) for _ in range(3)), lambda: "/".join(draw(low, dice.randrange(3, 9)) for _ in range(4)) + ".html",
+        lambda: "".join(draw(low, dice.randrange(4, 8)).title() for _ in range(3)), lambda: f"2024-0{dice.randrange(1, 9)}-1{dice.randrange(9)}T1{dice.randrange(9)}", lambda: draw(low, 14),
+    ]
+    rows = [(i, f"token = {secret[i % 3]()} then {plain[i % 5]()} and {plain[(i + 1) % 5]()}") for i in range(600)]
+    bare = {1000 + i: (secret[i % 3] if i % 4 == 0 else plain[i % 5])() for i in range(800)}
+    docs = spark.createDataFrame([*rows, *((i, f"see {v} there") for i, v in bare.items())], "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in secrets.find(docs, secrets.infer(docs)).collect() if r.doc_id >= 1000}
+    hits = {i for i, spans in found.items() if f"inferred:4:{4 + len(bare[i])}" in spans}
+    true = {i for i in bare if (i - 1000) % 4 == 0}
+    print("precision", len(hits & true) / max(1, len(hits)), "recall", len(hits & true) / len(true))
+    assert len(hits & true) >= 0.6 * len(true) and len(hits & true) >= 0.5 * len(hits)  # dates look like the third format
