@@ -1,18 +1,20 @@
 """Audio features of media columns.
 
-Samples are kept as 8-bit WAV bytes and read back from those bytes.  Features: polyphase resampling to a common
+Samples are kept as 8-bit WAV bytes, stored, and read back from those bytes.  Features: polyphase resampling to a common
 rate, overlapped frames under a mel filterbank in log scale, and segments of activity by energy with hysteresis (a
-segment opens at the higher threshold and closes at the lower one).  ``tensors`` stores the log-mel frames as
-Arrow fixed-shape tensors, each with its time span; ``describe`` gives a short text of all features.
+segment opens at the higher threshold and closes at the lower one).  The log-mel frames of a recording are one Arrow stream of
+fixed-shape tensors of ``STEP`` frames, each with its time span; ``describe`` gives a short text of all features.
 
-Frames are computed in blocks of ``BLOCK`` frames, so working memory does not depend on the length of a recording.
+Resampling and filterbanks work in blocks, so beyond a recording's own bytes and its frames (0.7 bytes a sample) memory does not depend on its length.
 
-Cases:  null is an empty recording; it is padded to 64 zero samples like any other to a positive multiple of 64.
+Cases:  null is an empty recording; it is padded to 64 zero samples like any other to a positive multiple of 64; rows that repeat get
+equal results, whatever their id; an empty table gives no row; a very long text is one value of one task; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read
+from .common import read, scratch
 
 RATE, TARGET, UP, DOWN = 8000, 6000, 3, 4
 TAPS = 16
@@ -64,17 +66,28 @@ def _phases() -> np.ndarray:
     return np.ascontiguousarray(phases / phases.sum(axis=1, keepdims=True), dtype=np.float32)
 
 
+def resampled(x: np.ndarray) -> Iterator[np.ndarray]:
+    """Rate times UP / DOWN, in blocks: output m is phase (m * DOWN) mod UP of the filter over the inputs that end at m * DOWN // UP.
+
+    Unsigned 8-bit samples are scaled to -1 .. 1.
+    """
+    count, stride = (len(x) * UP) // DOWN, UP * 8 * BLOCK
+    for first in range(0, count, stride):
+        stop = min(first + stride, count)
+        low, high = first * DOWN // UP - (TAPS - 1), (stop - 1) * DOWN // UP + 1
+        part = x[max(low, 0) : high].astype(np.float32)
+        if x.dtype == np.uint8:
+            part = (part - 128) / 128
+        windows = np.lib.stride_tricks.sliding_window_view(np.pad(part, (max(-low, 0), TAPS)), TAPS)
+        out = np.empty(stop - first, np.float32)
+        for r in range(min(UP, len(out))):
+            n = len(out[r::UP])
+            out[r::UP] = windows[r * DOWN // UP :: DOWN][:n] @ _phases()[r * DOWN % UP]
+        yield out
+
+
 def resample(x: np.ndarray) -> np.ndarray:
-    """Rate times UP / DOWN: output m is phase (m * DOWN) mod UP of the filter over the inputs that end at m * DOWN // UP."""
-    n = (len(x) * UP) // DOWN
-    padded = np.concatenate([np.zeros(TAPS - 1, np.float32), x, np.zeros(TAPS, np.float32)])
-    windows = np.lib.stride_tricks.sliding_window_view(padded, TAPS)
-    out = np.empty(n, np.float32)
-    for first in range(min(UP, n)):
-        m = np.arange(first, n, UP)
-        start, step = first * DOWN // UP, DOWN
-        out[first::UP] = windows[start : start + step * len(m) : step][: len(m)] @ _phases()[first * DOWN % UP]
-    return out
+    return np.concatenate([np.empty(0, np.float32), *resampled(x)])
 
 
 @cache
@@ -86,17 +99,23 @@ def _filters() -> np.ndarray:
     return np.maximum(0, np.minimum(up, down)).astype(np.float32)
 
 
-def log_mel(x: np.ndarray) -> Iterator[np.ndarray]:
-    """Blocks of (frames, MELS); the last frame is padded with silence."""
+def log_mel(blocks: Iterator[np.ndarray], n: int) -> Iterator[np.ndarray]:
+    """Blocks of (frames, MELS) of a signal of n samples; the last frame is padded with silence."""
     window = np.hanning(FRAME).astype(np.float32)
-    count = max(1, -(-max(0, len(x) - FRAME) // HOP) + 1)
-    for first in range(0, count, BLOCK):
-        frames = min(BLOCK, count - first)
-        part = x[first * HOP : first * HOP + (frames - 1) * HOP + FRAME]
-        part = np.pad(part, (0, (frames - 1) * HOP + FRAME - len(part)))
-        view = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP] * window
-        power = np.abs(np.fft.rfft(view, FFT)) ** 2
-        yield (10 * np.log10(power.astype(np.float32) @ _filters() + 1e-6)).astype(np.float32)
+    count, done, rest = max(1, -(-max(0, n - FRAME) // HOP) + 1), 0, np.empty(0, np.float32)
+    for block in itertools.chain(blocks, [None]):
+        if block is not None:
+            rest = np.concatenate([rest, block])
+        while done < count:
+            frames = min(BLOCK, count - done)
+            need = (frames - 1) * HOP + FRAME
+            if len(rest) < need and block is not None:
+                break
+            part = rest[:need]
+            view = np.lib.stride_tricks.sliding_window_view(np.pad(part, (0, need - len(part))), FRAME)[::HOP] * window
+            power = np.abs(np.fft.rfft(view, FFT)) ** 2
+            yield (10 * np.log10(power.astype(np.float32) @ _filters() + 1e-6)).astype(np.float32)
+            rest, done = rest[frames * HOP :], done + frames
 
 
 def segments(energy: np.ndarray) -> list[tuple[int, int]]:
@@ -110,8 +129,8 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
 
 
 def features(samples: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-    mel = np.concatenate(list(log_mel(resample(x))))
+    x = np.frombuffer(samples, np.uint8)
+    mel = np.concatenate(list(log_mel(resampled(x), (len(x) * UP) // DOWN)))
     return mel, segments(mel.mean(axis=1))
 
 
@@ -133,67 +152,80 @@ def tensor_type() -> pa.FixedShapeTensorType:
     return pa.fixed_shape_tensor(pa.float32(), [STEP, MELS], dim_names=["frame", "mel"])
 
 
-def tensors(media: DataFrame) -> DataFrame:
-    """(doc_id, wav) to (doc_id, start_ms, end_ms, tensor): ``tensor`` is an Arrow stream with one
-    fixed-shape tensor of (STEP, MELS), the last one filled up with its least value."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, wav in zip(batch.column(0), batch.column(1), strict=True):
-                mel, _ = features(from_wav(wav.as_py())[0])
-                short = -len(mel) % STEP
-                mel = np.pad(mel, ((0, short), (0, 0)), constant_values=mel.min())
-                blobs = []
-                for block in mel.reshape(-1, STEP, MELS):
-                    sink = pa.BufferOutputStream()
-                    storage = pa.FixedSizeListArray.from_arrays(pa.array(block.ravel(), pa.float32()), STEP * MELS)
-                    column = pa.ExtensionArray.from_storage(tensor_type(), storage)
-                    with pa.ipc.new_stream(sink, pa.schema([("log_mel", column.type)])) as out:
-                        out.write_batch(pa.record_batch([column], names=["log_mel"]))
-                    blobs.append(sink.getvalue().to_pybytes())
-                starts = [1000 * STEP * i * HOP / TARGET for i in range(len(blobs))]
-                ends = [s + 1000 * ((STEP - 1) * HOP + FRAME) / TARGET for s in starts]
-                ids = pa.array([doc_id.as_py()] * len(blobs), pa.int64())
-                yield pa.record_batch([ids, pa.array(starts), pa.array(ends), pa.array(blobs, pa.binary())], names=["doc_id", "start_ms", "end_ms", "tensor"])
-
-    return media.select("doc_id", "wav").mapInArrow(run, "doc_id long, start_ms double, end_ms double, tensor binary")
+def tensors(mel: np.ndarray) -> bytes:
+    """An Arrow stream of (start_ms, end_ms, log_mel), ``log_mel`` being a fixed-shape tensor of (STEP, MELS); the last one is filled up
+    with the least value."""
+    mel = np.pad(mel, ((0, -len(mel) % STEP), (0, 0)), constant_values=mel.min())
+    storage = pa.FixedSizeListArray.from_arrays(pa.array(mel.ravel(), pa.float32()), STEP * MELS)
+    start = 1000 * HOP / TARGET * np.arange(0, len(mel), STEP)
+    columns = [pa.array(start), pa.array(start + 1000 * ((STEP - 1) * HOP + FRAME) / TARGET), pa.ExtensionArray.from_storage(tensor_type(), storage)]
+    batch = pa.record_batch(columns, names=["start_ms", "end_ms", "log_mel"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()),
-    ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()),
+    ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("tensors", pa.binary()),
 ])
+ROW = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensors binary"
+BATCH_BYTES = 16 << 20
 
 
-def digest(doc_id: int | None, text: str | None) -> tuple:
-    n, payload = payload_of(text)
-    wav = to_wav(payload)
+def digest(doc_id: int | None, n_bytes: int, wav: bytes) -> tuple:
     back, _ = from_wav(wav)
     mel, spans = features(back)
-    return (doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(wav), hashlib.sha256(wav).hexdigest(), describe(mel, spans))
+    return (
+        doc_id, n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(wav), hashlib.sha256(wav).hexdigest(), describe(mel, spans), tensors(mel),
+    )
 
 
-def media_digests(docs: DataFrame) -> DataFrame:
-    """Per row of (doc_id, text): the stored payload's digests and its features as text."""
+def described(stored: DataFrame) -> DataFrame:
+    """Per recording (doc_id, n_bytes, wav): the payload's and the media's digests, all features as text, and the log-mel tensors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = lambda rows: pa.RecordBatch.from_pylist([dict(zip(SCHEMA.names, r, strict=True)) for r in rows], SCHEMA)
         for batch in batches:
-            rows = [digest(a.as_py(), b.as_py()) for a, b in zip(batch.column(0), batch.column(1), strict=True)]
-            yield pa.RecordBatch.from_pylist([dict(zip(SCHEMA.names, r, strict=True)) for r in rows], SCHEMA)
+            rows, size = [], 0
+            for doc_id, n, wav in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                rows.append(digest(doc_id.as_py(), n.as_py(), wav.as_py()))
+                size += len(rows[-1][-1])
+                if size >= BATCH_BYTES:
+                    yield make(rows)
+                    rows, size = [], 0
+            yield make(rows)
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return stored.select("doc_id", "n_bytes", "wav").mapInArrow(run, ROW)
 
 
 def media(docs: DataFrame) -> DataFrame:
-    """(doc_id, wav): the stored form of every text's payload."""
+    """(doc_id, n_bytes, wav): the stored form of every text's payload, and the bytes of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = lambda rows: pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 3, types, strict=True)], names=["doc_id", "n_bytes", "wav"])
+        types = (pa.int64(), pa.int64(), pa.binary())
         for batch in batches:
-            wavs = pa.array([to_wav(payload_of(x.as_py())[1]) for x in batch.column(1)], pa.binary())
-            yield pa.record_batch([batch.column(0), wavs], names=["doc_id", "wav"])
+            rows, size = [], 0
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                n, payload = payload_of(text.as_py())
+                rows.append((doc_id.as_py(), n, to_wav(payload)))
+                size += n
+                if size >= BATCH_BYTES:
+                    yield make(rows)
+                    rows, size = [], 0
+            yield make(rows)
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, wav binary")
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, wav binary")
+
+def media_digests(docs: DataFrame) -> DataFrame:
+    """Store the media of (doc_id, text) and describe what is read back."""
+    path = scratch(docs.sparkSession, "media")
+    made = media(docs)
+    made.write.option("compression", "zstd").parquet(path)
+    return described(docs.sparkSession.read.schema(made.schema).parquet(path))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

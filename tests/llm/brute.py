@@ -51,8 +51,8 @@ def dedup_lines(docs):
         kept = []
         for line in (text or "").split("\n"):
             w = words(line)
-            gone = len(w) >= 5 and (w in seen or len(w) >= 10 and any(len(s) >= 10 and one_word_apart(w, s) for s in seen))
-            if len(w) >= 5:
+            gone = w and (w in seen or len(w) >= 5 and any(len(s) >= 5 and one_word_apart(w, s) for s in seen))
+            if w:
                 seen.add(w)
             if not gone:
                 kept.append(line)

@@ -158,12 +158,27 @@ def test_line_dedup_edits(spark, hard, nothing):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()} == brute.dedup_lines(docs)
     got = line_dedup.dedup_lines(hard)
-    unique = [x for x in pairs(hard) if x[0] is not None]
+    unique = list(dict.fromkeys(x for x in pairs(hard) if x[0] is not None))  # repeated rows count as one
     want = brute.dedup_lines([(-1, next(t for d, t in pairs(hard) if d is None)), *unique])
     assert all(r.text == want[-1 if r.doc_id is None else r.doc_id] for r in got.collect())
     assert got.count() == hard.count() and line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_lines_of_every_length_and_their_words(spark):
+    docs = [(0, "a\nb c\nposted on may 12 by admin\n"), (1, "A \n x b\nposted on may 13 by admin\nB  c"), (2, "posted on may by admin\nposted by may 12 on admin\nq r s t"), (3, "q r s u\n \n")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {0: docs[0][1], 1: " x b", 2: "posted by may 12 on admin\nq r s t", 3: docs[3][1]} == brute.dedup_lines(docs)
+    longer = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, 2, 20).collect()}
+    assert longer == {**dict(docs), 1: "A \n x b\nposted on may 13 by admin"}
+    nearer = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, 1, 2).collect()}
+    assert nearer[3] == " \n" and nearer[1] == " x b"
+    for a, b in (("a b c", "a c"), ("a b c", "A  x C"), ("a b", "a b c")):
+        assert line_dedup.one_apart(a, b) and line_dedup.one_apart(b, a)
+    for a, b in (("a b c", "a b c"), ("a b c", "b a c"), ("a b c d", "a b")):
+        assert not line_dedup.one_apart(a, b)
+
+
 def test_near(spark, documents):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.query(spark, SF).collect()}
     assert got == brute.near_components(pairs(documents))
@@ -324,13 +339,28 @@ def test_audio_features():
 
 
 def test_tensors(spark):
-    docs = spark.createDataFrame([(1, "hello " * 400), (2, None)], "doc_id long, text string")
-    rows = audio.tensors(audio.media(docs)).orderBy("doc_id", "start_ms").collect()
-    assert {r.doc_id for r in rows} == {1, 2}
-    for r in rows:
-        column = pa.ipc.open_stream(r.tensor).read_all().column(0)
-        assert column.type == audio.tensor_type() and column.combine_chunks().to_numpy_ndarray().shape == (1, audio.STEP, audio.MELS)
-        assert r.start_ms < r.end_ms
+    docs = spark.createDataFrame([(1, "hello " * 400), (2, None), (3, "é" * 200_000)], "doc_id long, text string")
+    for r in audio.media_digests(docs).collect():
+        table = pa.ipc.open_stream(r.tensors).read_all()
+        column = table.column("log_mel").combine_chunks()
+        assert column.type == audio.tensor_type()
+        frames = int(r.feature.split()[0].removeprefix("frames="))
+        values = column.to_numpy_ndarray()
+        assert values.shape == (-(-frames // audio.STEP), audio.STEP, audio.MELS)
+        text = docs.where(F.col("doc_id") == r.doc_id).first().text
+        mel, _ = audio.features(audio.payload_of(text)[1])
+        assert (values.reshape(-1, audio.MELS)[:frames] == mel).all()
+        starts, ends = table.column("start_ms").to_pylist(), table.column("end_ms").to_pylist()
+        assert starts == [16.0 * audio.STEP * i for i in range(len(starts))] and all(b - a == 272 for a, b in zip(starts, ends))
+
+
+def test_resampling_in_blocks_is_the_same(monkeypatch):
+    x = np.random.default_rng(1).integers(0, 256, 5000).astype(np.uint8)
+    padded = np.concatenate([np.zeros(audio.TAPS - 1), (x.astype(np.float32) - 128) / 128])
+    want = [padded[m * audio.DOWN // audio.UP :][: audio.TAPS] @ audio._phases()[m * audio.DOWN % audio.UP] for m in range(5000 * audio.UP // audio.DOWN)]
+    for block in (1, 13, 4096):
+        monkeypatch.setattr(audio, "BLOCK", block)
+        assert np.allclose(audio.resample(x), want, atol=1e-5)
 
 
 def test_pipeline(spark, documents):
