@@ -349,7 +349,7 @@ def test_tensors(spark):
         assert values.shape == (-(-frames // audio.STEP), audio.STEP, audio.MELS)
         text = docs.where(F.col("doc_id") == r.doc_id).first().text
         mel, _ = audio.features(audio.payload_of(text)[1])
-        assert (values.reshape(-1, audio.MELS)[:frames] == mel).all()
+        assert np.allclose(values.reshape(-1, audio.MELS)[:frames], mel, atol=1e-3)  # threads may sum in another order
         starts, ends = table.column("start_ms").to_pylist(), table.column("end_ms").to_pylist()
         assert starts == [16.0 * audio.STEP * i for i in range(len(starts))] and all(b - a == 272 for a, b in zip(starts, ends))
 
