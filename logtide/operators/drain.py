@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.costs import LOG_RATIO, LOG_STORAGE, STANDARD, gib
-from .windows import with_window
+from ..functions.layout import data_key, date_of, drain_name
+from ..sources import archive
+from ..sources import manifests as manifest_source
+from .folds import rotate
+from .windows import LAG_MS, with_grid, with_window
 
 WINDOW = ["window_start_ms", "window_end_ms"]
+KEYS = ["account", "log_group"]
 
 
 def covered(manifests: DataFrame) -> DataFrame:
@@ -55,7 +60,8 @@ def manifest_rows(objects: DataFrame) -> DataFrame:
     """Nested manifests from flat objects (a row without data_key stands for an empty window)."""
     fields = ["data_key", "etag", "crc32c", "body_len", "raw_bytes", "storage_class", "record_count", "min_ts", "max_ts"]
     have = [c for c in fields if c in objects.columns]
-    one = F.struct(*[F.col(c) if c in have else F.lit(None).cast("string" if c == "etag" else "long").alias(c) for c in fields])
+    text = ("data_key", "etag", "storage_class")
+    one = F.struct(*[F.col(c) if c in have else F.lit(None).cast("string" if c in text else "long").alias(c) for c in fields])
     return objects.groupBy("account", "log_group", *WINDOW).agg(
         F.sort_array(F.collect_list(F.when(F.col("data_key").isNotNull(), one))).alias("objects"), F.coalesce(F.sum("record_count"), F.lit(0)).alias("record_count")
     ).withColumn("version", F.lit(1).cast("long"))
@@ -70,3 +76,58 @@ def shards(streams: DataFrame, keys: list[str], wanted: int, most: int = 100) ->
     count = F.least(n, F.greatest(F.lit(max(wanted, 1)), F.ceil(n / most)))
     place = F.row_number().over(own.orderBy("stream")) - 1
     return streams.withColumns({"shard": F.pmod(place, count).cast("long"), "shards": count.cast("long")})
+
+
+def due(groups: DataFrame, now_ms: int, width: int, start_ms: int | None = None) -> DataFrame:
+    """Whole windows of each group, from ``start_ms`` or else its creation, that ended at least the source's lag ago."""
+    low = F.col("creation_time_ms") if start_ms is None else F.lit(start_ms).cast("long")
+    return with_grid(groups, low, F.lit(now_ms - LAG_MS).cast("long"), width, complete=True).select(*KEYS, *WINDOW)
+
+
+def write_windows(records: DataFrame, path: str, name: Column, order: list[str], size: Column, target: int) -> None:
+    """Cut the records of each window to objects of about ``target`` bytes, in ``order``, and write them under their names (of column ``seq``)."""
+    cut = rotate(records.withColumn("_size", size.cast("long")), [*KEYS, *WINDOW], order, "_size", target)
+    archive.write_objects(cut.withColumn("object", name), f"{path}/data")
+
+
+def described(windows: DataFrame, path: str, size: Column) -> DataFrame:
+    """Manifests of ``windows`` as their written objects are, with those of empty windows."""
+    spark = windows.sparkSession
+    first, last = windows.agg(F.min("window_start_ms"), F.max("window_end_ms")).first()
+    if first is None:
+        return manifest_rows(windows.limit(0).withColumns({"data_key": F.lit(None).cast("string"), "record_count": F.lit(None).cast("long")}))
+    days = F.col("dt").between(date_of(F.lit(first).cast("long")), date_of(F.lit(last - 1).cast("long")))
+    keys = [*KEYS, "dt", "object"]
+    objects = archive.decoded(archive.read_objects(spark, f"{path}/data").where(days), size).join(archive.listing(spark, f"{path}/data"), keys)
+    key = data_key(F.lit(""), F.col("account"), F.col("log_group"), F.col("dt"), F.col("object"))
+    start = F.regexp_extract("object", r"^(-?\d+)-", 1).cast("long")
+    objects = objects.select(*KEYS, start.alias("window_start_ms"), key.alias("data_key"), F.col("bytes").alias("body_len"), "raw_bytes", "record_count", "min_ts", "max_ts")
+    return manifest_rows(windows.join(objects, [*KEYS, "window_start_ms"], "left"))
+
+
+def run(records: DataFrame, windows: DataFrame, known: DataFrame, path: str, width: int, target: int, size: Column, order: list[str], now_ms: int) -> DataFrame:
+    """Archive the windows that no manifest of ``known`` covers, and return their manifests.
+
+    Objects are written first, named by window and sequence number, below ``path``/data; then a manifest for every window, empty ones
+    too, below ``path``/manifest.  What was read back decides what manifests say.  A second run finds nothing pending and writes nothing.
+    """
+    todo = pending(windows, known)
+    if todo.isEmpty():
+        return manifest_source.none(windows.sparkSession)
+    rows = with_window(records, width).join(todo, [*KEYS, *WINDOW], "left_semi")
+    if not rows.isEmpty():
+        write_windows(rows, path, drain_name(F.col("window_start_ms"), F.col("seq")), order, size, target)
+        made = described(todo, path, size)
+    else:
+        made = manifest_rows(todo.withColumns({"data_key": F.lit(None).cast("string"), "record_count": F.lit(None).cast("long")}))
+    manifest_source.write(made.withColumn("completed_at_ms", F.lit(now_ms).cast("long")), f"{path}/manifest")
+    return manifest_source.read(windows.sparkSession, f"{path}/manifest").where("valid").join(todo, [*KEYS, *WINDOW], "left_semi")
+
+
+def failures(outcomes: DataFrame) -> DataFrame:
+    """Per group of outcomes (window and ``error``, null where it went well): failed, ok, any_failed and the first failed window's error."""
+    bad = F.col("error").isNotNull()
+    return outcomes.groupBy(*KEYS).agg(
+        F.count(F.when(bad, 1)).alias("failed"), F.count(F.when(~bad, 1)).alias("ok"), F.max(bad).alias("any_failed"),
+        F.min(F.when(bad, F.struct("window_start_ms", "error"))).alias("_first"),
+    ).select(*KEYS, "failed", "ok", "any_failed", F.col("_first.window_start_ms").alias("first_failed_ms"), F.col("_first.error").alias("first_error"))

@@ -1,60 +1,98 @@
 """Order-dependent folds: where the next group begins depends on all before it.
 
-Each key's rows are sorted by Spark and streamed through one task in batches with a constant state, so memory
-does not grow with a key; a key's rows are serial by the nature of the fold.
+Each key's rows are sorted by Spark and streamed through one task in Arrow batches with a constant state, so memory
+does not grow with a key; a key's rows are serial by the nature of the fold.  Only sizes and times are looked at, cut by cut; all other columns
+pass through as they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql import functions as F
 
 # Limits of a batch.
 OVERHEAD, MAX_BYTES, MAX_EVENTS, MAX_SPAN_MS = 26, 1_048_576, 10_000, 86_400_000
 
 
-def _with(records: DataFrame, name: str) -> StructType:
-    return StructType([*records.schema.fields, StructField(name, LongType())])
+def _numbered(records: DataFrame, keys: list[str], order: list[str], columns: list[str], name: str, fold: Callable[[], Callable]) -> DataFrame:
+    """``records`` with a number: ``fold()`` makes a function that takes whether a key begins and the ``columns`` of a part of that key, and gives the numbers."""
+    kept = [c for c in records.columns if c != name]
+    fields = {f.name: f.dataType.simpleString() for f in records.schema.fields}
+    schema = ", ".join([*(f"`{c}` {fields[c]}" for c in kept), f"{name} long"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, last = fold(), None
+        for batch in batches:
+            key = batch.column(len(kept)).to_numpy()
+            if not len(key):
+                continue
+            values = [batch.column(kept.index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns]
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            out = [number(key[i] != last if i == 0 else True, *(v[i:j] for v in values)) for i, j in zip(cuts, cuts[1:])]
+            last = key[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(np.concatenate(out), pa.int64())], [*kept, name])
+
+    rows = records.select(*kept, F.xxhash64(*keys).alias("_fold_key"))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def rotate(records: DataFrame, keys: list[str], order: list[str], size: str, target: int) -> DataFrame:
-    """Number the objects of each key: add a record, then cut if the size has reached ``target``."""
+    """Number the objects of each key (``seq``): add a record, then cut if the size has reached ``target``."""
+
+    def fold() -> Callable:
+        seq = total = 0
+
+        def number(begins: bool, sizes: np.ndarray) -> np.ndarray:
+            nonlocal seq, total
+            if begins:
+                seq = total = 0
+            sums, out, at, before = np.cumsum(sizes), np.empty(len(sizes), np.int64), 0, 0
+            while at < len(sizes):
+                stop = int(np.searchsorted(sums, before + target - total)) + 1  # the record that fills the object belongs to it
+                out[at:stop] = seq
+                if stop > len(sizes):
+                    total += int(sums[-1]) - before
+                else:
+                    seq, total, before = seq + 1, 0, int(sums[stop - 1])
+                at = stop
+            return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, seq, total = None, 0, 0
-        for pdf in batches:
-            out = []
-            for now, n in zip(pdf[keys].itertuples(index=False, name=None), pdf[size].tolist(), strict=True):
-                if now != key:
-                    key, seq, total = now, 0, 0
-                out.append(seq)
-                total += n
-                if total >= target:
-                    seq, total = seq + 1, 0
-            yield pdf.assign(seq=pd.Series(out, dtype="int64", index=pdf.index))
+        return number
 
-    return records.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, _with(records, "seq"))
+    return _numbered(records, keys, order, [size], "seq", fold)
 
 
 def batches(
     records: DataFrame, keys: list[str], order: list[str], cost: str, max_events: int = MAX_EVENTS, max_bytes: int = MAX_BYTES, max_span: int = MAX_SPAN_MS
 ) -> DataFrame:
-    """Number the batches of each key: before a record, close a batch that it would overfill or overstretch."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, batch, count, total, first = None, 0, 0, 0, 0
-        for pdf in parts:
-            out = []
-            for now, n, ts in zip(pdf[keys].itertuples(index=False, name=None), pdf[cost].tolist(), pdf["timestamp"].tolist(), strict=True):
-                if now != key:
-                    key, batch, count, total, first = now, 0, 0, 0, ts
-                elif count >= max_events or total + n > max_bytes or ts - first > max_span:
-                    batch, count, total, first = batch + 1, 0, 0, ts
-                out.append(batch)
-                count, total = count + 1, total + n
-            yield pdf.assign(batch=pd.Series(out, dtype="int64", index=pdf.index))
-
-    return records.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, _with(records, "batch"))
+    """Number the batches of each key (``batch``), whose order begins with the time: before a record, close a batch that it would overfill or overstretch."""
+
+    def fold() -> Callable:
+        batch = count = total = first = 0
+
+        def number(begins: bool, costs: np.ndarray, times: np.ndarray) -> np.ndarray:
+            nonlocal batch, count, total, first
+            if begins:
+                batch = count = total = 0
+            sums, out, at, before = np.cumsum(costs), np.empty(len(costs), np.int64), 0, 0
+            while at < len(costs):
+                if count == 0:
+                    first = int(times[at])
+                fits = min(
+                    at + max_events - count, int(np.searchsorted(sums, before + max_bytes - total, side="right")), int(np.searchsorted(times, first + max_span, side="right"))
+                )
+                stop = min(len(costs), max(fits, at + (count == 0)))  # an empty batch takes any record
+                out[at:stop] = batch
+                count, total = count + stop - at, total + (int(sums[stop - 1]) - before if stop else 0)
+                if stop < len(costs):
+                    batch, count, total = batch + 1, 0, 0
+                at, before = stop, int(sums[stop - 1]) if stop else 0
+            return out
+
+        return number
+
+    return _numbered(records, keys, order, [cost, "timestamp"], "batch", fold)

@@ -12,8 +12,9 @@ METRICS_PER_CALL = 500
 
 def sampled(groups: DataFrame, metrics: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
     """Groups with the sum of their ingest metric in a range; none is 0."""
-    sums = metrics.where((F.col("ts_ms") >= start_ms) & (F.col("ts_ms") < end_ms)).groupBy("log_group").agg(F.sum("value").alias("ingest_bytes_sampled"))
-    return groups.join(sums, "log_group", "left").na.fill(0.0, ["ingest_bytes_sampled"])
+    keys = [c for c in ("account", "log_group") if c in metrics.columns and c in groups.columns]
+    sums = metrics.where((F.col("ts_ms") >= start_ms) & (F.col("ts_ms") < end_ms)).groupBy(*keys).agg(F.sum("value").alias("ingest_bytes_sampled"))
+    return groups.join(sums, keys, "left").na.fill(0.0, ["ingest_bytes_sampled"])
 
 
 def costs(groups: DataFrame, days: int) -> DataFrame:

@@ -2,31 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.layout import reconcile_name
+from ..sources import archive as archive_source
+from ..sources import manifests as manifest_source
+from . import drain
+from .windows import with_window
+
 CONTENT = ["timestamp", "stream", "message"]
 SCOPE = ["account", "log_group"]
 
 
-def missing(source: DataFrame, archive: DataFrame) -> DataFrame:
-    """Events of ``source`` to append.
+def marked(source: DataFrame, archive: DataFrame) -> DataFrame:
+    """``source`` with ``archived``.
 
     An event with an id is there if the id is, or if an archived record without id has its content; one without id is there if
-    such a record has its content.  Of several missing events of one identity the first (by ``arrival``) is taken.
+    such a record has its content.
     """
-    by_id = archive.where("event_id is not null").select(*SCOPE, "event_id").distinct()
-    by_content = archive.where("event_id is null").select(*SCOPE, *CONTENT).distinct()
-    late = source.join(by_id, [*SCOPE, "event_id"], "left_anti").join(by_content, [*SCOPE, *CONTENT], "left_anti")
+    by_id = archive.where("event_id is not null").select(*SCOPE, "event_id").distinct().withColumn("_by_id", F.lit(True))
+    by_content = archive.where("event_id is null").select(*SCOPE, *CONTENT).distinct().withColumn("_by_content", F.lit(True))
+    joined = source.join(by_id, [*SCOPE, "event_id"], "left").join(by_content, [*SCOPE, *CONTENT], "left")
+    return joined.select(*source.columns, (F.col("_by_id").isNotNull() | F.col("_by_content").isNotNull()).alias("archived"))
+
+
+def missing(source: DataFrame, archive: DataFrame) -> DataFrame:
+    """Events of ``source`` to append; of several of one identity the first (by ``arrival``, or by time of ingestion)."""
+    late = marked(source, archive).where("not archived")
     # Rows with and without id never share an identity; id rows leave the content out of theirs.
     own = [F.when(F.col("event_id").isNull(), F.col(c)) for c in CONTENT]
-    first = F.row_number().over(Window.partitionBy(*SCOPE, "event_id", *own).orderBy("arrival"))
-    return late.withColumn("_first", first).where("_first = 1").drop("_first").select(source.columns)
+    order = [c for c in ("arrival", "ingestion_time", *CONTENT) if c in source.columns]
+    first = F.row_number().over(Window.partitionBy(*SCOPE, "event_id", *own).orderBy(*order))
+    return late.withColumn("_first", first).where("_first = 1").select(source.columns)
 
 
-def archived(source: DataFrame, late: DataFrame) -> DataFrame:
-    """The complement of ``missing``."""
-    return source.join(late.select("arrival"), "arrival", "left_anti")
+def archived(source: DataFrame, archive: DataFrame) -> DataFrame:
+    """Events of ``source`` that the archive has."""
+    return marked(source, archive).where("archived").select(source.columns)
 
 
 def next_attempt(names: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,9 +48,38 @@ def next_attempt(names: DataFrame, keys: list[str]) -> DataFrame:
     return names.groupBy(*keys).agg((F.coalesce(F.max(number), F.lit(0)) + 1).cast("long").alias("attempt")).withColumn("allowed", F.col("attempt") <= 99)
 
 
+def run(source: DataFrame, known: DataFrame, path: str, width: int, target: int, size: Column, order: list[str], now_ms: int) -> DataFrame:
+    """Append to the windows that ``known`` (one manifest a window) covers the events of ``source`` that their archive lacks.
+
+    Late events go to objects of the window's next attempt; then the window's manifest is written anew, with all of its objects, ``reconciled_at_ms``
+    and ``reconciled_added``.  Returns (account, log_group, window, source_events, archived_events, appended); a run with nothing late writes nothing.
+    An attempt beyond 99 is an error.
+    """
+    spark, keys = source.sparkSession, [*SCOPE, *drain.WINDOW]
+    covered = drain.covered(known)
+    rows = with_window(source, width).join(covered, keys, "left_semi")
+    have = archive_source.read_objects(spark, f"{path}/data")
+    late = missing(rows, have)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("source_events")).join(late.groupBy(*keys).agg(F.count(F.lit(1)).alias("appended")), keys, "left").na.fill(0, ["appended"])
+    outcome = counts.select(*keys, "source_events", (F.col("source_events") - F.col("appended")).alias("archived_events"), "appended")
+    manifest_source.write_rows(outcome, f"{path}/outcome/{now_ms}")
+    outcome = spark.read.schema(outcome.schema).parquet(f"{path}/outcome/{now_ms}")
+    changed = outcome.where("appended > 0")
+    if not changed.isEmpty():
+        names = archive_source.listing(spark, f"{path}/data").withColumn("window_start_ms", F.regexp_extract("object", r"^(-?\d+)-", 1).cast("long"))
+        attempts = next_attempt(names.withColumnRenamed("object", "name"), [*SCOPE, "window_start_ms"])
+        attempts = attempts.withColumn("attempt", F.when(F.col("allowed"), F.col("attempt")).otherwise(F.raise_error(F.lit("more than 99 attempts"))))
+        numbered = late.join(attempts.drop("allowed"), [*SCOPE, "window_start_ms"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(1).cast("long")))
+        drain.write_windows(numbered, path, reconcile_name(F.col("window_start_ms"), F.col("attempt"), F.col("seq")), order, size, target)
+        made = drain.described(changed.select(*keys), path, size).join(changed.select(*keys, F.col("appended").alias("reconciled_added")), keys)
+        made = made.join(known.select(*keys, "completed_at_ms"), keys).withColumn("reconciled_at_ms", F.lit(now_ms).cast("long"))
+        manifest_source.write(made, f"{path}/manifest")
+    return outcome
+
+
 def report(windows: DataFrame) -> DataFrame:
     """Totals over per-window rows (had_manifest, source_events, archived_events, appended)."""
-    return windows.groupBy("log_group").agg(
+    return windows.groupBy(*SCOPE).agg(
         F.count(F.when(~F.col("had_manifest"), 1)).alias("windows_drained"), F.count(F.when(F.col("had_manifest"), 1)).alias("windows_reconciled"),
         F.count(F.when(F.col("had_manifest") & (F.col("appended") > 0), 1)).alias("windows_repaired"), F.sum("source_events").alias("source_events"),
         F.sum("archived_events").alias("archived_events"), F.sum("appended").alias("appended"),

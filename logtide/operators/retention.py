@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.layout import DAY_MS
+from ..functions.times import fmt_ts
 from .drain import WINDOW, covered
 from .windows import with_grid
 
+KEYS = ["account", "log_group"]
+SHOWN = 20
+
 
 def required(groups: DataFrame, now_ms: int, days: int, width: int) -> DataFrame:
     """Windows of each group (account, log_group, creation_time_ms) from its creation to the cutoff."""
@@ -23,8 +27,19 @@ def missing_windows(groups: DataFrame, manifests: DataFrame, now_ms: int, days:
 
 
 def gate(groups: DataFrame, manifests: DataFrame, now_ms: int, days: int, width: int) -> DataFrame:
-    """Per group: required_windows, missing_windows, allowed.  A group without required windows is allowed."""
-    needed = required(groups, now_ms, days, width).groupBy("log_group").agg(F.count(F.lit(1)).alias("required_windows"))
-    lacking = missing_windows(groups, manifests, now_ms, days, width).groupBy("log_group").agg(F.count(F.lit(1)).alias("missing_windows"))
-    joined = groups.select("log_group").join(needed, "log_group", "left").join(lacking, "log_group", "left").na.fill(0, ["required_windows", "missing_windows"])
+    """Per account and group: required_windows, missing_windows, allowed.  A group without required windows is allowed."""
+    lacking = covered(manifests).withColumn("_there", F.lit(1))
+    windows = required(groups, now_ms, days, width).join(lacking, [*KEYS, *WINDOW], "left")
+    counts = windows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("required_windows"), F.count(F.when(F.col("_there").isNull(), 1)).alias("missing_windows"))
+    joined = groups.select(*KEYS).join(counts, KEYS, "left").na.fill(0, ["required_windows", "missing_windows"])
     return joined.withColumn("allowed", F.col("missing_windows") == 0)
+
+
+def shown(missing: DataFrame, most: int = SHOWN) -> DataFrame:
+    """Per account and group the first ``most`` missing windows, a display limit, and how many more there are."""
+    place = F.row_number().over(Window.partitionBy(*KEYS).orderBy(*WINDOW))
+    first = missing.withColumn("_place", place).groupBy(*KEYS).agg(
+        F.sort_array(F.collect_list(F.when(F.col("_place") <= most, F.struct(*WINDOW)))).alias("first"), F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("more")
+    )
+    lines = F.transform("first", lambda w: F.concat_ws("/", fmt_ts(w["window_start_ms"]), fmt_ts(w["window_end_ms"])))
+    return first.select(*KEYS, F.array_join(lines, ";").alias("windows"), F.col("more").cast("long").alias("more"))

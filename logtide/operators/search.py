@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.layout import date_of
@@ -53,3 +53,27 @@ def split_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     parsed = lines.where(F.trim(column) != "").withColumn("r", F.from_json(column, f"{RECORD}, {CORRUPT} STRING", {"columnNameOfCorruptRecord": CORRUPT}))
     missing = F.col("r.timestamp").isNull() | F.col("r.stream").isNull() | F.col("r.message").isNull()
     return parsed.select("r.timestamp", "r.stream", "r.message", "r.ingestion_time", "r.event_id", (F.col(f"r.{CORRUPT}").isNotNull() | missing).alias("bad"))
+
+
+def scan_counts(records: DataFrame, start: int, end: int, groups: str | list[str] | None = None, pattern: str | None = None) -> DataFrame:
+    """One row: what a scan of tolerant rows (``bad``) would read, refuse, skip and find."""
+    valid_range(start, end)
+    here = F.lit(True) if groups is None else F.col("log_group").isin(groups) if isinstance(groups, list) else matches(F.col("log_group"), groups)
+    good = ~F.col("bad")
+    inside = good & here & in_range(F.col("timestamp"), start, end)
+    hit = inside & F.col("message").rlike(search_regex(pattern)) if pattern else inside
+    return records.agg(
+        F.count(F.lit(1)).alias("read"), F.count(F.when(F.col("bad"), 1)).alias("bad"), F.count(F.when(good & ~inside, 1)).alias("outside"),
+        F.count(F.when(inside, 1)).alias("inside"), F.count(F.when(hit, 1)).alias("matched"),
+    )
+
+
+def observed(records: DataFrame, start: int, end: int, groups: str | list[str] | None = None, pattern: str | None = None) -> tuple[DataFrame, Observation]:
+    """A scan, and an Observation that has ``matched`` of it after an action."""
+    seen = Observation("scan")
+    return scan(records, start, end, groups, pattern).observe(seen, F.count(F.lit(1)).alias("matched")), seen
+
+
+def cleaned(events: DataFrame) -> DataFrame:
+    """Events of a source as records: absent message or stream is empty, an event without time is no record."""
+    return events.where("timestamp is not null").withColumns({c: F.coalesce(c, F.lit("")) for c in ("message", "stream")})

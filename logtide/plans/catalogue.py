@@ -221,8 +221,9 @@ def drain_window_summary(spark, sf):
     return drain.window_summary(_group_grid(spark, sf, HOUR), fx.log_records(spark, sf), HOUR)
 
 
-@query(f"""WITH {fx.OBJECTS}, g AS (SELECT DISTINCT account, log_group FROM lr), w AS ({GRID.format(w=HOUR, a=T0, b=D4)})
-SELECT g.log_group, window_start_ms, window_end_ms, mf.log_group IS NOT NULL AS archived FROM g, w LEFT JOIN mf USING (log_group, window_start_ms, window_end_ms) WHERE window_end_ms <= {D4}""".replace("LEFT JOIN mf USING (log_group, window_start_ms, window_end_ms)", "LEFT JOIN mf ON mf.log_group = g.log_group AND mf.window_start_ms = w.window_start_ms").replace("SELECT g.log_group, window_start_ms, window_end_ms,", "SELECT g.log_group, w.window_start_ms, w.window_end_ms,").replace("WHERE window_end_ms", "WHERE w.window_end_ms"))
+@query(f"""WITH {fx.OBJECTS}, g AS (SELECT DISTINCT log_group FROM lr), w AS ({GRID.format(w=HOUR, a=T0, b=D4)})
+SELECT g.log_group, w.window_start_ms, w.window_end_ms, mf.log_group IS NOT NULL AS archived FROM g, w LEFT JOIN mf ON mf.log_group = g.log_group AND mf.window_start_ms = w.window_start_ms
+WHERE w.window_end_ms <= {D4}""")
 def drain_skip(spark, sf):
     return _marked(_group_grid(spark, sf, HOUR), fx.manifests(spark, sf))
 
@@ -322,10 +323,10 @@ SELECT log_group, count(CASE WHEN NOT had THEN 1 END) AS windows_drained, count(
 def reconcile_report(spark, sf):
     source, kept = _late(spark, sf)
     late = reconcile.missing(source, kept)
-    marked = late.withColumn("late", F.lit(1)).unionByName(reconcile.archived(source, late).withColumn("late", F.lit(0)))
-    per = windows.with_window(marked, DAY).groupBy("log_group", "window_start_ms").agg(F.count(F.lit(1)).alias("source_events"), F.sum("late").alias("appended"))
+    marked = late.withColumn("late", F.lit(1)).unionByName(reconcile.archived(source, kept).withColumn("late", F.lit(0)))
+    per = windows.with_window(marked, DAY).groupBy("account", "log_group", "window_start_ms").agg(F.count(F.lit(1)).alias("source_events"), F.sum("late").alias("appended"))
     per = per.withColumns({"archived_events": F.col("source_events") - F.col("appended"), "had_manifest": F.expr(f"(window_start_ms div {DAY}) % 3 <> 0")})
-    return reconcile.report(per)
+    return reconcile.report(per).drop("account")
 
 
 @query(f"""{LR} SELECT log_group, timestamp, stream, message, arrival FROM (SELECT * REPLACE (timestamp // {DAY} AS timestamp, 'm' AS message) FROM lr)
@@ -348,7 +349,7 @@ def reconcile_attempt(spark, sf):
 x AS (SELECT gg.log_group, w.window_start_ms, mf.log_group IS NULL AS lacks FROM gg, w LEFT JOIN mf ON mf.log_group = gg.log_group AND mf.window_start_ms = w.window_start_ms WHERE w.window_start_ms < {T0 + 3 * DAY})
 SELECT log_group, count(*) AS required_windows, count(CASE WHEN lacks THEN 1 END) AS missing_windows, count(CASE WHEN lacks THEN 1 END) = 0 AS allowed FROM x GROUP BY log_group""")
 def retention_gate(spark, sf):
-    return retention.gate(fx.groups(spark, sf), fx.manifests(spark, sf), T0 + 10 * DAY, 7, HOUR)
+    return retention.gate(fx.groups(spark, sf), fx.manifests(spark, sf), T0 + 10 * DAY, 7, HOUR).drop("account")
 
 
 @query(f"""WITH {fx.OBJECTS}, {fx.GROUPS.removeprefix(fx.LOGS + ", ")}, n AS (SELECT log_group, unnest(range(creation_time_ms, (SELECT max(timestamp) - {7 * DAY} FROM lr), {HOUR})) AS s FROM gr),
@@ -356,7 +357,7 @@ x AS (SELECT n.log_group, count(*) AS required, count(CASE WHEN mf.log_group IS
 SELECT gr.log_group, coalesce(required, 0) AS required_windows, coalesce(lacks, 0) AS missing_windows, coalesce(lacks, 0) = 0 AS allowed FROM gr LEFT JOIN x USING (log_group)""")
 def retention_gate_whole(spark, sf):
     now = fx.log_records(spark, sf).agg(F.max("timestamp")).first()[0] or T0  # one value
-    return retention.gate(fx.groups(spark, sf), fx.manifests(spark, sf), now, 7, HOUR)
+    return retention.gate(fx.groups(spark, sf), fx.manifests(spark, sf), now, 7, HOUR).drop("account")
 
 
 # Frames
@@ -423,7 +424,7 @@ def report_group(spark, sf):
     rows = report.groups(fx.manifests(spark, sf))
     pairs = F.transform(F.map_entries("bytes_by_class"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     rows = _micro(rows, "log_usd", "archive_usd").withColumns({"classes": F.array_join(pairs, ";"), "compression_ratio": F.round("compression_ratio", 9)})
-    return rows.drop("bytes_by_class", "coverage_gaps", "log_usd", "archive_usd", "savings_usd")
+    return rows.drop("account", "bytes_by_class", "coverage_gaps", "log_usd", "archive_usd", "savings_usd")
 
 
 @query(f"""WITH {fx.OBJECTS}, g AS (SELECT log_group, window_start_ms > lag(window_end_ms) OVER (PARTITION BY log_group ORDER BY window_start_ms, window_end_ms) AS gap FROM mf)
@@ -545,11 +546,15 @@ def discover_groups(spark, sf):
 
 
 def _folder(spark, tag):
-    """A fresh folder below the cluster's shared one."""
+    """A fresh folder below the cluster's shared one; only a local master may do without."""
     import tempfile
     import uuid
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="logtide-")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="logtide-")
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
@@ -594,7 +599,7 @@ def stream_ingest(spark, sf):
     root = _folder(spark, "stream")
     rules, default = routing.parse_rules(RULES)
     events = F.collect_list(F.struct("timestamp", "message")).alias("logEvents")
-    posted = fx.log_records(spark, sf).groupBy(F.col("log_group").alias("logGroupName"), F.col("stream").alias("logStreamName"), F.expr("arrival % 4").alias("request")).agg(events)
+    posted = fx.log_records(spark, sf).groupBy(F.col("log_group").alias("logGroupName"), F.col("stream").alias("logStreamName"), F.expr("arrival div 1000").alias("request")).agg(events)
     posted.drop("request").repartition(3).write.json(f"{root}/requests")
     incoming = gateway.requests(spark, f"{root}/requests", files_per_trigger=1)
     flow = gateway.ingest(gateway.records(incoming, fx.ACCOUNT, rules, default), f"{root}/archive", f"{root}/forward", f"{root}/checkpoint")
@@ -603,3 +608,167 @@ def stream_ingest(spark, sf):
         raise flow.exception()
     count = lambda kind: spark.read.parquet(f"{root}/{kind}").groupBy("log_group").agg(F.count(F.lit(1)).alias("events")).select(F.lit(kind).alias("kind"), "log_group", "events")
     return count("archive").unionByName(count("forward"))
+
+
+# Drain, reconcile and validation as whole runs
+
+SEEN = ["timestamp", "stream", "ingestion_time", "event_id", "message"]
+TARGET = 4000
+
+
+def _size():
+    return F.octet_length("message") + 40
+
+
+def _drained(spark, sf, records):
+    root = _folder(spark, "drain")
+    grid = _whole_grid(spark, sf, DAY)
+    made = drain.run(records, grid, manifest_source.none(spark), root, DAY, TARGET, _size(), SEEN, T0 + 40 * DAY)
+    return root, grid, made
+
+
+def _cut(rows):
+    """SQL of the objects that a drain of ``rows`` writes, a row an object."""
+    return f"""o AS (SELECT log_group, timestamp // {DAY} AS day_no, strlen(message) + 40 AS cost,
+  row_number() OVER (PARTITION BY log_group, timestamp // {DAY} ORDER BY timestamp, stream, ingestion_time, event_id NULLS FIRST, message) AS i FROM {rows}),
+f AS (SELECT log_group, day_no, i, cost, 0 AS seq, CASE WHEN cost >= {TARGET} THEN 0 ELSE cost END AS b, cost >= {TARGET} AS full_now FROM o WHERE i = 1
+  UNION ALL SELECT o.log_group, o.day_no, o.i, o.cost, CASE WHEN f.full_now THEN f.seq + 1 ELSE f.seq END,
+    CASE WHEN f.b + o.cost >= {TARGET} THEN 0 ELSE f.b + o.cost END, f.b + o.cost >= {TARGET}
+  FROM f JOIN o ON o.log_group = f.log_group AND o.day_no = f.day_no AND o.i = f.i + 1),
+cut AS (SELECT log_group, CAST(day_no * {DAY} AS BIGINT) AS window_start_ms, seq, count(*) AS records, CAST(sum(cost) AS BIGINT) AS raw_bytes FROM f GROUP BY log_group, day_no, seq),
+days AS (SELECT account, log_group, unnest(range(creation_time_ms, (SELECT max(timestamp) + 1 FROM lr), {DAY})) AS window_start_ms FROM gr)"""
+
+
+@query(f"""WITH RECURSIVE {fx.GROUPS}, {_cut("lr")}
+SELECT account, days.log_group, days.window_start_ms, CASE WHEN seq IS NOT NULL THEN days.window_start_ms || '-' || lpad(CAST(seq AS VARCHAR), 6, '0') END AS name, records, raw_bytes
+FROM days LEFT JOIN cut ON cut.log_group = days.log_group AND cut.window_start_ms = days.window_start_ms""")
+def drain_run(spark, sf):
+    _, _, made = _drained(spark, sf, fx.log_records(spark, sf))
+    objects = made.select("account", "log_group", "window_start_ms", F.explode_outer("objects").alias("o"))
+    name = layout.parse_data_key(F.col("o.data_key"))["name"]
+    return objects.select("account", "log_group", "window_start_ms", name.alias("name"), F.col("o.record_count").alias("records"), F.col("o.raw_bytes").alias("raw_bytes"))
+
+
+@query(f"""WITH RECURSIVE {fx.GROUPS}, {_cut("lr")}, n AS (SELECT (SELECT count(*) FROM days) AS windows, (SELECT count(*) FROM cut) AS objects)
+SELECT 1 AS run, windows, objects FROM n UNION ALL SELECT 2, 0, objects FROM n""")
+def drain_rerun(spark, sf):
+    records = fx.log_records(spark, sf)
+    root, grid, first = _drained(spark, sf, records)
+    files = lambda: archive.listing(spark, f"{root}/data").count()
+    before = files()
+    again = drain.run(records, grid, manifest_source.read(spark, f"{root}/manifest").where("valid"), root, DAY, TARGET, _size(), SEEN, T0 + 41 * DAY)
+    return spark.createDataFrame([(1, first.count(), before), (2, again.count(), files())], "run int, windows long, objects long")
+
+
+@query(f"""{MISSING}, w AS (SELECT cw.log_group, count(*) AS n, count(ms.arrival) AS late FROM cw LEFT JOIN ms ON ms.arrival = cw.arrival GROUP BY ALL)
+SELECT log_group, n AS source_events, n - late AS archived_events, late AS appended, CAST(0 AS BIGINT) AS appended_again, late AS reconciled_added, n AS in_manifests FROM w""")
+def reconcile_run(spark, sf):
+    source, kept = _late(spark, sf)
+    root, _, _ = _drained(spark, sf, kept)
+    known = lambda: manifest_source.latest(manifest_source.read(spark, f"{root}/manifest"))
+    sums = lambda df, name: df.groupBy("log_group").agg(F.sum(name).alias(name))
+    runs = [reconcile.run(source, known(), root, DAY, TARGET, _size(), SEEN, T0 + day * DAY) for day in (41, 42)]
+    out = runs[0].groupBy("log_group").agg(*[F.sum(c).alias(c) for c in ("source_events", "archived_events", "appended")])
+    out = out.join(sums(runs[1].withColumnRenamed("appended", "appended_again"), "appended_again"), "log_group")
+    told = known().groupBy("log_group").agg(F.coalesce(F.sum("reconciled_added"), F.lit(0)).alias("reconciled_added"), F.sum("record_count").alias("in_manifests"))
+    return out.join(told, "log_group")
+
+
+@query(f"""WITH RECURSIVE {fx.GROUPS}, {_cut("lr")},
+p AS (SELECT CASE seq % 5 WHEN 1 THEN 'foreign' WHEN 2 THEN 'records' WHEN 3 THEN 'raw bytes' WHEN 4 THEN 'missing' ELSE 'none' END AS problem FROM cut)
+SELECT problem, count(*) AS objects FROM (SELECT problem FROM p UNION ALL SELECT 'foreign' FROM p WHERE problem = 'missing') GROUP BY problem""")
+def archive_validate(spark, sf):
+    root, _, made = _drained(spark, sf, fx.log_records(spark, sf))
+    seq = lambda o: F.regexp_extract(o["data_key"], r"(\d{6})\.jsonl", 1).cast("int") % 5
+    spoilt = F.transform(F.filter("objects", lambda o: seq(o) != 1), lambda o: o.withField("record_count", o["record_count"] + F.when(seq(o) == 2, 1).otherwise(0)).withField(
+        "raw_bytes", o["raw_bytes"] + F.when(seq(o) == 3, 1).otherwise(0)).withField("data_key", F.when(seq(o) == 4, F.replace(o["data_key"], F.lit(".jsonl"), F.lit("-x.jsonl"))).otherwise(o["data_key"])))
+    contents = archive.decoded(archive.read_objects(spark, f"{root}/data"), _size())
+    checked = archive.validate(made.withColumn("objects", spoilt), archive.listing(spark, f"{root}/data"), contents)
+    return checked.groupBy(F.coalesce("problem", F.lit("none")).alias("problem")).agg(F.count(F.lit(1)).alias("objects"))
+
+
+@query(f"""WITH {fx.GROUPS}, {WHOLE}, e AS (SELECT *, CASE WHEN (window_start_ms // {HOUR}) % 7 = 3 THEN 'throttled' END AS error FROM x)
+SELECT account, log_group, count(error) AS failed, count(*) - count(error) AS ok, count(error) > 0 AS any_failed, min(CASE WHEN error IS NOT NULL THEN window_start_ms END) AS first_failed_ms, max(error) AS first_error
+FROM e GROUP BY account, log_group""")
+def drain_failures(spark, sf):
+    rows = _whole_grid(spark, sf, HOUR)
+    return drain.failures(rows.withColumn("error", F.when(F.expr(f"(window_start_ms div {HOUR}) % 7 = 3"), "throttled")))
+
+
+@query(f"""{LR}, x AS (SELECT arrival % 11 = 3 AS bad, log_group GLOB '/app/*r*' AND timestamp >= {D2} AND timestamp < {D4} AS here, regexp_matches(message, '9') AS hit FROM lr)
+SELECT count(*) AS read, count(CASE WHEN bad THEN 1 END) AS bad, count(CASE WHEN NOT bad AND NOT here THEN 1 END) AS outside, count(CASE WHEN NOT bad AND here THEN 1 END) AS inside,
+  count(CASE WHEN NOT bad AND here AND hit THEN 1 END) AS matched FROM x""")
+def scan_counts(spark, sf):
+    rows = fx.log_records(spark, sf).withColumn("bad", F.col("arrival") % 11 == 3)
+    return search.scan_counts(rows, D2, D4, "/app/*r*", "9")
+
+
+@query(f"""{LR}, m AS (SELECT arrival, log_group || chr(10) || ' at user=' || split_part(split_part(message, 'user=', 2), ' ', 1) || chr(10) || message AS message FROM lr)
+SELECT arrival FROM m WHERE regexp_matches(message, '(?m)user=\\d*[79]$')""")
+def grep_multiline(spark, sf):
+    user = F.regexp_extract("message", r"user=(\d+)", 1)
+    rows = fx.log_records(spark, sf).withColumn("message", F.concat("log_group", F.lit("\n at user="), user, F.lit("\n"), "message"))
+    return search.scan(rows, 0, T0 + 400 * DAY, None, r"(?m)user=\d*[79]$").select("arrival")
+
+
+# Two accounts with groups of one name
+
+
+def _two_gate(spark, sf):
+    rows = fx.two_accounts(spark, sf).groupBy("account", "log_group").agg(F.min("timestamp").alias("first"))
+    groups = rows.select("account", "log_group", (F.col("first") - F.col("first") % DAY).alias("creation_time_ms"))
+    whole = retention.required(groups.where(F.col("account") == fx.OTHER), T0 + 10 * DAY, 7, HOUR).withColumn("version", F.lit(1).cast("long"))
+    return groups, fx.manifests(spark, sf).unionByName(whole.drop("creation_time_ms"), allowMissingColumns=True)
+
+
+LACKS = f"""{fx.TWO}, g2 AS (SELECT account, log_group, min(timestamp) // {DAY} * {DAY} AS c FROM l2 GROUP BY ALL),
+n AS (SELECT account, log_group, unnest(range(c, {T0 + 3 * DAY}, {HOUR})) AS s FROM g2),
+x AS (SELECT n.account, n.log_group, s, n.account <> '{fx.OTHER}' AND mf.log_group IS NULL AS lacks FROM n LEFT JOIN mf ON mf.log_group = n.log_group AND mf.window_start_ms = s)"""
+
+
+@query(f"""WITH {fx.OBJECTS}, {LACKS}
+SELECT g2.account, g2.log_group, count(x.s) AS required_windows, count(CASE WHEN lacks THEN 1 END) AS missing_windows, count(CASE WHEN lacks THEN 1 END) = 0 AS allowed
+FROM g2 LEFT JOIN x ON x.account = g2.account AND x.log_group = g2.log_group GROUP BY g2.account, g2.log_group""")
+def retention_gate_accounts(spark, sf):
+    return retention.gate(*_two_gate(spark, sf), T0 + 10 * DAY, 7, HOUR)
+
+
+RFC = "'%Y-%m-%dT%H:%M:%S.%gZ'"
+
+
+@query(f"""WITH {fx.OBJECTS}, {LACKS}, p AS (SELECT account, log_group, s, row_number() OVER (PARTITION BY account, log_group ORDER BY s) AS p FROM x WHERE lacks)
+SELECT account, log_group, string_agg(strftime(make_timestamp(s * 1000), {RFC}) || '/' || strftime(make_timestamp((s + {HOUR}) * 1000), {RFC}), ';' ORDER BY s) FILTER (WHERE p <= 20) AS windows,
+  CAST(greatest(count(*) - 20, 0) AS BIGINT) AS more FROM p GROUP BY account, log_group""")
+def missing_window_list(spark, sf):
+    return retention.shown(retention.missing_windows(*_two_gate(spark, sf), T0 + 10 * DAY, 7, HOUR))
+
+
+def _two_manifests(spark, sf):
+    rows = fx.manifests(spark, sf)
+    return rows.unionByName(rows.where(F.expr(f"(window_start_ms div {HOUR}) % 2 = 0")).withColumn("account", F.lit(fx.OTHER)))
+
+
+TWO_OBJECTS = f"""o2 AS (SELECT * FROM ob UNION ALL SELECT * REPLACE ('{fx.OTHER}' AS account) FROM ob WHERE h % 2 = 0),
+m2 AS (SELECT account, log_group, window_start_ms, window_end_ms, CAST(sum(record_count) AS BIGINT) AS record_count FROM o2 GROUP BY ALL),
+g2 AS (SELECT *, window_start_ms > lag(window_end_ms) OVER (PARTITION BY account, log_group ORDER BY window_start_ms) AS gap FROM m2),
+c2 AS (SELECT account, log_group, count(*) AS windows, CAST(sum(record_count) AS BIGINT) AS records, count(CASE WHEN gap THEN 1 END) AS coverage_gaps, min(window_start_ms) AS lo, max(window_end_ms) AS hi FROM g2 GROUP BY account, log_group),
+s2 AS (SELECT account, log_group, {SUM_SQL}, sum(body_len / 1073741824e0 * {PRICE}) AS archive_usd FROM o2 GROUP BY account, log_group)"""
+
+
+@query(f"""WITH {fx.OBJECTS}, {TWO_OBJECTS} SELECT account, log_group, windows, records, coverage_gaps, objects, raw_bytes, compressed_bytes FROM c2 JOIN s2 USING (account, log_group)""")
+def report_accounts(spark, sf):
+    return report.groups(_two_manifests(spark, sf)).select("account", "log_group", "windows", "records", "coverage_gaps", "objects", "raw_bytes", "compressed_bytes")
+
+
+SHOWN = "CASE WHEN {n} >= 1073741824 THEN printf('%.1f GiB', {n} / 1073741824.0::DOUBLE) WHEN {n} >= 1048576 THEN printf('%.1f MiB', {n} / 1048576.0::DOUBLE) WHEN {n} >= 1024 THEN printf('%.1f KiB', {n} / 1024.0::DOUBLE) ELSE {n} || ' B' END"
+
+
+@query(f"""WITH {fx.OBJECTS}, {TWO_OBJECTS}
+SELECT account, log_group, log_group || chr(10) || '  windows: ' || windows || ', ' || strftime(make_timestamp(lo * 1000), {RFC}) || ' .. ' || strftime(make_timestamp(hi * 1000), {RFC}) || ', '
+  || coverage_gaps || ' gap' || CASE WHEN coverage_gaps = 1 THEN '' ELSE 's' END || chr(10) || '  records: ' || records || ' in ' || objects || ' objects' || chr(10)
+  || '  bytes: ' || {SHOWN.format(n="raw_bytes")} || ' raw, ' || {SHOWN.format(n="compressed_bytes")} || ' compressed'
+  || CASE WHEN objects_missing_raw > 0 THEN ' (ratio unknown for ' || objects_missing_raw || ' objects)' WHEN raw_bytes > 0 AND compressed_bytes > 0 THEN printf(' (%.1fx)', raw_bytes / CAST(compressed_bytes AS DOUBLE)) ELSE '' END || chr(10)
+  || printf('  a month: $%.4f as logs, $%.4f archived', raw_bytes / 1073741824e0 / 4e0 * 3e-2, archive_usd) || CASE WHEN objects_missing_raw > 0 THEN ' (lower bound)' ELSE '' END AS lines
+FROM c2 JOIN s2 USING (account, log_group)""")
+def report_lines(spark, sf):
+    return report.lines(report.groups(_two_manifests(spark, sf)))

@@ -30,6 +30,17 @@ LOGS = """lr AS (SELECT '123456789012' AS account, '/app/' || event_type AS log_
   CASE WHEN event_id % 10 <> 0 THEN 'evt-' || CAST(event_id AS VARCHAR) END AS event_id, event_id AS arrival FROM events)"""
 
 
+OTHER = "210987654321"
+
+
+def two_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records dealt to two accounts, so that groups of both have the same names."""
+    return log_records(spark, sf_dir).withColumn("account", F.when(F.col("arrival") % 3 == 0, OTHER).otherwise(F.col("account")))
+
+
+TWO = f"l2 AS (SELECT * REPLACE (CASE WHEN arrival % 3 = 0 THEN '{OTHER}' ELSE account END AS account) FROM lr)"
+
+
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat archive objects: one or two for each group and hour, but for hours with remainder 3 by 11."""
     rows = log_records(spark, sf_dir).withColumn("window_start_ms", F.col("timestamp") - F.col("timestamp") % HOUR)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.layout import date_of
+from ..functions.layout import date_of, parse_data_key, unsanitize
 from ..schemas import CORRUPT, PARTITIONS, RECORD
 
 PARTS = ["account", "loggroup", "dt"]
@@ -29,6 +29,52 @@ def write(records: DataFrame, path: str, fmt: str = "json", records_per_file: in
         writer.option("compression", "gzip").json(path)
 
 
+OBJECT_PATH = r"account=([^/]+)/loggroup=([^/]+)/dt=([^/]+)/object=([^/]+)/[^/]+$"
+
+
+def write_objects(named: DataFrame, path: str) -> None:
+    """Append records with an ``object`` name as gzip JSON lines, a folder for each object below its account, log group and date."""
+    rows = named.select("timestamp", "stream", "message", "ingestion_time", "event_id", "account", F.col("log_group").alias("loggroup"), date_of(F.col("timestamp")).alias("dt"), "object")
+    rows = rows.repartition(*PARTS, "object").sortWithinPartitions(*PARTS, "object", "timestamp", "stream")
+    rows.write.mode("append").partitionBy(*PARTS, "object").option("compression", "gzip").json(path)
+
+
+def read_objects(spark: SparkSession, path: str) -> DataFrame:
+    """Records of named objects, with log_group, dt and object."""
+    return spark.read.schema(f"{RECORD}, {PARTITIONS}, object STRING").json(path).withColumnRenamed("loggroup", "log_group")
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(account, log_group, dt, object, bytes) of the objects' files; their content is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    part = lambda i: unsanitize(F.regexp_extract("path", OBJECT_PATH, i))
+    named = files.select(part(1).alias("account"), part(2).alias("log_group"), part(3).alias("dt"), part(4).alias("object"), "length")
+    return named.groupBy("account", "log_group", "dt", "object").agg(F.sum("length").alias("bytes"))
+
+
+def decoded(objects: DataFrame, size: Column) -> DataFrame:
+    """(account, log_group, dt, object, record_count, raw_bytes, min_ts, max_ts) of ``read_objects``."""
+    return objects.groupBy("account", "log_group", "dt", "object").agg(
+        F.count(F.lit(1)).alias("record_count"), F.sum(size).cast("long").alias("raw_bytes"), F.min("timestamp").alias("min_ts"), F.max("timestamp").alias("max_ts")
+    )
+
+
+def validate(manifests: DataFrame, files: DataFrame, contents: DataFrame) -> DataFrame:
+    """Each object of manifests or files with its ``problem``: missing, foreign, records, raw bytes, bytes, or none (null)."""
+    keys = ["account", "log_group", "dt", "object"]
+    parsed = parse_data_key(F.col("o.data_key"))
+    told = manifests.select(F.explode("objects").alias("o")).select(
+        *[c.alias(n) for n, c in zip(keys, parsed.values(), strict=True)], F.col("o.record_count").alias("told_records"), F.col("o.raw_bytes").alias("told_raw"), F.col("o.body_len").alias("told_bytes")
+    )
+    joined = told.withColumn("_told", F.lit(True)).join(files, keys, "full").join(contents, keys, "left")
+    differs = lambda a, b: F.col(a).isNotNull() & ~F.col(a).eqNullSafe(F.col(b))
+    problem = (
+        F.when(F.col("bytes").isNull(), "missing").when(F.col("_told").isNull(), "foreign").when(differs("told_records", "record_count"), "records")
+        .when(differs("told_raw", "raw_bytes"), "raw bytes").when(differs("told_bytes", "bytes"), "bytes")
+    )
+    return joined.select(*keys, problem.alias("problem"))
+
+
 def read(spark: SparkSession, path: str, fmt: str = "json", strict: bool = False) -> DataFrame:
     """Records with log_group and dt; JSON may be ``.jsonl``, ``.gz`` or ``.zst``.
 

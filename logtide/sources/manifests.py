@@ -19,6 +19,25 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return parse(spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path))
 
 
+def latest(manifests: DataFrame) -> DataFrame:
+    """Of the valid manifests of a window the last one: a reconciled manifest is written beside the one that it replaces."""
+    valid = manifests.where("valid")
+    keys = ["account", "log_group", "window_start_ms", "window_end_ms"]
+    names = [c for c in valid.columns if c not in (*keys, "valid")]
+    when = F.struct(F.coalesce("reconciled_at_ms", F.lit(-1)), F.coalesce("completed_at_ms", F.lit(-1)), F.size("objects"))
+    return valid.groupBy(*keys).agg(F.max_by(F.struct(*names), when).alias("m")).select(*keys, "m.*")
+
+
+def none(spark: SparkSession) -> DataFrame:
+    """An archive's manifests before its first run."""
+    return parse(spark.createDataFrame([], "value string"))
+
+
+def write_rows(rows: DataFrame, path: str) -> None:
+    """A run's outcome, before it changes what the outcome is computed from; a run that is repeated writes it anew."""
+    rows.write.mode("overwrite").parquet(path)
+
+
 def write(manifests: DataFrame, path: str) -> None:
     """One JSON line a manifest; written after the objects that it names."""
     fields = [f.split()[0] for f in MANIFEST.split(", ") if not f.startswith(("etag", "crc32c", "body_len", "raw_bytes", "storage_class", "min_ts", "max_ts"))]

@@ -81,6 +81,26 @@ def test_search_regex(spark):
             patterns.search_regex(bad)
 
 
+PATTERNS = [
+    (r"(?m)end$", "first line end\n at Foo.bar", True), (r"end$", "first line end\n at Foo.bar", False), (r"(?m)^ at", "x\n at", True), (r"(?m:b$)c|z$", "z\n", False),
+    (r"n=\d", "n=\u0665", True), (r"^\w+$", "\u00fcn\u00ef", True), (r"\p{Lu}x", "\u00c4x", True), (r"\pL{2}", "\u00e4\u00e4", True), (r"\p{Greek}", "\u03b1", True),
+    (r"^\x{41}\z", "A", True), (r"\u{1F600}", "\U0001f600", True), (r"(?<n>a)(?P<m_1>b)", "ab", True), (r"foo(?i)bar", "fooBAR", True), (r"foo(?i)bar", "FOObar", False),
+    (r"^[[:alpha:]]+$", "aZ", True), (r"^[[:alpha:]]+$", "\u00e4", False), (r"[[:^digit:]]", "5", False), (r"^[]$]+$", "]$", True), (r"^[^]]$", "]", False), (r"^[a-z--[aeiou]]+$", "bcd", True),
+    (r"^[a-z--[aeiou]]+$", "bad", False), (r"a{2, 3}$", "aaa", True), (r"\vx", "\x0bx", True), (r"\<ab\>", "x ab y", True), (r"\<ab\>", "xab", False), (r"(?-u)\w", "\u00e4", False), (r"a\$", "a$", True), (r"", "x", True),
+]
+
+
+@pytest.mark.parametrize("pattern, text, hit", PATTERNS)
+def test_patterns_of_linear_time_engines(spark, pattern, text, hit):
+    assert one(spark, F.lit(text).rlike(patterns.search_regex(pattern))) is hit
+
+
+@pytest.mark.parametrize("pattern", [r"(?=a)", r"(?<!a)b", r"(a)\1", r"(", r")", r"[a", r"a++", r"a{2}{3}", r"(?U)a*", r"\Qa", r"[[:nope:]]", r"\p{Nope}", "a\\", r"[a~~b]", "*a"])
+def test_patterns_that_are_refused(spark, pattern):
+    with pytest.raises(ValueError):
+        patterns.search_regex(pattern)
+
+
 def test_costs(spark):
     assert one(spark, costs.price_per_gib_month(F.lit("GLACIER_IR"))) == 0.004
     assert one(spark, costs.price_per_gib_month(F.lit(None).cast("string"))) == 0.023

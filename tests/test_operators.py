@@ -205,3 +205,51 @@ def test_wrap(spark):
     got = spark.range(1).select(restore.wrap(F.lit("m"), F.lit("s"), F.lit(5), F.lit("g")).alias("a"), restore.wrap(F.lit("m"), F.lit("s"), F.lit(5), None).alias("b")).first()
     assert got.a == '{"message":"m","original_log_group":"g","original_stream":"s","original_timestamp":5}'
     assert got.b == '{"message":"m","original_stream":"s","original_timestamp":5}'
+
+
+def test_drain_and_reconcile(spark, tmp_path):
+    """Two windows with records and one without; a second drain writes nothing; late events go to the next attempt, and a third pass appends none."""
+    from pyspark.sql import functions as F
+
+    from logtide.sources import archive, manifests
+
+    schema = "account string, log_group string, timestamp long, stream string, message string, ingestion_time long, event_id string"
+    rows = [("1", "/g", H * (i % 2) * 2 + i, "s", f"m{i}", i, f"e{i}") for i in range(10)]
+    records, path, size = spark.createDataFrame(rows, schema), str(tmp_path), F.octet_length("message")
+    groups = spark.createDataFrame([("1", "/g", 0)], "account string, log_group string, creation_time_ms long")
+    due = drain.due(groups, 3 * H + windows.LAG_MS, H)
+    assert due.count() == 3 and drain.due(groups, 3 * H, H).count() == 2
+    order, limits = ["timestamp", "event_id"], (path, H, 4, size, ["timestamp", "event_id"])
+    made = drain.run(records.where("event_id <> 'e4'"), due, manifests.none(spark), *limits, 99)
+    objects = {r.window_start_ms: [(o.data_key.split("/")[-1], o.record_count, o.raw_bytes) for o in r.objects] for r in made.collect()}
+    assert objects == {0: [("0-000000.jsonl.zst", 2, 4), ("0-000001.jsonl.zst", 2, 4)], H: [], 2 * H: [(f"{2 * H}-00000{i}.jsonl.zst", n, 2 * n) for i, n in enumerate((2, 2, 1))]}
+    known = lambda: manifests.latest(manifests.read(spark, f"{path}/manifest"))
+    assert drain.run(records, due, known(), *limits, 100).count() == 0 and archive.listing(spark, f"{path}/data").count() == 5
+    got = [reconcile.run(records, known(), *limits, now).where("appended > 0").collect() for now in (200, 300)]
+    assert [(r.window_start_ms, r.source_events, r.appended) for r in got[0]] == [(0, 5, 1)] and got[1] == []
+    first = known().where("window_start_ms = 0").first()
+    assert (first.reconciled_at_ms, first.reconciled_added, first.completed_at_ms, first.record_count) == (200, 1, 99, 5)
+    assert first.objects[-1].data_key.endswith("/0-r010000.jsonl.zst") and known().count() == 3
+    checked = archive.validate(known(), archive.listing(spark, f"{path}/data"), archive.decoded(archive.read_objects(spark, f"{path}/data"), size))
+    assert checked.where("problem is not null").count() == 0 and checked.count() == 6
+    assert order == limits[-1]
+
+
+def test_registry_checks(spark):
+    from logtide.operators import registry
+
+    known = spark.createDataFrame([("/a", "s"), ("/a", None)], "log_group string, stream string")
+    wanted = spark.createDataFrame([("/a", None), ("/b", None), ("/a", "s"), ("/a", "t"), ("/b", "s")], "log_group string, stream string")
+    assert {(r.log_group, r.stream): r.outcome for r in registry.create_checks(wanted, known).collect()} == {
+        ("/a", None): "exists", ("/b", None): "created", ("/a", "s"): "exists", ("/a", "t"): "created", ("/b", "s"): "no group",
+    }
+    assert registry.find(known, "stream", "s").count() == 1
+    with pytest.raises(ValueError):
+        registry.find(known, "stream", "x")
+
+
+def test_observed_scan(spark):
+    df = spark.createDataFrame([(i, "g", f"m{i}") for i in range(10)], "timestamp long, log_group string, message string")
+    rows, seen = search.observed(df, 2, 8, None, "[35]$")
+    assert rows.count() == 2 and seen.get == {"matched": 2}
+    assert search.cleaned(spark.createDataFrame([(1, None, None), (None, "m", "s")], "timestamp long, message string, stream string")).collect()[0][1:] == ("", "")
