@@ -20,11 +20,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) is a temporary folder made,
+    Only where that setting is absent and the master is local (tests on one machine) is a temporary folder made,
     once for the session.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("logtide.scratch", None)
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="logtide-")
         spark.conf.set("logtide.scratch", root)
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
