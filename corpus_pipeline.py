@@ -1,4 +1,9 @@
-"""A corpus from documents to mix: five stages, each over all that the one before it kept."""
+"""A corpus from documents to mix: five stages, each over all that the one before it kept.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, empty tables and further columns as its operator does (see there); it
+keeps the five columns of documents and drops all others.  Documents without a letter, so also null and empty texts, go in ``language``; of documents that
+repeat id and text one stays in ``near``; a stage that is given no row gives none.
+"""
 
 from __future__ import annotations
 
