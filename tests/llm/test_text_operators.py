@@ -192,3 +192,37 @@ def test_secrets_precision_and_recall(spark):
     true = {i for i in bare if (i - 1000) % 4 == 0}
     print("precision", len(hits & true) / max(1, len(hits)), "recall", len(hits & true) / len(true))
     assert len(hits & true) >= 0.6 * len(true) and len(hits & true) >= 0.5 * len(hits)  # dates look like the third format
+
+
+def test_pseudonyms_query_against_plain_finds(spark, documents):
+    """Every plainly written card and social security number of all documents is changed, equal ones alike and others differently; all else keeps its class."""
+
+    def luhn(digits):
+        doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+        return sum(d - 9 * (d > 9) for d in doubled) % 10 == 0
+
+    kind = lambda c: "9" if c.isdigit() else "a" if c.islower() and c.isascii() else "A" if c.isupper() and c.isascii() else c
+    texts, maps, seen = dict(pairs(documents)), {"card": {}, "ssn": {}}, 0
+    for r in pseudonyms.query(spark, SF).collect():
+        text = texts[r.doc_id]
+        if sum(r[f"n_{k}"] for k in pseudonyms.KINDS) == 0:
+            assert r.text == text
+            continue
+        seen += 1
+        if r.n_ip:
+            continue  # their length may change
+        assert [kind(c) for c in text] == [kind(c) for c in r.text]
+        for name, pattern in (("card", r"(?<![\w-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\w-]| \d)"), ("ssn", r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])")):
+            for m in re.finditer(pattern, text):
+                old, new = (re.sub(r"\D", "", t[m.start() : m.end()]) for t in (text, r.text))
+                if name == "ssn" or luhn(old):
+                    assert old != new and maps[name].setdefault(old, new) == new and (name == "ssn" or luhn(new))
+    assert seen > 5 and all(len(set(m.values())) == len(m) for m in maps.values()) and sum(map(len, maps.values())) > 0
+
+
+def test_pseudonyms_of_long_texts_take_linear_time():
+    import time
+
+    began = time.time()
+    new, counts = pseudonyms.replace("ssn 123-45-6789 on 2024-02-29 and more words; " * 20_000)
+    assert counts["ssn"] == counts["date"] == 20_000 and time.time() - began < 30
