@@ -5,7 +5,8 @@ smallest is a fingerprint.  Two texts that share ``WINDOW`` words share a finger
 every document that holds a window of an item.  Those documents are then compared word by word: their own windows
 are joined with the items' windows as text, and the hits extend to all words they cover.  Items of fewer than
 ``WINDOW`` words are one window each; as they have too few words for a fingerprint, every run of as many words is
-compared, for those lengths only that the benchmark has.
+compared, for those lengths only that the benchmark has and, while they are few enough to be broadcast, only where an item's first word stands.
+Windows of the same items, and documents of the same such sets, are told apart no further: the items of each combination are listed once.
 
 Cases:  null or wordless texts have no words and no hits; a wordless item has no window; an item without id counts
 in n_hit and not in n_items; rows that repeat an id and a text get equal results; other columns are ignored.
@@ -20,8 +21,8 @@ from .common import ascii_lower, read, saved, text_of
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, K = 10, 5
-#: Fingerprints or windows of at most so many rows are broadcast (about 40 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Fingerprints or windows of at most so many bytes, 40 a row added, are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -51,9 +52,13 @@ def with_fingerprints(df: DataFrame, words: str = "words") -> DataFrame:
     return hashed.withColumn("prints", F.array_distinct(least)).drop("_w", "_k")
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """Broadcast only what has been counted; ``df`` is a written table."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _fits(df: DataFrame, width: Column) -> bool:
+    """Whether ``df``, a written table or little more, has been measured to be small enough for a broadcast."""
+    return (df.agg(F.sum(width + 40)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def _sized(df: DataFrame, width: Column) -> DataFrame:
+    return F.broadcast(df) if _fits(df, width) else df
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -73,16 +78,15 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     windows = saved(item_windows(item_prints), "leak-windows")
     known = saved(item_prints.select(F.explode("prints").alias("fp")).distinct(), "leak-known")
 
-    met = counted.select("doc_id", "print", F.explode("prints").alias("fp")).join(_sized(known), "fp", "left_semi")
+    met = counted.select("doc_id", "print", F.explode("prints").alias("fp")).join(_sized(known, F.lit(8)), "fp", "left_semi")
     candidates = saved(met.select("doc_id", "print").distinct(), "leak-candidates")
     near = rows.join(candidates, [rows["doc_id"].eqNullSafe(candidates["doc_id"]), rows["print"] == candidates["print"]], "left_semi")
     texts = saved(windows.select("length", "window").distinct(), "leak-texts")
-    hits = [_hits(near.select("doc_id", "print", "words"), texts, WINDOW)]
-    for r in sorted(texts.where(F.col("length") < WINDOW).select("length").distinct().collect()):  # 9 lengths at most
-        hits.append(_hits(rows.select("doc_id", "print", "words"), texts, r["length"]))
-    found = hits[0]
-    for other in hits[1:]:
-        found = found.unionByName(other)
+    whole, short = texts.where(F.col("length") == WINDOW), texts.where(F.col("length") < WINDOW)
+    found = _hits(near, whole)
+    lengths = sorted(r["length"] for r in short.select("length").distinct().collect())  # 9 lengths at most
+    if lengths:
+        found = found.unionByName(_short_hits(rows, short, lengths))
     found = saved(found, "leak-hits")
 
     cover = F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))
@@ -90,26 +94,51 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         found.groupBy("doc_id", "print").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
         .select("doc_id", "print", F.size(F.array_distinct(F.flatten(cover))).cast("long").alias("n_hit"))
     )
-    which = (
-        found.select("doc_id", "print", "length", "window").distinct().join(windows, ["length", "window"])
-        .groupBy("doc_id", "print").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
-    )
+    which = _items(found, windows)
     result = _left(_left(counted.select("doc_id", "print", "n_words"), covered), which)
     n_hit = F.coalesce("n_hit", F.lit(0))
     return result.select(
-        "doc_id", F.col("n_words").cast("long"), n_hit.cast("long").alias("n_hit"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "print",
+        "doc_id", F.col("n_words").cast("long"), n_hit.cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "print",
     )
 
 
-def _hits(docs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """(doc_id, print, start, length, window) of each window of ``length`` words that an item has too."""
-    wanted = texts.where(F.col("length") == length)
-    own = docs.dropDuplicates(["doc_id", "print"]).select("doc_id", "print", F.posexplode(_text_at("words", length)).alias("start", "window"))
-    if length < WINDOW:
-        own = docs.select("doc_id", "print", F.posexplode(_text_at("words", length)).alias("start", "window"))
-    joined = own.join(_sized(wanted), "window")
-    return joined.select("doc_id", "print", "start", F.lit(length).alias("length"), "window")
+def _hits(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, print, start, length, window) of each window of ``WINDOW`` words that an item has too."""
+    # The outer explode gets no filter that would make the array twice; the join drops its null rows.
+    own = docs.dropDuplicates(["doc_id", "print"]).select("doc_id", "print", F.posexplode_outer(_text_at("words", WINDOW)).alias("start", "window"))
+    joined = own.join(_sized(texts, F.octet_length("window")), "window")
+    return joined.select("doc_id", "print", "start", "length", "window")
+
+
+def _short_hits(docs: DataFrame, texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """As ``_hits``, for items of fewer than ``WINDOW`` words; ``docs`` are read once for all ``lengths``."""
+    n, most = F.size("words"), lengths[-1]
+    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    own = docs.select("doc_id", "print", F.posexplode_outer(F.transform(starts, lambda i: F.slice("words", i, most))).alias("start", "ahead"))
+    heads = texts.select(F.substring_index("window", " ", 1).alias("head")).distinct()
+    if _fits(heads, F.octet_length("head")):  # by a shuffle, frequent words would be hot keys; without it the join below does the same
+        own = own.join(F.broadcast(heads), F.get("ahead", F.lit(0)) == F.col("head"), "left_semi")
+    runs = F.transform(
+        F.array(*[F.lit(length) for length in lengths]),
+        lambda k: F.when(F.size("ahead") >= k, F.struct(k.alias("length"), F.array_join(F.slice("ahead", 1, k), " ").alias("window"))),
+    )
+    own = own.select("doc_id", "print", "start", F.explode_outer(runs).alias("run")).select("doc_id", "print", "start", "run.length", "run.window")
+    joined = own.join(_sized(texts, F.octet_length("window")), ["length", "window"])
+    return joined.select("doc_id", "print", "start", "length", "window")
+
+
+def _items(found: DataFrame, windows: DataFrame) -> DataFrame:
+    """(doc_id, print, n_items, items_sha256) of the documents with hits."""
+    sets = windows.groupBy("length", "window").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
+    sets = sets.withColumn("items", F.sha2(F.to_json("ids"), 256))
+    met = found.select("doc_id", "print", "length", "window").distinct().join(sets.drop("ids"), ["length", "window"])
+    mine = met.groupBy("doc_id", "print").agg(F.sort_array(F.collect_set("items")).alias("combination"))
+    each = mine.select("combination").distinct().select("combination", F.explode("combination").alias("items"))
+    listed = each.join(sets.select("items", "ids").dropDuplicates(["items"]), "items").groupBy("combination")
+    ids = listed.agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+    ids = ids.select("combination", F.size("ids").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
+    return mine.join(ids, "combination").drop("combination")
 
 
 def _left(rows: DataFrame, found: DataFrame) -> DataFrame:

@@ -132,6 +132,17 @@ def test_winnowing_cases(spark, hard, nothing):
     assert decontaminate.contaminated(hard, table.limit(0)).where("contaminated").count() == 0
 
 
+def test_winnowing_by_shuffles(spark, hard, monkeypatch):
+    """Items of all lengths, some with windows in common, with all broadcast and with nothing."""
+    w = dict(pairs(hard))[100].split()
+    items = [(i, " ".join(w[40 * i : 40 * i + 1 + i % 12])) for i in range(60)] + [(i, " ".join(w[40:55])) for i in range(60, 80)] + [(80, "one two"), (81, "One, two")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = collections.Counter((d, v) for d, t in pairs(hard) for v in [brute.contaminated([(d, t)], items)[d]])
+    for bound in (decontaminate.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", bound)
+        assert collections.Counter(leaks(decontaminate.contaminated(hard, table))) == want
+
+
 def test_winnowing_is_native(spark, documents):
     df = decontaminate.contaminated(documents, spark.read.parquet(f"{SF}/benchmark.parquet"))
     assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
