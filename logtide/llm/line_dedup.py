@@ -236,14 +236,15 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, near: int = NEAR) -> DataFr
     gone = duplicate_lines(docs.select("doc_id", "text"), least, max(near, 2)).withColumnsRenamed({"doc_id": "_line_id", "print": "_line_print", "gone": "_line_gone"}).hint("shuffle_hash")
     rows = docs.drop("n_lines", "n_gone")
     joined = rows.withColumn("_line_mark", F.xxhash64(text_of(F.col("text")))).join(gone, _same("doc_id", "_line_mark"), "left")
-    lines = F.split("text", "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_line_gone"), lambda i: F.get(lines, i))
+    # A column of its own: inside the lambda the text would be split anew for each line.
+    joined = joined.withColumn("_line_all", F.when(F.col("_line_gone").isNotNull(), F.split("text", "\n")))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_line_all") - 1), "_line_gone"), lambda i: F.get("_line_all", i))
     joined = joined.withColumns({
         "n_lines": F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long"),
         "n_gone": F.coalesce(F.size("_line_gone"), F.lit(0)).cast("long"),
     })
     text = F.when(F.col("_line_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn("text", text).drop("_line_id", "_line_print", "_line_gone", "_line_mark")
+    return joined.withColumn("text", text).drop("_line_id", "_line_print", "_line_gone", "_line_mark", "_line_all")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
