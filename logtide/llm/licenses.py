@@ -42,22 +42,34 @@ def _without_notices(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text.cast("string")), r"\r\n?", "\n"), NOTICE, " ")
 
 
-def canonical(text: Column) -> Column:
+def spelled(text: Column) -> Column:
+    """Lower case, notices dropped, equivalent spellings made one: what both forms begin with."""
     out = _without_notices(text)
     for one, other in SPELLINGS:
         out = F.replace(out, F.lit(one), F.lit(other))
-    return F.trim(F.regexp_replace(out, APART, " "))
+    return out
 
 
-def bare(text: Column) -> Column:
-    out = F.regexp_replace(F.regexp_replace(_without_notices(text), TITLE, " "), RIGHTS, " ")
-    out = F.concat(F.regexp_replace(F.replace(out, F.lit("https://"), F.lit("http://")), APART, " "), F.lit(" "))
+def _plain(out: Column) -> Column:
+    return F.regexp_replace(out, APART, " ")
+
+
+def _bare(out: Column) -> Column:
+    out = F.concat(_plain(F.regexp_replace(F.regexp_replace(out, TITLE, " "), RIGHTS, " ")), F.lit(" "))
     for one, other in SPELLINGS:
-        if one.replace(" ", "").isalpha():
+        if " " in one:  # spellings of two words, which a line end or a mark may have parted
             out = F.replace(out, F.lit(one), F.lit(other))
     return F.trim(out)
 
 
+def canonical(text: Column) -> Column:
+    return F.trim(_plain(spelled(text)))
+
+
+def bare(text: Column) -> Column:
+    return _bare(spelled(text))
+
+
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
@@ -71,7 +83,9 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Per row of (doc_id, text): doc_id, canonical_sha256, license_id (null: none)."""
     table = known.select("license_id", bare(F.col("text")).alias("_c")).where(F.length("_c") > 0).select("license_id", F.sha2("_c", 256).alias("_bare"))
     table = table.groupBy("_bare").agg(F.min("license_id").alias("license_id"))
-    rows = docs.select("doc_id", digest(F.col("text")).alias("canonical_sha256"), F.sha2(bare(F.col("text")), 256).alias("_bare"))
+    # A projection of its own: both forms read it, so the spellings are replaced once.
+    rows = docs.select("doc_id", spelled(F.col("text")).alias("_s"))
+    rows = rows.select("doc_id", F.sha2(F.trim(_plain(F.col("_s"))), 256).alias("canonical_sha256"), F.sha2(_bare(F.col("_s")), 256).alias("_bare"))
     return rows.join(table, "_bare", "left").select("doc_id", "canonical_sha256", "license_id")
 
 
