@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, decontaminate, langid, licenses, line_dedup, mixing, near_duplicates, pseudonyms, secrets, sql, warc
+from . import audio, bitsliced, decontaminate, langid, licenses, line_dedup, mixing, near_duplicates, pseudonyms, secrets, sql, warc
 
 QUERIES = {
     "op1_hyperdimensional_language": langid.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard_components": near_duplicates.query,
     "op9_license_digests": licenses.query,
     "op10_audio_features": audio.query,
+    "op11_bit_sliced_search": bitsliced.query,
 }
 ORACLES = {
     "op4_warc_revisits": warc.ORACLE,
@@ -22,4 +23,5 @@ ORACLES = {
     "op7_line_dedup": sql.LINE_DEDUP,
     "op8_jaccard_components": sql.JACCARD_COMPONENTS,
     "op9_license_digests": licenses.oracle(),
+    "op11_bit_sliced_search": bitsliced.ORACLE,
 }
