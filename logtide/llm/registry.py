@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, bitsliced, decontaminate, langid, licenses, line_dedup, mixing, near_duplicates, pseudonyms, secrets, sql, warc
+from . import audio, bitsliced, centroids, decontaminate, langid, licenses, line_dedup, mixing, near_duplicates, pseudonyms, secrets, sql, toxicity, warc
 
 QUERIES = {
     "op1_hyperdimensional_language": langid.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_license_digests": licenses.query,
     "op10_audio_features": audio.query,
     "op11_bit_sliced_search": bitsliced.query,
+    "op12_nonnegative_toxicity": toxicity.query,
+    "op13_weighted_lloyd": centroids.query,
 }
 ORACLES = {
     "op4_warc_revisits": warc.ORACLE,
@@ -24,4 +26,5 @@ ORACLES = {
     "op8_jaccard_components": sql.JACCARD_COMPONENTS,
     "op9_license_digests": licenses.oracle(),
     "op11_bit_sliced_search": bitsliced.ORACLE,
+    "op13_weighted_lloyd": centroids.oracle(),
 }
