@@ -2,10 +2,12 @@ import collections
 import hashlib
 import io
 import random
+import re
 import textwrap
 import zlib
 
 import brute
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -315,6 +317,49 @@ copyright notice and this permission notice appear in all copies.
     assert got == {i: name for i, name, _ in rows}
 
 
+def license_files():
+    """(license_id, text) of files as people write them, and of texts that are none."""
+    wrap = lambda text, n: "\n".join("\n".join(textwrap.wrap(p, n)) for p in text.split("\n"))
+    mit, bsd3, bsd2, apache = (licenses.LICENSES[x] for x in ("MIT", "BSD-3-Clause", "BSD-2-Clause", "Apache-2.0"))
+    owned = bsd3.replace("the copyright holder nor", "Example University nor").replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE REGENTS AND CONTRIBUTORS").replace("THE COPYRIGHT HOLDER OR", "THE REGENTS OR")
+    bullets = bsd3.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")
+    short = apache[: apache.index("END OF TERMS AND CONDITIONS")]
+    wrapped = "Copyright (c) 2012-2020 The Example Project, its very many authors,\n  contributors and friends in several countries"
+    return [
+        ("MIT", f"The MIT License (MIT)\n\n{wrapped}\n\n{wrap(mit, 70)}"), ("MIT", f"example-project\n===============\n\nCopyright (c) 2020 Someone\n\n{wrap(mit, 78)}\n"),
+        ("MIT", f"(C) 2011-2020, Foo\n\n{mit.replace(chr(34), chr(8220))}"), ("MIT", f"MIT Licence\n\n{mit}"), ("MIT", f"Example, a small library.\nAll rights reserved.\n\n{mit}"),
+        ("BSD-3-Clause", f"Copyright (c) 1990 Example University\nAll rights reserved.\n\n{owned}"), ("BSD-3-Clause", bullets), ("BSD-3-Clause", bsd3.replace("1. ", "a) ").replace("2. ", "b) ").replace("3. ", "c) ")),
+        ("BSD-2-Clause", f"{wrapped}\n\n{wrap(bsd2.replace('1. ', '- ').replace('2. ', '- '), 60)}"),
+        ("Apache-2.0", apache), ("Apache-2.0", short), ("Apache-2.0", short + "END OF TERMS AND CONDITIONS\n"), ("Apache-2.0", "Copyright 2020 Someone\n" + short.replace("http://", "https://")),
+        ("GPL-3.0", licenses.LICENSES["GPL-3.0"].split("END OF TERMS")[0]), ("ISC", "Example\n\n" + licenses.LICENSES["ISC"]),
+        (None, mit + "\n\nand one more condition"), (None, bsd3.replace("without specific prior written permission", "at all")), (None, "words " * 41 + mit), (None, wrapped), (None, "see the copyright notice"), (None, ""), (None, None),
+    ]
+
+
+def test_license_files_of_many_kinds(spark):
+    """The files are found, and the SQL of the query says the same."""
+    files = license_files()
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(files)], "doc_id long, text string")
+    rows = licenses.scan(docs, licenses.known_licenses(spark)).collect()
+    assert {r.doc_id: r.license_id for r in rows} == {i: name for i, (name, _) in enumerate(files)}
+    with duckdb.connect() as c:
+        c.execute("create table documents (doc_id bigint, text varchar)")
+        c.executemany("insert into documents values (?, ?)", list(enumerate(t for _, t in files)))
+        assert sorted(c.execute(licenses.oracle()).fetchall()) == sorted((r.doc_id, r.canonical_sha256, r.license_id) for r in rows)
+
+
+def test_licenses_are_met_by_their_own_words(spark):
+    texts = [licenses.LICENSES[k] for k in licenses.LICENSES]
+    plain = [" ".join(re.findall("[a-z]+", t.lower())) for t in texts]
+    starts, anchors = licenses.met_by(plain)
+    assert all(any(a in t for a in anchors) for t in plain) and all(any(t.startswith(s) for s in starts) for t in plain) and len(anchors) < 5
+    assert licenses.met_by(["a short text"])[1] == []
+    tiny = spark.createDataFrame([("tiny", "Do as you like.")], "license_id string, text string")
+    docs = spark.createDataFrame([(1, "do as you like"), (2, "no")], "doc_id long, text string")
+    assert {r.doc_id: r.license_id for r in licenses.scan(docs, tiny).collect()} == {1: "tiny", 2: None}
+    assert licenses.scan(docs, tiny.limit(0)).where("license_id is null").count() == 2
+
+
 def test_audio_round_trip(spark, hard, nothing):
     got = {(r.doc_id, r.n_bytes): r for r in audio.media_digests(hard).collect()}
     for d, text in pairs(hard):
