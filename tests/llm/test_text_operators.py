@@ -1,6 +1,8 @@
 import random
 import re
 import zlib
+from collections import Counter
+from datetime import date, datetime, timedelta
 
 import brute
 import numpy as np
@@ -97,11 +99,18 @@ def test_permutation(size):
         assert sorted(pseudonyms.permute(key, "t", i, size) for i in range(size)) == list(range(size))
 
 
+KEY = b"a key for tests"
+
+
+def replaced(text):
+    return pseudonyms.replace(text, KEY)
+
+
 def test_pseudonyms_keep_formats():
     text = "card 4111 1111 1111 1111, mail Jo.Doe7@example.com, ssn 123-45-6789, +1 (487) 555-7209, 10.0.0.1, on 2024-02-29 or 29/02/2024, DE89 3704 0044 0532 0130 00."
-    new, counts = pseudonyms.replace(text)
+    new, counts = replaced(text)
     assert counts == {"email": 1, "iban": 1, "card": 1, "ssn": 1, "phone": 1, "ip": 1, "date": 2}
-    again, counts_again = pseudonyms.replace(new)
+    again, counts_again = replaced(new)
     assert counts_again == counts
     shape = lambda s: re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"\d", "9", s)))
     ip = lambda s: re.sub(r"\d+\.\d+\.\d+\.\d+", "", s)
@@ -112,16 +121,16 @@ def test_pseudonyms_keep_formats():
 
 
 def test_pseudonyms_link_and_leave_alone():
-    one, two = pseudonyms.replace("a 4111-1111-1111-1111 b")[0], pseudonyms.replace("4111 1111 1111 1111")[0]
+    one, two = replaced("a 4111-1111-1111-1111 b")[0], replaced("4111 1111 1111 1111")[0]
     assert re.sub(r"\D", "", one) == re.sub(r"\D", "", two)
     for clean in ("4111 1111 1111 1112", "1234567890123", "999.1.1.1", "2024-02-30", "000-12-3456", "no mail @ all", "v1.2.3", "3.14"):
-        assert pseudonyms.replace(clean)[0] == clean
+        assert replaced(clean)[0] == clean
 
 
 def test_pseudonym_cases(spark, hard, nothing):
-    got = pseudonyms.pseudonymise(hard)
+    got = pseudonyms.pseudonymise(hard, KEY)
     assert got.count() == hard.count() and got.where("text is null").count() == 1
-    assert pseudonyms.pseudonymise(nothing).count() == 0
+    assert pseudonyms.pseudonymise(nothing, KEY).count() == 0
     long = got.where(F.col("doc_id") == 100).first()
     assert long.text == hard.where("doc_id = 100").first().text
 
@@ -133,13 +142,13 @@ AROUND = ("{} 123", "{} 12/27", "12 {}", "{} EUR 500", "{} BIC COBADEFF", "NR12
 @pytest.mark.parametrize("around", AROUND)
 def test_pseudonyms_beside_numbers_and_words(around):
     for number in NUMBERS:
-        alone = pseudonyms.replace(number)[0]
+        alone = replaced(number)[0]
         assert alone != number
-        new = pseudonyms.replace(around.format(number))[0]
+        new = replaced(around.format(number))[0]
         assert number not in new
         if "+" not in number and not number.startswith("0"):  # their length is not known
             assert alone in new
-    assert pseudonyms.replace("4111 1111 1111 1111 4012 8888 8888 1881 DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32")[1] | {"email": 0} == {"email": 0, "iban": 2, "card": 2, "ssn": 0, "phone": 0, "ip": 0, "date": 0}
+    assert replaced("4111 1111 1111 1111 4012 8888 8888 1881 DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32")[1] | {"email": 0} == {"email": 0, "iban": 2, "card": 2, "ssn": 0, "phone": 0, "ip": 0, "date": 0}
 
 
 def test_secrets_score_every_candidate(spark):
@@ -224,5 +233,87 @@ def test_pseudonyms_of_long_texts_take_linear_time():
     import time
 
     began = time.time()
-    new, counts = pseudonyms.replace("ssn 123-45-6789 on 2024-02-29 and more words; " * 20_000)
+    new, counts = replaced("ssn 123-45-6789 on 2024-02-29 and more words; " * 20_000)
     assert counts["ssn"] == counts["date"] == 20_000 and time.time() - began < 30
+
+
+def test_dates_of_four_centuries_keep_apart():
+    """Each written form is permuted: no two dates, and no day-first and month-first text, become alike; a date has one pseudonym in all forms."""
+    day, last, forms = date(1800, 1, 1), date(2200, 1, 1), [{} for _ in range(5)]
+    months = pseudonyms.MONTHS
+    while day < last:
+        days = [day + timedelta(i) for i in range(2000)]
+        texts = [[d.isoformat() for d in days], [f"{d.day:02d}/{d.month:02d}/{d.year}" for d in days], [f"{d.month:02d}/{d.day:02d}/{d.year}" if d.day > 12 else d.isoformat() for d in days],
+                 [f"{d.day} {months[1][d.month - 1].capitalize()} {d.year}" for d in days], [f"{d.year}/{d.month}/{d.day}" for d in days]]
+        for seen, form in zip(forms, texts, strict=True):
+            new = replaced("; ".join(form))[0].split("; ")
+            assert len(new) == len(form)
+            seen.update(zip(form, new, strict=True))
+        day = days[-1] + timedelta(1)
+    for seen in forms:
+        assert len(set(seen.values())) == len(seen)
+    slashed = forms[1] | {k: v for k, v in forms[2].items() if "/" in k}
+    assert len(set(slashed.values())) == len(slashed)
+    read = [lambda t: t, lambda t: "-".join(reversed(t.split("/"))), None, lambda t: f"{t[-4:]}-{pseudonyms.MONTH_OF[t.split(' ')[1].lower()][1]:02d}-{int(t.split(' ')[0]):02d}", lambda t: "{}-{:>02}-{:>02}".format(*t.split("/"))]
+    for i in (1, 3, 4):
+        assert all(read[i](new) == forms[0][read[i](old)] for old, new in forms[i].items())
+    for old, new in forms[2].items():
+        iso = lambda t: f"{t[6:]}-{t[:2]}-{t[3:5]}" if "/" in t else t
+        assert iso(new) == forms[0][iso(old)]
+    assert all(("1900" <= new[:4] < "2100") == ("1900" <= old[:4] < "2100") for old, new in forms[0].items())
+
+
+@pytest.mark.parametrize("text", ["1990/12/31", "12-31-1984", "31-12-1984", "31 Dec 1984", "31 DEC 1984", "December 31, 1984", "dec 1st, 0984", "31. Dezember 1984", "1er 3 mars 1984", "3 de mayo de 1984", "0001-01-01", "9999-12-31", "1850.1.2", "logs/2024-01-02.txt", "1/2/1990"])
+def test_dates_in_all_forms(text):
+    new, counts = replaced(f"on {text}, again")
+    assert counts["date"] == 1 and new != f"on {text}, again" and replaced(new)[1] == counts
+    assert re.sub(r"[a-zäéû]+|[0-9]+", "", new, flags=re.I) == re.sub(r"[a-zäéû]+|[0-9]+", "", f"on {text}, again", flags=re.I)
+
+
+def plain_finds(text):
+    """Counts of mail, IBAN, address and date values that stand alone between spaces, by parsing every word (and runs of words)."""
+    words = [w.strip(".,;:()\"'") for w in text.split()]
+    found = {"email": [w for w in words if w.count("@") == 1 and w.split("@")[0].isascii() and w.split("@")[0].isalnum() and "." in w.split("@")[1][1:-1]]}
+    found["ip"] = [w for w in words if w.count(".") == 3 and all(p.isdigit() and p.isascii() and len(p) < 4 and int(p) < 256 for p in w.split("."))]
+    days = []
+    for w in words:
+        for form in ("%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y"):
+            try:
+                datetime.strptime(w, form)
+                days.append(w)
+                break
+            except ValueError:
+                pass
+    found["date"] = [w for w in days if len(w) == 10]
+    number = lambda s: int("".join(str(int(c, 36)) for c in s))
+    found["iban"] = [w for w in words if 15 <= len(w) <= 34 and w.isascii() and w.isalnum() and w.upper() == w and w[:2].isalpha() and w[2:4].isdigit() and number(w[4:] + w[:4]) % 97 == 1]
+    found["phone"] = [m[0] for m in re.finditer(r"(?<!\S)\+?1? ?\(\d{3}\) \d{3}-\d{4}(?=[\s.,;]|$)", text)]
+    return found
+
+
+def test_pseudonyms_query_against_parsed_words(spark, documents):
+    """No value that a plain parser finds stays, and each kind's values of equal text become equal."""
+    dice, near, planted = random.Random(4), documents.select("doc_id", "text"), []
+    values = ["jo@example.com", "a1b2@mail.example.org", "DE89370400440532013000", "GB82WEST12345698765432", "1984-12-31", "31/12/1984", "12/31/1984", "0044-01-02", "192.0.2.77", "(212) 555-0123", "+1 (212) 555-0123"]
+    for i in range(200):
+        planted.append((10**6 + i, " ".join(dice.choice([dice.choice(values), f"word{dice.randrange(50)}", str(dice.randrange(99))]) for _ in range(30))))
+    near = near.unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
+    texts, maps = dict(pairs(near)), {}
+    for r in pseudonyms.pseudonymise(near, KEY).collect():
+        for kind, values in plain_finds(texts[r.doc_id] or "").items():
+            assert r[f"n_{kind}"] >= len(values) or kind == "date" and r.n_date + r.n_ip >= len(values)
+            left = Counter(plain_finds(r.text or "")[kind])
+            for v in values:
+                maps.setdefault(kind, set()).add(v)
+                assert left[v] < Counter(values)[v] or v not in r.text, (kind, v)
+    assert all(maps.get(k) for k in ("email", "ip", "date", "iban", "phone")), {k: len(v) for k, v in maps.items()}
+
+
+def test_a_session_without_key_draws_one(spark):
+    spark.conf.unset(pseudonyms.SETTING)
+    one = pseudonyms.session_key(spark)
+    assert len(one) == 64 and pseudonyms.session_key(spark) == one
+    spark.conf.set(pseudonyms.SETTING, "mine")
+    assert pseudonyms.session_key(spark) == b"mine"
+    spark.conf.unset(pseudonyms.SETTING)
+    assert pseudonyms.session_key(spark) != one
