@@ -37,6 +37,8 @@ FEATURES, LEAST_Z, OF_BEST, LEAST = 512, 4.0, 0.5, 3
 """Most features; how many standard errors apart a feature's shares among positives and unlabelled must be, at least, and as a part of the clearest feature's,
 which keeps out words of a few copies of one positive; the least number of positives that hold one (or would, at the unlabelled texts' rate)."""
 MEMBERS, SAMPLE, UNLABELLED, MARGIN = 4, 4_000, 4, 1.05
+BROADCAST = 500_000
+"""Most confirmed ids that are sent to every executor."""
 STEPS, RATE, DECAY = 1000, 0.1, 5e-4
 """Adam's steps and first rate (it falls to 0), weight decay."""
 
@@ -173,8 +175,11 @@ def _sampled(rows: DataFrame, key: Column, member: int, size: int, total: int) -
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, members: int = MEMBERS, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the features and the weights (with the bias last) learned from documents (doc_id, text) and labels (doc_id, toxic)."""
     spark = docs.sparkSession
-    told = labelled(labels)
-    positive = saved(docs.join(told.where("toxic"), "doc_id", "left_semi").where("text is not null").select("text").distinct(), "positives")
+    told = saved(labelled(labels), "labels")
+    confirmed = told.where("toxic").select("doc_id")
+    if confirmed.count() <= BROADCAST:  # else both sides are shuffled
+        confirmed = F.broadcast(confirmed)
+    positive = saved(docs.join(confirmed, "doc_id", "left_semi").where("text is not null").select("text").distinct(), "positives")
     if prior is None:
         share, n = told.agg(F.avg(F.col("toxic").cast("double")), F.count(F.lit(1))).first()
         prior = MARGIN * share + 2 * (share * (1 - share) / n) ** 0.5 if n else 0.0
