@@ -21,6 +21,8 @@ from .common import ascii_lower, read, saved, text_of
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, K = 10, 5
+#: Words of a text whose windows stand in one row.
+PIECE = 512
 #: Fingerprints or windows of at most so many bytes, 40 a row added, are broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 
@@ -103,19 +105,30 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def _pieces(docs: DataFrame, length: int) -> DataFrame:
+    """(doc_id, print, base, words): each text in pieces of ``PIECE`` words and the ``length`` - 1 that follow, so that no row holds the windows of a whole text."""
+    bases = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(PIECE))
+    rows = docs.select("doc_id", "print", "words", F.explode(bases).alias("base"))
+    return rows.select("doc_id", "print", "base", F.slice("words", F.col("base") + 1, F.lit(PIECE + length - 1)).alias("words"))
+
+
 def _hits(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc_id, print, start, length, window) of each window of ``WINDOW`` words that an item has too."""
+    own = _pieces(docs.dropDuplicates(["doc_id", "print"]), WINDOW)
     # The outer explode gets no filter that would make the array twice; the join drops its null rows.
-    own = docs.dropDuplicates(["doc_id", "print"]).select("doc_id", "print", F.posexplode_outer(_text_at("words", WINDOW)).alias("start", "window"))
+    own = own.select("doc_id", "print", "base", F.posexplode_outer(_text_at("words", WINDOW)).alias("at", "window"))
+    own = own.select("doc_id", "print", (F.col("base") + F.col("at")).alias("start"), "window")
     joined = own.join(_sized(texts, F.octet_length("window")), "window")
     return joined.select("doc_id", "print", "start", "length", "window")
 
 
 def _short_hits(docs: DataFrame, texts: DataFrame, lengths: list[int]) -> DataFrame:
     """As ``_hits``, for items of fewer than ``WINDOW`` words; ``docs`` are read once for all ``lengths``."""
-    n, most = F.size("words"), lengths[-1]
+    most = lengths[-1]
+    n = F.least(F.size("words"), F.lit(PIECE))
     starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    own = docs.select("doc_id", "print", F.posexplode_outer(F.transform(starts, lambda i: F.slice("words", i, most))).alias("start", "ahead"))
+    own = _pieces(docs, most).select("doc_id", "print", "base", F.posexplode_outer(F.transform(starts, lambda i: F.slice("words", i, most))).alias("at", "ahead"))
+    own = own.select("doc_id", "print", (F.col("base") + F.col("at")).alias("start"), "ahead")
     heads = texts.select(F.substring_index("window", " ", 1).alias("head")).distinct()
     if _fits(heads, F.octet_length("head")):  # by a shuffle, frequent words would be hot keys; without it the join below does the same
         own = own.join(F.broadcast(heads), F.get("ahead", F.lit(0)) == F.col("head"), "left_semi")

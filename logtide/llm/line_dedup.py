@@ -14,7 +14,7 @@ Hot lines and halves are aggregated map-side; joins back to them are plain sort-
 
 Cases:  a null text stays null and has no lines; shorter lines and blank ones always stay; rows that repeat id and text count as one
 document, so none of them makes the other go; a null id counts as the smallest; an empty table gives no row; a very long line of n words is one row of the line table and
-makes at most 2n + 1 variants, in batches of about ``VARIANTS``; other columns stay as they are.
+makes at most 2n + 1 variants, in batches of at most twice ``VARIANTS``, those of a very long line in several; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -146,17 +146,20 @@ def variant_table(docs: DataFrame, suspects: DataFrame, least: int = LEAST, near
                     n = int(x.n[i])
                     a = int(min(_half(np.array([max(n - 1, near), n]), near)))
                     low, high = (0 if ask["r"] else a), (n if ask["l"] else n - a)
-                    v, at = x.variants(i, low, high), np.arange(low, high, dtype=np.uint64)
-                    keys = np.concatenate([mix(v + mix(at + LEFT) + np.array([n], np.uint64) * RIGHT), mix(v + np.array([n - 1], np.uint64) * GOLD), hashes[i : i + 1]])
-                    kinds = np.repeat(np.array([SUBSTITUTED, SHORTENED, WHOLE], np.int32), [len(v), len(v), 1])
-                    size = len(keys)
-                    line, own = np.full(size, ask["line"], np.int32), np.full(size, hashes[i]).view(np.int64)
-                    made.append((keys.view(np.int64), kinds, [doc_id] * size, line, own, [None] * (size - 1) + [x.body(i)]))
-                    count += size
-                    if count >= VARIANTS:
-                        yield rows()
-                        made.clear()
-                        count = 0
+                    for first in range(low, max(high, low + 1), VARIANTS // 2):  # a very long line takes several batches
+                        stop = min(high, first + VARIANTS // 2)
+                        whole = hashes[i : i + 1] if stop == high else hashes[:0]
+                        v, at = x.variants(i, first, stop), np.arange(first, stop, dtype=np.uint64)
+                        keys = np.concatenate([mix(v + mix(at + LEFT) + np.array([n], np.uint64) * RIGHT), mix(v + np.array([n - 1], np.uint64) * GOLD), whole])
+                        kinds = np.repeat(np.array([SUBSTITUTED, SHORTENED, WHOLE], np.int32), [len(v), len(v), len(whole)])
+                        size = len(keys)
+                        line, own = np.full(size, ask["line"], np.int32), np.full(size, hashes[i]).view(np.int64)
+                        made.append((keys.view(np.int64), kinds, [doc_id] * size, line, own, [None] * (2 * len(v)) + [x.body(i)] * len(whole)))
+                        count += size
+                        if count >= VARIANTS:
+                            yield rows()
+                            made.clear()
+                            count = 0
         if made:
             yield rows()
 

@@ -262,22 +262,29 @@ def _met(sid: np.ndarray, place: np.ndarray, root: np.ndarray, mask: np.ndarray,
     return x, y
 
 
+def dealt(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """(list, mine, other, sid, place, root, asks): the cells of lists with several components.  A cell is a part with asking members, which are those outside the list's
+    largest component, and another part, whose entries they ask."""
+    members = lists.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    shares = members.groupBy("list", "root").agg(F.count(F.lit(1)).alias("k"), F.max("part").alias("last"))
+    open_lists = shares.groupBy("list").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.max("last").alias("last"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    pieces = lists.select("list", "part").distinct().join(open_lists.drop("roots"), "list")
+    open_ = saved(members.join(pieces, ["list", "part"]), "near-open")
+    # An entry is dealt only to the parts of its list that have asking members: what is written grows with the entries times those parts.
+    askers = open_.where(F.col("root") != F.col("main"))
+    met = pieces.select("list", "part").join(askers.select("list", F.col("part").alias("mine")).distinct(), "list")
+    asked = open_.join(met, ["list", "part"]).select("*", F.col("part").alias("other"), F.lit(False).alias("asks"))
+    asking = askers.select("*", F.col("part").alias("mine"), F.explode(F.sequence(F.lit(0), "last")).alias("other"), F.lit(True).alias("asks"))
+    return asked.select("list", "mine", "other", "sid", "place", "root", "asks").unionByName(asking.select("list", "mine", "other", "sid", "place", "root", "asks"))
+
+
 def across(lists: DataFrame, roots: DataFrame, masks: DataFrame, most: int | None) -> DataFrame:
     """(a, b, n_a, n_b): classes of one list and of different components that size, position and masks allow to link;
     of each entry outside the list's largest component, in each part, its ``most`` likely partners (None: all).
 
     Every pair of parts of a list is a cell, and cells are dealt to tasks.
     """
-    members = lists.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    shares = members.groupBy("list", "root").agg(F.count(F.lit(1)).alias("k"), F.max("part").alias("last"))
-    open_lists = shares.groupBy("list").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.max("last").alias("last"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    pieces = lists.select("list", "part").distinct().join(open_lists.drop("roots"), "list")
-    members = members.join(pieces, ["list", "part"]).join(masks.drop("n"), "sid")
-    cell = lambda mine, other, asks: F.struct(mine.alias("mine"), other.alias("other"), F.lit(asks).alias("asks"))
-    others, own = F.sequence(F.lit(0), "last"), F.col("part")
-    asking = F.when(F.col("root") != F.col("main"), F.transform(others, lambda i: cell(own, i, True)))
-    dealt = F.explode(F.concat(F.transform(others, lambda i: cell(i, own, False)), F.coalesce(asking, F.array().cast("array<struct<mine:int,other:int,asks:boolean>>"))))
-    cells = members.withColumn("_cell", dealt).withColumns({"cell": F.xxhash64("list", "_cell.mine", "_cell.other"), "asks": F.col("_cell.asks")})
+    cells = dealt(lists, roots).join(masks.drop("n"), "sid").withColumn("cell", F.xxhash64("list", "mine", "other"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, sid, place, root, asks, *mask in _groups(batches):

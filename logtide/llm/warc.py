@@ -5,13 +5,14 @@ id of each group of equal payloads is the response and every other one is a revi
 headers and no payload.  Revisit records are made of headers alone.  Responses are the pages whose (id, digest) is not a revisit's: up to ``BROADCAST``
 revisits these keys are sent to the pages, and no payload is moved; beyond, pages are shuffled once to meet them.
 
-Archives are gzip files by Spark's text writer, whose line separator is WARC's end-of-record mark, of as many records as hold about
-``FILE_BYTES`` at the mean size; each file is read back in a stream, record by record, by Content-Length, and every payload's digest is verified.
+Archives are gzip files by Spark's text writer, whose line separator is WARC's end-of-record mark.  Pages are written by classes of size (powers of 8), a job a
+class that occurs, with as many records a file as hold ``FILE_BYTES`` if all are as large as the class allows: no file is larger, wherever large
+pages stand, but for one of a single page.  Each file is read back in a stream, record by record, by Content-Length, and every payload's digest is verified.
 
 Cases:  null html is an empty payload; a null url writes no target line; rows that repeat the largest id of a
 group are all written as responses; a null id counts as smaller than any other, and rows that only have null ids are responses; rows that repeat id, address and payload have one
 record id, all others their own; an empty table gives an empty archive; a very large page is held by one task, on its own and compressed with its file;
-other columns are ignored.
+ids are cast to long; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ END = "\r\n\r\n"
 HEX32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 ROWS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, url string, record_id string, refers_to_record string"
 BROADCAST, FILE_BYTES, MOST = 500_000, 128 << 20, 20_000
+LEAST_CLASS, HEAD_BYTES = 3, 2_048
+"""Pages below 8^4 bytes are one class of size; bytes of headers, as far as addresses are not longer."""
 PIECE = 1 << 18
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -83,7 +86,7 @@ def _head(kind: str, date: str, more: list[Column]) -> Column:
     )
 
 
-def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int | None = None, date: str | None = None) -> None:
+def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int = MOST, date: str | None = None, file_bytes: int = FILE_BYTES) -> None:
     """Write gzip-compressed archives below ``path``; ``date`` is that of all records, now by default."""
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = payloads(pages)
@@ -95,16 +98,30 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, records_per
     keys = keys.withColumnsRenamed({"page_id": "_id", "digest": "_digest"})
     known = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
     body = [_line("Content-Type", F.lit("text/html; charset=utf-8")), _line("Content-Length", F.col("bytes").cast("string"))]
-    responses = rows.join(keys, known, "left_anti").select(F.concat(_head("response", date, body), F.col("payload")).alias("record"))
+    responses = rows.join(keys, known, "left_anti")
     named = [
         _line("WARC-Profile", F.lit(REVISIT)), _line("WARC-Refers-To", record_id("response", F.col("original"), F.col("digest"), F.col("original_url"))),
         _line("X-Refers-To-Page-ID", F.col("original").cast("string")), _line("Content-Length", F.lit("0")),
     ]
-    records = responses.unionByName(again.select(_head("revisit", date, named).alias("record")))
-    if records_per_file is None:
-        mean = headers.agg(F.avg("bytes")).first()[0] or 0
-        records_per_file = int(min(MOST, max(1, FILE_BYTES // (mean + 512))))
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    # Pages of one class of size at a time, so that a number of records bounds the bytes of a file, wherever large pages stand.
+    classes = [r.c for r in headers.select(_class(F.col("bytes")).alias("c")).distinct().orderBy("c").collect()]  # a number a power of 8
+    for c in classes:
+        own = responses.where(_class(F.octet_length("payload")) == c).select(F.concat(_head("response", date, body), F.col("payload")).alias("record"))
+        _write(own, path, min(records_per_file, file_bytes // (8 ** (c + 1) + HEAD_BYTES)))
+    _write(again.select(_head("revisit", date, named).alias("record")), path, min(records_per_file, file_bytes // HEAD_BYTES))
+
+
+def _class(size: Column) -> Column:
+    """The power of 8 that a size is at or above, 512 at least."""
+    found = F.lit(LEAST_CLASS)
+    for power in range(LEAST_CLASS + 1, 11):
+        found = F.when(size >= 8**power, F.lit(power)).otherwise(found)
+    return found
+
+
+def _write(records: DataFrame, path: str, most: int) -> None:
+    out = records.write.mode("append").option("lineSep", END).option("compression", "gzip")
+    out.option("maxRecordsPerFile", max(1, most)).text(path)
 
 
 class Stream:

@@ -467,3 +467,50 @@ def test_long_texts_are_hashed_in_blocks():
     sets = list(shingles.shingle_sets(["a b c d e f", text, None, "a B", "A  b\n"]))
     assert [len(s) for s, _ in sets] == [2, len(shingles.shingle_set(text)), 0, 1, 1] and (sets[3][0] == sets[4][0]).all()
     assert all((s == shingles.shingle_set(d.decode())).all() for s, d in sets)
+
+
+@pytest.mark.parametrize("n", [5_120, 10_240])
+def test_entries_are_dealt_to_asking_parts_only(spark, n):
+    """A list with one outsider: rows grow with its entries, not with entries times parts."""
+    lists = spark.range(n).selectExpr("7L list", "id sid", "(100L << 32) + id place", "cast(id div 512 as int) part")
+    roots = spark.range(n - 1).selectExpr("id node", "0L root")
+    rows = near_duplicates.dealt(lists, roots)
+    parts = n // 512
+    assert rows.where("not asks").count() == n and rows.where("asks").count() == parts
+    assert rows.where("not asks").select("mine").distinct().count() == 1
+
+
+def test_variants_of_a_very_long_line_come_in_batches(spark):
+    words = [f"w{i % 977}" for i in range(400_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-7], "other", *words[-6:]])), (3, "short line of its own")], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_gone) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got[1][1] == 0 and got[2] == ("", 1) and got[3] == ("short line of its own", 0)
+
+
+def test_windows_of_a_very_long_text(spark):
+    dice = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(5_000)]
+    words = [dice.choice(vocabulary) for _ in range(300_000)]
+    items = [("a", " ".join(words[505:525])), ("b", " ".join(words[1020:1030])), ("c", " ".join(words[299_990:])), ("d", " ".join(words[509:514])), ("e", words[77] + " " + words[78])]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "clean words only")], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    five, two = words[509:514], words[77:79]
+    hit = {*range(505, 525), *range(1020, 1030), *range(299_990, 300_000)}
+    hit |= {i + j for i in range(299_996) if words[i] == five[0] and words[i : i + 5] == five for j in range(5)}
+    hit |= {i + j for i in range(299_999) if words[i] == two[0] and words[i + 1] == two[1] for j in range(2)}
+    assert (got[1].n_words, got[1].n_items, got[1].n_hit) == (300_000, 5, len(hit)) and not got[2].contaminated
+
+
+def test_archive_files_are_bounded_by_bytes(spark, tmp_path):
+    """Many small pages and then large ones in one task: no file holds more than its bytes, unless it is one page."""
+    import gzip
+
+    dice = random.Random(3)
+    sizes = [100] * 3_000 + [200_000] * 60 + [3_000_000] * 5
+    rows = [(i, f"http://example.org/{i}", "".join(dice.choices("abcdefgh ", k=50)) * (n // 50)) for i, n in enumerate(sizes)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = f"file://{tmp_path}/warc"
+    warc.write_archive(pages, path, file_bytes=2 << 20)
+    inflated = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "warc").glob("*.gz")]
+    assert max(inflated) < 3_100_000 and sorted(n for n in inflated if n > 2 << 20) == sorted(n for n in inflated if n > 2_900_000)
+    assert warc.read_archive(spark, path, payloads=False).where("record_type = 'response'").count() == len(rows)
