@@ -78,12 +78,14 @@ POSIX = {
 FLAGS = {"i": "i", "m": "m", "s": "s", "x": "x", "u": "U"}
 ESCAPES = {"v": r"\x0B", "<": r"\b(?=\w)", ">": r"\b(?<=\w)"}
 SAME_ESCAPES = "dDsSwWbBAzaftnr"
+LINE_START = r"(?<![^\n])"
+"""Java's own does not match behind a last line's end."""
 
 
 def search_regex(pattern: str) -> str:
     """A pattern of linear-time engines for Java's.
 
-    ``$`` is the end of the text, or of a line under ``(?m)``; only \\n ends a line; \\d, \\w, \\s and \\b are those of Unicode; bracketed classes such as
+    ``$`` is the end of the text, or of a line under ``(?m)``, and ``^`` the start, also of the empty line behind a last line's end; ``{,n}`` is ``{0,n}``; only \\n ends a line; \\d, \\w, \\s and \\b are those of Unicode; bracketed classes such as
     ``[:alpha:]`` are ASCII.  A ValueError names what such engines, or this translation, do not support: look-around, back-references,
     quantifiers of quantifiers, flags that swap greed, symmetric differences of classes.
     """
@@ -126,7 +128,7 @@ class _Pattern:
             if found := self.next(r"[*+?]\??|\{\s*\d*\s*,?\s*\d*\s*\}\??"):
                 if quantified:
                     raise self.fail("a quantifier of a quantifier")
-                out.append(re.sub(r"\s", "", found[0]))
+                out.append(re.sub(r"\s", "", found[0]).replace("{,", "{0,"))
                 quantified = True
                 continue
             quantified = False
@@ -144,7 +146,7 @@ class _Pattern:
                 out.append(c)
             else:
                 self.at += 1
-                out.append(r"\z" if c == "$" and not self.lines[-1] else c)
+                out.append(r"\z" if c == "$" and not self.lines[-1] else LINE_START if c == "^" and self.lines[-1] else c)
         if len(self.lines) > 1:
             raise self.fail("an unclosed group")
         return "".join(out)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.costs import LOG_RATIO, LOG_STORAGE, STANDARD, gib
@@ -69,8 +71,6 @@ def manifest_rows(objects: DataFrame) -> DataFrame:
 
 def shards(streams: DataFrame, keys: list[str], wanted: int, most: int = 100) -> DataFrame:
     """Deal a key's streams, in order, round to shards of at most ``most``."""
-    from pyspark.sql import Window
-
     own = Window.partitionBy(*keys)
     n = F.count(F.lit(1)).over(own)
     count = F.least(n, F.greatest(F.lit(max(wanted, 1)), F.ceil(n / most)))
@@ -84,46 +84,107 @@ def due(groups: DataFrame, now_ms: int, width: int, start_ms: int | None = None)
     return with_grid(groups, low, F.lit(now_ms - LAG_MS).cast("long"), width, complete=True).select(*KEYS, *WINDOW)
 
 
-def write_windows(records: DataFrame, path: str, name: Column, order: list[str], size: Column, target: int) -> None:
-    """Cut the records of each window to objects of about ``target`` bytes, in ``order``, and write them under their names (of column ``seq``)."""
+def write_windows(records: DataFrame, path: str, name: Column, order: list[str], size: Column, target: int, run: str) -> None:
+    """Cut the records of each window to objects of about ``target`` bytes, in ``order``, and write them under their names (of column ``seq``) as those of ``run``."""
     cut = rotate(records.withColumn("_size", size.cast("long")), [*KEYS, *WINDOW], order, "_size", target)
-    archive.write_objects(cut.withColumn("object", name), f"{path}/data")
+    archive.write_objects(cut.withColumn("object", name), f"{path}/data", run)
+
 
+def _empty(windows: DataFrame) -> DataFrame:
+    return manifest_rows(windows.withColumns({"data_key": F.lit(None).cast("string"), "record_count": F.lit(None).cast("long")}))
 
-def described(windows: DataFrame, path: str, size: Column) -> DataFrame:
-    """Manifests of ``windows`` as their written objects are, with those of empty windows."""
+
+def described(windows: DataFrame, path: str, size: Column, run: str) -> DataFrame:
+    """Manifests of ``windows`` with the objects that ``run`` wrote, as they are read back, and those of empty windows."""
     spark = windows.sparkSession
     first, last = windows.agg(F.min("window_start_ms"), F.max("window_end_ms")).first()
     if first is None:
-        return manifest_rows(windows.limit(0).withColumns({"data_key": F.lit(None).cast("string"), "record_count": F.lit(None).cast("long")}))
-    days = F.col("dt").between(date_of(F.lit(first).cast("long")), date_of(F.lit(last - 1).cast("long")))
-    keys = [*KEYS, "dt", "object"]
-    objects = archive.decoded(archive.read_objects(spark, f"{path}/data").where(days), size).join(archive.listing(spark, f"{path}/data"), keys)
+        return _empty(windows.limit(0))
+    days = spark.range(1).select(date_of(F.lit(first).cast("long")), date_of(F.lit(last - 1).cast("long"))).first()
+    mine = F.col("run") == run
+    read = archive.decoded(archive.read_objects(spark, f"{path}/data", tuple(days)).where(mine), size)
+    objects = read.join(archive.listing(spark, f"{path}/data", tuple(days)).where(mine), archive.OBJECT_KEYS)
     key = data_key(F.lit(""), F.col("account"), F.col("log_group"), F.col("dt"), F.col("object"))
     start = F.regexp_extract("object", r"^(-?\d+)-", 1).cast("long")
-    objects = objects.select(*KEYS, start.alias("window_start_ms"), key.alias("data_key"), F.col("bytes").alias("body_len"), "raw_bytes", "record_count", "min_ts", "max_ts")
+    objects = objects.select(
+        *KEYS, start.alias("window_start_ms"), key.alias("data_key"), F.col("run").alias("etag"), F.col("bytes").alias("body_len"), "raw_bytes", "record_count", "min_ts", "max_ts"
+    )
     return manifest_rows(windows.join(objects, [*KEYS, "window_start_ms"], "left"))
 
 
-def run(records: DataFrame, windows: DataFrame, known: DataFrame, path: str, width: int, target: int, size: Column, order: list[str], now_ms: int) -> DataFrame:
-    """Archive the windows that no manifest of ``known`` covers, and return their manifests.
+def run(
+    records: DataFrame, windows: DataFrame, known: DataFrame, path: str, width: int, target: int, size: Column, order: list[str], now_ms: int, dry_run: bool = False
+) -> DataFrame:
+    """Archive the windows that no manifest of ``known`` covers, and return their manifests; ``dry_run`` writes nothing and returns ``window_summary`` of them.
 
     Objects are written first, named by window and sequence number, below ``path``/data; then a manifest for every window, empty ones
-    too, below ``path``/manifest.  What was read back decides what manifests say.  A second run finds nothing pending and writes nothing.
+    too, below ``path``/manifest.  What was read back decides what manifests say.  Every run writes its objects as its own (a fresh id, the manifests' ``etag``), so a run that is lost
+    before its manifests leaves objects that nothing names, and the next one archives their windows anew: each event is in one named object.  A run
+    with nothing pending writes nothing.
     """
     todo = pending(windows, known)
+    if dry_run:
+        return window_summary(todo, records, width)
     if todo.isEmpty():
         return manifest_source.none(windows.sparkSession)
-    rows = with_window(records, width).join(todo, [*KEYS, *WINDOW], "left_semi")
+    rows, own = with_window(records, width).join(todo, [*KEYS, *WINDOW], "left_semi"), uuid.uuid4().hex
     if not rows.isEmpty():
-        write_windows(rows, path, drain_name(F.col("window_start_ms"), F.col("seq")), order, size, target)
-        made = described(todo, path, size)
+        write_windows(rows, path, drain_name(F.col("window_start_ms"), F.col("seq")), order, size, target, own)
+        made = described(todo, path, size, own)
     else:
-        made = manifest_rows(todo.withColumns({"data_key": F.lit(None).cast("string"), "record_count": F.lit(None).cast("long")}))
+        made = _empty(todo)
     manifest_source.write(made.withColumn("completed_at_ms", F.lit(now_ms).cast("long")), f"{path}/manifest")
     return manifest_source.read(windows.sparkSession, f"{path}/manifest").where("valid").join(todo, [*KEYS, *WINDOW], "left_semi")
 
 
+HASHES, MOST_FAILURES = 1 << 30, 1_000
+OUTCOME = "account string, log_group string, window_start_ms long, window_end_ms long, error string"
+
+
+def isolated(records: DataFrame, windows: DataFrame, known: DataFrame, path: str, width: int, target: int, size: Column, order: list[str], now_ms: int) -> DataFrame:
+    """As ``run``, but a window that fails keeps none of the others from being archived.
+
+    Where a run over some windows fails, they are run again in two halves (by a hash of the window), until those that fail stand alone: a few more jobs for each of them.
+    Returns (account, log_group, window, error) of every pending window; only those without error have manifests.  More than ``MOST_FAILURES`` failures are no
+    matter of single windows, and the last one is raised.
+    """
+    spark = windows.sparkSession
+    todo = pending(windows, known).select(*KEYS, *WINDOW).withColumn("_hash", F.pmod(F.xxhash64(*KEYS, *WINDOW), F.lit(HASHES)))
+    failed: list[tuple] = []
+    parts = [(0, HASHES)]
+    while parts:
+        low, high = parts.pop()
+        part = todo.where((F.col("_hash") >= low) & (F.col("_hash") < high)).drop("_hash")
+        try:
+            run(records, part, known.limit(0), path, width, target, size, order, now_ms)
+        except Exception as e:
+            alone = part.limit(2).collect()  # two rows at most
+            if len(alone) == 1 or high - low == 1:
+                failed += [(*row, str(e).splitlines()[0][:300]) for row in alone]
+                if len(failed) > MOST_FAILURES:
+                    raise
+            else:
+                parts += [(low, (low + high) // 2), ((low + high) // 2, high)]
+    return todo.drop("_hash").join(F.broadcast(spark.createDataFrame(failed, OUTCOME)), [*KEYS, *WINDOW], "left")
+
+
+def isolated_report(outcomes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Per account and group: windows, failed, the retention of groups where all went well (J8: no other may be changed), and ``label``, how many of all groups those are."""
+    sums = outcomes.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("windows"), F.count("error").alias("failed"))
+    well = F.count(F.when(F.col("failed") == 0, 1))
+    label = sums.agg(F.concat_ws("/", well.cast("string"), F.count(F.lit(1)).cast("string")).alias("label"))  # one row
+    kept = groups.select(*KEYS, "retention_days")
+    joined = sums.join(kept, KEYS, "left").crossJoin(F.broadcast(label))
+    return joined.withColumn("retention_days", F.when(F.col("failed") == 0, F.col("retention_days")))
+
+
+def outside(records: DataFrame, windows: DataFrame, width: int) -> DataFrame:
+    """Per account and group the records that lie in none of the ``windows``."""
+    rows = with_window(records, width).groupBy(*KEYS, *WINDOW).agg(F.count(F.lit(1)).alias("n"))
+    left = rows.join(windows.select(*KEYS, *WINDOW).withColumn("_there", F.lit(1)), [*KEYS, *WINDOW], "left")
+    return left.groupBy(*KEYS).agg(F.coalesce(F.sum(F.when(F.col("_there").isNull(), F.col("n"))), F.lit(0)).alias("events_outside_window"))
+
+
 def failures(outcomes: DataFrame) -> DataFrame:
     """Per group of outcomes (window and ``error``, null where it went well): failed, ok, any_failed and the first failed window's error."""
     bad = F.col("error").isNotNull()

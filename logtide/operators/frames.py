@@ -21,6 +21,38 @@ def prune(index: DataFrame, start: int, end: int) -> DataFrame:
     return index.where(overlaps(F.col("min_ts"), F.col("max_ts"), start, end))
 
 
+def _level(low: Column, high: Column) -> Column:
+    """The power of two that is the width of bins of which an interval, both ends included, meets two at most."""
+    return F.ceil(F.log2((high - low + 1).cast("double"))).cast("int")
+
+
+def _binned(rows: DataFrame, low: str, high: str, levels: Column) -> DataFrame:
+    """A row for each bin that each interval meets, at each of ``levels``."""
+    rows = rows.withColumn("_level", F.explode(levels))
+    width = F.pow(F.lit(2.0), F.col("_level")).cast("long")
+    first = F.floor(F.col(low) / width).cast("long")
+    return rows.withColumns({f"_first_{low}": first, "_bin": F.explode(F.sequence(first, F.floor(F.col(high) / width).cast("long")))})
+
+
+def prune_many(index: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Pairs of frames (min_ts, max_ts) and ``ranges`` (start, end; half open) that meet, each once.
+
+    Intervals are met by bins of time, with one join of equal bins a side: each range at the width that fits it with all frames that are no
+    longer, and each frame at its own with all ranges that are shorter.  So an interval has at most two bins at each width that occurs, and a bin holds what is near.
+    """
+    frames = index.where("min_ts <= max_ts").withColumn("_own", _level(F.col("min_ts"), F.col("max_ts")))
+    wanted = ranges.where(F.col("start") < F.col("end")).withColumn("_last", F.col("end") - 1).withColumn("_asked", _level(F.col("start"), F.col("_last")))
+    there = lambda df, c: F.array(*[F.lit(r[0]) for r in df.select(c).distinct().orderBy(c).collect()]).cast("array<int>")  # noqa: E731  # some 60 widths at most
+    of_frames, of_ranges = there(frames, "_own"), there(wanted, "_asked")
+    sides = [
+        (_binned(wanted, "start", "_last", F.array("_asked")), _binned(frames, "min_ts", "max_ts", F.filter(of_ranges, lambda x: x >= F.col("_own")))),
+        (_binned(wanted, "start", "_last", F.filter(of_frames, lambda x: x > F.col("_asked"))), _binned(frames, "min_ts", "max_ts", F.array("_own"))),
+    ]
+    meet = overlaps(F.col("min_ts"), F.col("max_ts"), F.col("start"), F.col("end")) & (F.col("_bin") == F.greatest("_first_start", "_first_min_ts"))
+    found = [a.join(b, ["_level", "_bin"]).where(meet).select(*ranges.columns, *index.columns) for a, b in sides]
+    return found[0].unionByName(found[1])
+
+
 def zipped(offsets: DataFrame, times: DataFrame, key: str) -> DataFrame:
     """Join the two halves of an index by frame; objects whose halves differ in length have ``ok`` false."""
     joined = offsets.join(times, [key, "frame_idx"], "full")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.costs import BYPASS, DAYS_PER_MONTH, LOG_INGEST, LOG_STORAGE, PRICES, SIZE_FACTOR, STANDARD, gib
+from ..session import scratch
 
 METRICS_PER_CALL = 500
 
@@ -38,11 +39,36 @@ def total(groups: DataFrame, days: int) -> DataFrame:
     return costs(sums, days)
 
 
-def metric_batches(groups: DataFrame, size: int = METRICS_PER_CALL) -> DataFrame:
-    """Number the groups in order and split them into calls; one row a group, so one task orders them."""
-    from pyspark.sql import Window
+def numbered(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """``rows`` with their place in ``order``, from 0 on, without one task for all: each range of the order is counted, and what stands before it is added.
+
+    The ordered rows are written to the shared folder, as ranges drawn twice might differ.
+    """
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "ordered")
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    there = spark.read.parquet(path).withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)})
+    counts = {r["_part"]: r["n"] for r in there.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
+    before, offsets = 0, []
+    for part in sorted(counts):
+        offsets.append((part, before))
+        before += counts[part]
+    table = F.broadcast(spark.createDataFrame(offsets, "_part long, _before long"))
+    return there.join(table, "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_id", "_part", "_at", "_before")
+
+
+QUERY_ID = r"^m(0|[1-9][0-9]*)$"
 
-    place = F.row_number().over(Window.orderBy("log_group")) - 1
-    return groups.select("log_group").withColumn("place", place).select(
-        "log_group", F.format_string("m%d", F.col("place")).alias("query_id"), F.floor(F.col("place") / size).cast("long").alias("call")
-    )
+
+def place_of(query_id: Column) -> Column:
+    """The place that a query id names; null for what ``metric_batches`` would not write."""
+    return F.when(query_id.rlike(QUERY_ID), F.regexp_extract(query_id, QUERY_ID, 1).try_cast("long"))
+
+
+def metric_batches(groups: DataFrame, size: int = METRICS_PER_CALL) -> DataFrame:
+    """Number the groups (log_group, of an account where they have one) in order and split each account's into calls."""
+    keys = [c for c in ("account", "log_group") if c in groups.columns]
+    rows = numbered(groups.select(*keys), keys)
+    if "account" in keys:
+        first = rows.groupBy("account").agg(F.min("place").alias("_first"))
+        rows = rows.join(first, "account").withColumn("place", F.col("place") - F.col("_first"))
+    return rows.select(*keys, F.format_string("m%d", F.col("place")).alias("query_id"), F.floor(F.col("place") / size).cast("long").alias("call"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,35 +50,58 @@ def next_attempt(names: DataFrame, keys: list[str]) -> DataFrame:
     return names.groupBy(*keys).agg((F.coalesce(F.max(number), F.lit(0)) + 1).cast("long").alias("attempt")).withColumn("allowed", F.col("attempt") <= 99)
 
 
+def _attempts(known: DataFrame) -> DataFrame:
+    """The next attempt of each window, by the names in its manifest."""
+    names = archive_source.named(known).withColumn("window_start_ms", F.regexp_extract("object", r"^(-?\d+)-", 1).cast("long")).withColumnRenamed("object", "name")
+    attempts = next_attempt(names, [*SCOPE, "window_start_ms"])
+    return attempts.select(*SCOPE, "window_start_ms", F.when(F.col("allowed"), F.col("attempt")).otherwise(F.raise_error(F.lit("more than 99 attempts"))).alias("attempt"))
+
+
+def append(late: DataFrame, known: DataFrame, path: str, target: int, size: Column, order: list[str], run: str) -> None:
+    """Write late events (with their windows) to objects of the next attempt of their windows, as those of ``run``; no manifest names them yet."""
+    numbered = late.join(_attempts(known), [*SCOPE, "window_start_ms"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(1).cast("long")))
+    drain.write_windows(numbered, path, reconcile_name(F.col("window_start_ms"), F.col("attempt"), F.col("seq")), order, size, target, run)
+
+
 def run(source: DataFrame, known: DataFrame, path: str, width: int, target: int, size: Column, order: list[str], now_ms: int) -> DataFrame:
     """Append to the windows that ``known`` (one manifest a window) covers the events of ``source`` that their archive lacks.
 
-    Late events go to objects of the window's next attempt; then the window's manifest is written anew, with all of its objects, ``reconciled_at_ms``
-    and ``reconciled_added``.  Returns (account, log_group, window, source_events, archived_events, appended); a run with nothing late writes nothing.
-    An attempt beyond 99 is an error.
+    What the archive has is read from the objects that the manifests of these windows name, so only their folders are opened.  Late events go to objects of the window's next
+    attempt; then the window's manifest is written anew, with the objects it had and those of this run, ``reconciled_at_ms``
+    and ``reconciled_added``.  A run that is lost before its manifests has appended nothing: the next one finds the same events late.  Returns
+    (account, log_group, window, source_events, archived_events, appended); a run with nothing late writes no object and no manifest.  An attempt beyond 99 is an error.
     """
-    spark, keys = source.sparkSession, [*SCOPE, *drain.WINDOW]
-    covered = drain.covered(known)
-    rows = with_window(source, width).join(covered, keys, "left_semi")
-    have = archive_source.read_objects(spark, f"{path}/data")
-    late = missing(rows, have)
+    spark, keys, own = source.sparkSession, [*SCOPE, *drain.WINDOW], uuid.uuid4().hex
+    rows = with_window(source, width).join(drain.covered(known), keys, "left_semi")
+    touched = known.join(rows.select(*keys).distinct(), keys, "left_semi")
+    late = missing(rows, archive_source.read_named(spark, f"{path}/data", touched))
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("source_events")).join(late.groupBy(*keys).agg(F.count(F.lit(1)).alias("appended")), keys, "left").na.fill(0, ["appended"])
     outcome = counts.select(*keys, "source_events", (F.col("source_events") - F.col("appended")).alias("archived_events"), "appended")
     manifest_source.write_rows(outcome, f"{path}/outcome/{now_ms}")
     outcome = spark.read.schema(outcome.schema).parquet(f"{path}/outcome/{now_ms}")
     changed = outcome.where("appended > 0")
     if not changed.isEmpty():
-        names = archive_source.listing(spark, f"{path}/data").withColumn("window_start_ms", F.regexp_extract("object", r"^(-?\d+)-", 1).cast("long"))
-        attempts = next_attempt(names.withColumnRenamed("object", "name"), [*SCOPE, "window_start_ms"])
-        attempts = attempts.withColumn("attempt", F.when(F.col("allowed"), F.col("attempt")).otherwise(F.raise_error(F.lit("more than 99 attempts"))))
-        numbered = late.join(attempts.drop("allowed"), [*SCOPE, "window_start_ms"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(1).cast("long")))
-        drain.write_windows(numbered, path, reconcile_name(F.col("window_start_ms"), F.col("attempt"), F.col("seq")), order, size, target)
-        made = drain.described(changed.select(*keys), path, size).join(changed.select(*keys, F.col("appended").alias("reconciled_added")), keys)
-        made = made.join(known.select(*keys, "completed_at_ms"), keys).withColumn("reconciled_at_ms", F.lit(now_ms).cast("long"))
-        manifest_source.write(made, f"{path}/manifest")
+        append(late, touched, path, target, size, order, own)
+        made = drain.described(changed.select(*keys), path, size, own).select(*keys, F.col("objects").alias("_new"), F.col("record_count").alias("_more"))
+        made = touched.join(made, keys).join(changed.select(*keys, F.col("appended").alias("_added")), keys)
+        made = made.withColumns({
+            "objects": F.sort_array(F.concat("objects", "_new")), "record_count": F.col("record_count") + F.col("_more"),
+            "reconciled_at_ms": F.lit(now_ms).cast("long"), "reconciled_added": F.col("_added"),
+        })
+        manifest_source.write(made.select(known.columns), f"{path}/manifest")
     return outcome
 
 
+def everything(source: DataFrame, windows: DataFrame, known: DataFrame, path: str, width: int, target: int, size: Column, order: list[str], now_ms: int) -> DataFrame:
+    """Windows without a manifest are drained, those with one reconciled: (account, log_group, window, had_manifest, source_events, archived_events, appended) of both."""
+    keys = [*SCOPE, *drain.WINDOW]
+    old = run(source, known, path, width, target, size, order, now_ms).withColumn("had_manifest", F.lit(True))
+    made = drain.run(source, windows, known, path, width, target, size, order, now_ms)
+    n = F.coalesce("record_count", F.lit(0))
+    new = made.select(*keys, n.alias("source_events"), F.lit(0).cast("long").alias("archived_events"), n.alias("appended"), F.lit(False).alias("had_manifest"))
+    return old.unionByName(new)
+
+
 def report(windows: DataFrame) -> DataFrame:
     """Totals over per-window rows (had_manifest, source_events, archived_events, appended)."""
     return windows.groupBy(*SCOPE).agg(

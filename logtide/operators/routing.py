@@ -7,7 +7,7 @@ import tomllib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.patterns import glob_regex
+from ..functions.patterns import glob_regex, literal_prefix
 from ..schemas import RULES
 
 ACTIONS = ("s3", "cloudwatch", "both", "drop")
@@ -33,25 +33,48 @@ def route(group: Column, stream: Column, rules: list[tuple[int, str, str, str]],
     return out
 
 
+TABLE = f"{RULES}, group_regex STRING, stream_regex STRING, group_start STRING, stream_start STRING"
+
+
 def rule_table(spark: SparkSession, rules: list[tuple[int, str, str, str]]) -> DataFrame:
-    rows = spark.createDataFrame(rules, RULES)
-    return rows.withColumns({"group_regex": F.lit(None).cast("string"), "stream_regex": F.lit(None).cast("string")}) if not rules else spark.createDataFrame(
-        [(*r, glob_regex(r[1]), glob_regex(r[2])) for r in rules], f"{RULES}, group_regex STRING, stream_regex STRING"
-    )
+    """Rules with their expressions and the literal text that each glob begins with."""
+    return spark.createDataFrame([(*r, glob_regex(r[1]), glob_regex(r[2]), literal_prefix(r[1]), literal_prefix(r[2])) for r in rules], TABLE)
+
+
+def _met(rows: DataFrame, rules: DataFrame, starts: dict[str, str]) -> DataFrame:
+    """``rows`` with the rules whose globs begin as their columns do (``starts``: column of rows, of rules).
+
+    A row asks once for each combination of lengths that rules begin with, a few dozens at most; equal beginnings are joined, and no row meets a rule
+    that begins otherwise.
+    """
+    lengths = [F.length(c).alias(f"_n{i}") for i, c in enumerate(starts.values())]
+    asked = [r.asDict() for r in rules.select(*lengths).distinct().collect()]
+    if not asked:
+        return rows.limit(0).join(rules.limit(0), F.lit(True))
+    shapes = F.array(*[F.struct(*[F.lit(n).alias(k) for k, n in a.items()]) for a in asked])
+    rows = rows.withColumn("_shape", F.explode(shapes))
+    for i, (c, start) in enumerate(starts.items()):
+        rows = rows.withColumns({f"_k{i}": F.substring(F.col(c), F.lit(1), F.col(f"_shape._n{i}")), f"_n{i}": F.col(f"_shape._n{i}")})
+        rules = rules.withColumns({f"_k{i}": F.col(start), f"_n{i}": F.length(start)})
+    keys = [f"_{k}{i}" for i in range(len(starts)) for k in "kn"]
+    return rows.drop("_shape").join(rules, keys).drop(*keys)
 
 
 def routed(streams: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """For rules in a table: distinct (log_group, stream) rows against all rules, the least rule wins."""
-    hit = F.rlike(streams["log_group"], rules["group_regex"]) & F.rlike(streams["stream"], rules["stream_regex"])
-    joined = streams.join(rules.select("rule_idx", "group_regex", "stream_regex", "action"), hit, "left")
-    return joined.groupBy("log_group", "stream").agg(F.coalesce(F.min_by("action", "rule_idx"), F.lit(default)).alias("action"))
+    """For rules in a table: each distinct (log_group, stream) with the action of the least rule that matches it; expressions are tried on rules that begin alike only."""
+    names = streams.select("log_group", "stream").distinct()
+    met = _met(names, rules.drop("group_glob", "stream_glob"), {"log_group": "group_start", "stream": "stream_start"})
+    hits = met.where(F.rlike("log_group", F.col("group_regex")) & F.rlike("stream", F.col("stream_regex")))
+    least = hits.groupBy("log_group", "stream").agg(F.min_by("action", "rule_idx").alias("action"))
+    return names.join(least, ["log_group", "stream"], "left").withColumn("action", F.coalesce("action", F.lit(default)))
 
 
 def reaches_service(groups: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """Per group: may any of its streams go on to the log service?  The stream glob does not count."""
-    joined = groups.join(rules.select("group_regex", "action"), F.rlike(groups["log_group"], rules["group_regex"]), "left")
-    onward = F.col("action").isin("cloudwatch", "both")
-    return joined.groupBy("log_group").agg((F.coalesce(F.max(onward), F.lit(False)) | F.lit(default in ("cloudwatch", "both"))).alias("reaches"))
+    names = groups.select("log_group").distinct()
+    onward = rules.where(F.col("action").isin("cloudwatch", "both")).select("group_regex", "group_start")
+    hits = _met(names, onward, {"log_group": "group_start"}).where(F.rlike("log_group", F.col("group_regex"))).select("log_group").distinct().withColumn("_hit", F.lit(True))
+    return names.join(hits, "log_group", "left").select("log_group", (F.coalesce("_hit", F.lit(False)) | F.lit(default in ("cloudwatch", "both"))).alias("reaches"))
 
 
 def fan_out(action: Column) -> tuple[Column, Column]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import costs, layout, patterns, times
 from ..operators import drain, folds, frames, plan, reconcile, registry, report, restore, retention, routing, search, windows
+from ..session import scratch
 from ..sources import archive
 from ..sources import manifests as manifest_source
 from ..streaming import gateway
@@ -201,12 +202,21 @@ def window_align_7h(spark, sf):
 GRID = """SELECT d + s AS window_start_ms, least(d + s + {w}, d + 86400000) AS window_end_ms
   FROM (SELECT unnest(range({a} // 86400000 * 86400000, {b} + 86400000, 86400000)) AS d), (SELECT unnest(range(0, 86400000, {w})) AS s)
   WHERE d + s >= {a} // 86400000 * 86400000 + ({a} % 86400000) // {w} * {w}"""
-GRID_END = T0 + 3 * DAY + 5 * HOUR
 
 
-@query(f"SELECT 'complete' AS kind, * FROM ({GRID.format(w=Q7, a=T0 + HOUR * 9, b=GRID_END)}) WHERE window_end_ms <= {GRID_END} UNION ALL SELECT 'covering', * FROM ({GRID.format(w=Q7, a=T0 + HOUR * 9, b=GRID_END)}) WHERE window_start_ms < {GRID_END}")
+@query(f"""WITH {fx.GROUPS}, r AS (SELECT account, log_group, creation_time_ms + {9 * HOUR} AS a, (SELECT max(timestamp) + 1 FROM lr) AS b FROM gr),
+d AS (SELECT *, unnest(range(a // {DAY} * {DAY}, b + {DAY}, {DAY})) AS day FROM r), s AS (SELECT *, day + unnest(range(0, {DAY}, {Q7})) AS window_start_ms FROM d),
+w AS (SELECT *, least(window_start_ms + {Q7}, day + {DAY}) AS window_end_ms FROM s WHERE window_start_ms >= a // {DAY} * {DAY} + (a % {DAY}) // {Q7} * {Q7})
+SELECT 'complete' AS kind, account, log_group, window_start_ms, window_end_ms FROM w WHERE window_end_ms <= b UNION ALL
+SELECT 'covering', account, log_group, window_start_ms, window_end_ms FROM w WHERE window_start_ms < b""")
 def window_grid(spark, sf):
-    make = lambda kind, complete: windows.grid(spark, T0 + 9 * HOUR, GRID_END, Q7, complete).select(F.lit(kind).alias("kind"), "window_start_ms", "window_end_ms")
+    until = fx.log_records(spark, sf).agg((F.max("timestamp") + 1).alias("_until"))
+    rows = fx.groups(spark, sf).select("account", "log_group", "creation_time_ms").crossJoin(F.broadcast(until))  # one row
+
+    def make(kind, complete):
+        grid = windows.with_grid(rows, F.col("creation_time_ms") + 9 * HOUR, F.col("_until"), Q7, complete)
+        return grid.select(F.lit(kind).alias("kind"), "account", "log_group", *drain.WINDOW)
+
     return make("complete", True).unionByName(make("covering", False))
 
 
@@ -545,29 +555,16 @@ def discover_groups(spark, sf):
     return fx.groups(spark, sf).where(patterns.matches(F.col("log_group"), "/app/[cs]*")).select("log_group").dropDuplicates()
 
 
-def _folder(spark, tag):
-    """A fresh folder below the cluster's shared one; only a local master may do without."""
-    import tempfile
-    import uuid
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="logtide-")
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 @query(f"{LR} SELECT account, log_group, timestamp, stream, message, ingestion_time, event_id, strftime(make_timestamp(timestamp * 1000), '%Y-%m-%d') AS dt, false AS bad FROM lr WHERE timestamp >= {D2} AND timestamp < {D2 + DAY}")
 def archive_roundtrip(spark, sf):
-    path = _folder(spark, "archive")
+    path = scratch(spark, "archive")
     archive.write(fx.log_records(spark, sf), path)
     return search.scan(archive.read(spark, path), D2, D2 + DAY)
 
 
 @query(f"{LR} SELECT account, log_group, timestamp, stream, message, ingestion_time, event_id, strftime(make_timestamp(timestamp * 1000), '%Y-%m-%d') AS dt, false AS bad FROM lr")
 def archive_roundtrip_whole(spark, sf):
-    path = _folder(spark, "archive")
+    path = scratch(spark, "archive")
     archive.write(fx.log_records(spark, sf), path)
     return archive.read(spark, path)
 
@@ -586,7 +583,7 @@ def corrupt_lines(spark, sf):
 def manifest_decode(spark, sf):
     rows = fx.manifests(spark, sf)
     texts = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
-    broken = texts.limit(3).select(F.substring("value", 1, 40).alias("value")).unionByName(texts.limit(2).select(F.replace("value", F.lit('"version":1'), F.lit('"version":2')).alias("value")))
+    broken = texts.select(F.substring("value", 1, 40).alias("value")).unionByName(texts.select(F.replace("value", F.lit('"version":1'), F.lit('"version":2')).alias("value")))
     parsed = manifest_source.parse(texts.unionByName(broken)).where("valid")
     from pyspark.sql import Window
 
@@ -596,7 +593,7 @@ def manifest_decode(spark, sf):
 @query(f"""{LR}, a AS (SELECT log_group, strftime(make_timestamp(timestamp * 1000), '%Y-%m-%d') AS dt, {CASE} AS action FROM lr)
 SELECT 'archive' AS kind, log_group, count(*) AS events FROM a WHERE action IN ('s3', 'both') GROUP BY log_group UNION ALL SELECT 'forward', log_group, count(*) FROM a WHERE action IN ('cloudwatch', 'both') GROUP BY log_group""")
 def stream_ingest(spark, sf):
-    root = _folder(spark, "stream")
+    root = scratch(spark, "stream")
     rules, default = routing.parse_rules(RULES)
     events = F.collect_list(F.struct("timestamp", "message")).alias("logEvents")
     posted = fx.log_records(spark, sf).groupBy(F.col("log_group").alias("logGroupName"), F.col("stream").alias("logStreamName"), F.expr("arrival div 1000").alias("request")).agg(events)
@@ -621,7 +618,7 @@ def _size():
 
 
 def _drained(spark, sf, records):
-    root = _folder(spark, "drain")
+    root = scratch(spark, "drain")
     grid = _whole_grid(spark, sf, DAY)
     made = drain.run(records, grid, manifest_source.none(spark), root, DAY, TARGET, _size(), SEEN, T0 + 40 * DAY)
     return root, grid, made
@@ -772,3 +769,176 @@ SELECT account, log_group, log_group || chr(10) || '  windows: ' || windows || '
 FROM c2 JOIN s2 USING (account, log_group)""")
 def report_lines(spark, sf):
     return report.lines(report.groups(_two_manifests(spark, sf)))
+
+
+# Interrupted, failing and repeated runs
+
+
+def _lost(spark, sf, records):
+    """An archive whose first run was lost between its objects and its manifests."""
+    root, grid = scratch(spark, "drain"), _whole_grid(spark, sf, DAY)
+    rows = windows.with_window(records, DAY).join(grid, ["account", "log_group", *drain.WINDOW], "left_semi")
+    drain.write_windows(rows, root, layout.drain_name(F.col("window_start_ms"), F.col("seq")), SEEN, _size(), TARGET, "lost")
+    return root, grid
+
+
+def _known(spark, root):
+    return manifest_source.latest(manifest_source.read(spark, f"{root}/manifest"))
+
+
+@query(f"""WITH RECURSIVE {fx.GROUPS}, {_cut("lr")}, n AS (SELECT log_group, count(*) AS n, CAST(sum(strlen(message) + 40) AS BIGINT) AS b FROM lr GROUP BY log_group), ct AS (SELECT log_group, count(*) AS objects FROM cut GROUP BY log_group)
+SELECT log_group, n AS in_manifests, n AS in_archive, b AS raw_bytes, objects, objects AS left_over FROM n JOIN ct USING (log_group)""")
+def drain_interrupted(spark, sf):
+    records = fx.log_records(spark, sf)
+    root, grid = _lost(spark, sf, records)
+    drain.run(records, grid, manifest_source.none(spark), root, DAY, TARGET, _size(), SEEN, T0 + 40 * DAY)
+    known = _known(spark, root)
+    told = archive.named(known).groupBy("log_group").agg(F.sum("told_records").alias("in_manifests"), F.sum("told_raw").alias("raw_bytes"), F.count(F.lit(1)).alias("objects"))
+    there = archive.read_named(spark, f"{root}/data", known).groupBy("log_group").agg(F.count(F.lit(1)).alias("in_archive"))
+    files = archive.listing(spark, f"{root}/data").join(archive.named(known), archive.OBJECT_KEYS, "left_anti")
+    return told.join(there, "log_group").join(files.groupBy("log_group").agg(F.count(F.lit(1)).alias("left_over")), "log_group")
+
+
+def _reconciled_after_loss(spark, sf):
+    source, kept = _late(spark, sf)
+    root, _, _ = _drained(spark, sf, kept)
+    known = _known(spark, root)
+    rows = windows.with_window(reconcile.missing(source, archive.read_named(spark, f"{root}/data", known)), DAY)
+    reconcile.append(rows, known, root, TARGET, _size(), SEEN, "lost")
+    return source, root, known
+
+
+@query(f"""{MISSING}, w AS (SELECT cw.log_group, count(*) AS n, count(ms.arrival) AS late FROM cw LEFT JOIN ms ON ms.arrival = cw.arrival GROUP BY ALL)
+SELECT log_group, n AS source_events, late AS appended, late AS reconciled_added, n AS in_manifests, n AS in_archive FROM w""")
+def reconcile_interrupted(spark, sf):
+    source, root, known = _reconciled_after_loss(spark, sf)
+    out = reconcile.run(source, known, root, DAY, TARGET, _size(), SEEN, T0 + 41 * DAY).groupBy("log_group").agg(*[F.sum(c).alias(c) for c in ("source_events", "appended")])
+    after = _known(spark, root)
+    told = after.groupBy("log_group").agg(F.coalesce(F.sum("reconciled_added"), F.lit(0)).alias("reconciled_added"), F.sum("record_count").alias("in_manifests"))
+    there = archive.read_named(spark, f"{root}/data", after).groupBy("log_group").agg(F.count(F.lit(1)).alias("in_archive"))
+    return out.join(told, "log_group").join(there, "log_group")
+
+
+@query(f"""{LR}, {LATE} SELECT log_group, strftime(make_timestamp(timestamp * 1000), '%Y-%m-%d') AS dt, count(*) AS records, min(timestamp) AS first_ts, max(timestamp) AS last_ts FROM al GROUP BY ALL""")
+def reconcile_orphans(spark, sf):
+    _, root, known = _reconciled_after_loss(spark, sf)
+    rows = archive.read_named(spark, f"{root}/data", known)
+    return rows.groupBy("log_group", "dt").agg(F.count(F.lit(1)).alias("records"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
+
+
+@query(f"""{MISSING}, x AS (SELECT cw.log_group, cw.timestamp // {DAY} * {DAY} AS s, cw.timestamp // {DAY} % 3 <> 0 AS had, ms.arrival IS NOT NULL AS missing FROM cw LEFT JOIN ms ON cw.arrival = ms.arrival),
+w AS (SELECT log_group, s, had, count(*) AS n, count(CASE WHEN missing THEN 1 END) AS late FROM x GROUP BY ALL),
+d AS (SELECT log_group, min(s) AS lo, (SELECT max(timestamp) FROM lr) AS hi FROM (SELECT log_group, timestamp // {DAY} * {DAY} AS s FROM lr) GROUP BY log_group),
+e AS (SELECT log_group, count(*) AS days FROM (SELECT log_group, unnest(range(lo, hi + 1, {DAY})) AS s FROM d) WHERE s // {DAY} % 3 = 0 GROUP BY log_group)
+SELECT log_group, days AS windows_drained, count(CASE WHEN had THEN 1 END) AS windows_reconciled, count(CASE WHEN had AND late > 0 THEN 1 END) AS windows_repaired,
+  CAST(sum(n) AS BIGINT) AS source_events, CAST(sum(CASE WHEN had THEN n - late ELSE 0 END) AS BIGINT) AS archived_events, CAST(sum(CASE WHEN had THEN late ELSE n END) AS BIGINT) AS appended
+FROM w JOIN e USING (log_group) GROUP BY log_group, days""")
+def reconcile_whole(spark, sf):
+    """Two windows of three are drained at first; then one run drains the others and reconciles these."""
+    source, kept = _late(spark, sf)
+    root, grid, some = scratch(spark, "drain"), _whole_grid(spark, sf, DAY), F.expr(f"(window_start_ms div {DAY}) % 3 <> 0")
+    drain.run(kept, grid.where(some), manifest_source.none(spark), root, DAY, TARGET, _size(), SEEN, T0 + 40 * DAY)
+    rows = reconcile.everything(source, grid, _known(spark, root), root, DAY, TARGET, _size(), SEEN, T0 + 41 * DAY)
+    return reconcile.report(rows).drop("account")
+
+
+SPOILT = "/app/view"
+
+
+@query(f"""WITH {fx.GROUPS}, d AS (SELECT account, log_group, unnest(range(creation_time_ms, (SELECT max(timestamp) + 1 FROM lr), {DAY})) AS s FROM gr),
+x AS (SELECT d.account, d.log_group, d.s, d.log_group = '{SPOILT}' AND EXISTS (SELECT 1 FROM lr WHERE lr.log_group = d.log_group AND lr.timestamp // {DAY} * {DAY} = d.s AND d.s // {DAY} % 30 = 7) AS bad,
+  (SELECT count(*) FROM lr WHERE lr.log_group = d.log_group AND lr.timestamp // {DAY} * {DAY} = d.s) AS n FROM d),
+g AS (SELECT account, log_group, count(*) AS windows, count(CASE WHEN bad THEN 1 END) AS failed, CAST(sum(CASE WHEN bad THEN 0 ELSE n END) AS BIGINT) AS archived FROM x GROUP BY ALL)
+SELECT g.*, CASE WHEN failed = 0 THEN retention_days END AS retention_days, (SELECT count(CASE WHEN failed = 0 THEN 1 END) || '/' || count(*) FROM g) AS label FROM g JOIN gr USING (account, log_group)""")
+def drain_isolated(spark, sf):
+    """A group has a day whose records cannot be read; all else is archived."""
+    records = fx.log_records(spark, sf)
+    spoilt = (F.col("log_group") == SPOILT) & F.expr(f"(timestamp div {DAY}) % 30 = 7")
+    unread = F.when(spoilt, F.raise_error(F.lit("a record cannot be read")).cast("string")).otherwise(F.col("message"))
+    root, grid = scratch(spark, "drain"), _whole_grid(spark, sf, DAY)
+    outcomes = drain.isolated(records.withColumn("message", unread), grid, manifest_source.none(spark), root, DAY, TARGET, _size(), SEEN, T0 + 40 * DAY)
+    done = _known(spark, root).groupBy("account", "log_group").agg(F.sum("record_count").alias("archived"))
+    return drain.isolated_report(outcomes, fx.groups(spark, sf)).join(done, ["account", "log_group"], "left")
+
+
+@query(f"""{LR} SELECT account, log_group, count(CASE WHEN timestamp < {D2} OR timestamp >= {D4 - HOUR} THEN 1 END) AS events_outside_window FROM lr GROUP BY account, log_group""")
+def drain_outside(spark, sf):
+    """Events that a drain of two days' whole windows leaves out."""
+    grid = windows.with_grid(fx.groups(spark, sf).select("account", "log_group"), F.lit(D2).cast("long"), F.lit(D4 - 1).cast("long"), HOUR, complete=True)
+    return drain.outside(fx.log_records(spark, sf), grid, HOUR)
+
+
+# Many ranges, many rules, many names
+
+RANGES = "rg AS (SELECT event_id AS range_id, epoch_us(ts) // 1000 AS start, epoch_us(ts) // 1000 + (event_id * 7919 % 5000) * 1000 * (1 + 59 * (event_id % 2)) AS \"end\" FROM events)"
+
+
+@query(f"""WITH {fx.FRAMED}, {RANGES} SELECT range_id, count(*) AS frames, CAST(sum(records) AS BIGINT) AS records, min(min_ts) AS first_ts FROM rg JOIN fi ON min_ts < "end" AND max_ts >= start AND start < "end" GROUP BY range_id""")
+def frame_prune_many(spark, sf):
+    start, n = F.unix_millis(F.col("ts").cast("timestamp")), F.col("event_id")
+    ranges = spark.read.parquet(f"{sf}/events.parquet").select(n.alias("range_id"), start.alias("start"), (start + (n * 7919 % 5000) * 1000 * (1 + 59 * (n % 2))).alias("end"))
+    met = frames.prune_many(frame_index(spark, sf), ranges)
+    return met.groupBy("range_id").agg(F.count(F.lit(1)).alias("frames"), F.sum("records").alias("records"), F.min("min_ts").alias("first_ts"))
+
+
+MANY_RULES = """ru AS (SELECT event_id AS rule_idx, CASE WHEN event_id % 9 = 0 THEN '' ELSE '/app/' || left(event_type, 1 + CAST(event_id % 3 AS INTEGER)) END AS g,
+  'app/i-' || (event_id * 7 % 23) || CASE WHEN event_id % 4 = 0 THEN '0' ELSE '' END AS s, CASE event_id % 4 WHEN 0 THEN 's3' WHEN 1 THEN 'cloudwatch' WHEN 2 THEN 'both' ELSE 'drop' END AS action FROM events WHERE event_id > 20)"""
+
+
+@query(f"""{LR}, {MANY_RULES}, n AS (SELECT DISTINCT log_group, stream FROM lr),
+h AS (SELECT n.log_group, n.stream, arg_min(action, rule_idx) AS action FROM n JOIN ru ON starts_with(n.log_group, g) AND starts_with(n.stream, s) GROUP BY ALL)
+SELECT n.log_group, n.stream, coalesce(action, 's3') AS action FROM n LEFT JOIN h ON h.log_group = n.log_group AND h.stream = n.stream""")
+def route_many_rules(spark, sf):
+    """A rule an event: configuration, which the driver holds."""
+    n = F.col("event_id")
+    group = F.when(n % 9 == 0, "*").otherwise(F.concat(F.lit("/app/"), F.expr("left(event_type, 1 + cast(event_id % 3 as int))"), F.lit("*")))
+    stream = F.concat(F.lit("app/i-"), (n * 7 % 23).cast("string"), F.when(n % 4 == 0, "0*").otherwise("*"))
+    action = F.element_at(F.array(*[F.lit(a) for a in ("s3", "cloudwatch", "both", "drop")]), (n % 4 + 1).cast("int"))
+    rules = [tuple(r) for r in spark.read.parquet(f"{sf}/events.parquet").where(n > 20).select(n.cast("int"), group, stream, action).collect()]
+    return routing.routed(fx.log_records(spark, sf).select("log_group", "stream"), routing.rule_table(spark, rules), "s3")
+
+
+@query(f"""{LR}, {fx.TWO}, g AS (SELECT account, log_group || stream AS log_group, row_number() OVER (PARTITION BY account ORDER BY log_group || stream) - 1 AS p FROM (SELECT DISTINCT account, log_group, stream FROM l2))
+SELECT account, log_group, 'm' || p AS query_id, CAST(p // 10 AS BIGINT) AS call, p AS place FROM g""")
+def metric_batches_accounts(spark, sf):
+    names = fx.two_accounts(spark, sf).select("account", F.concat("log_group", "stream").alias("log_group")).distinct()
+    return plan.metric_batches(names, 10).withColumn("place", plan.place_of(F.col("query_id")))
+
+
+# The archive as a table and as files; foreign manifests; lines
+
+
+@query(f"{LR} SELECT account, log_group AS loggroup, strftime(make_timestamp(timestamp * 1000), '%Y-%m-%d') AS dt, count(*) AS records, min(timestamp) AS first_ts FROM lr WHERE timestamp >= {D2} AND timestamp < {D2 + DAY} GROUP BY ALL")
+def sql_table_count(spark, sf):
+    """The whole archive is a table; the question is about one day, and only that day's folders are read."""
+    import uuid
+
+    path, name = scratch(spark, "archive"), f"logs_{uuid.uuid4().hex}"
+    archive.write(fx.log_records(spark, sf), path)
+    archive.create_table(spark, name, path)
+    return spark.sql(f"SELECT account, loggroup, dt, count(*) AS records, min(timestamp) AS first_ts FROM {name} WHERE dt = '2024-01-03' GROUP BY account, loggroup, dt")
+
+
+@query(f"""WITH RECURSIVE {fx.GROUPS}, {_cut("lr")}, fs AS (SELECT window_start_ms >= {D2} AND window_start_ms < {D4} AND log_group GLOB '/app/*r*' AS here FROM cut)
+SELECT count(*) AS listed, count(CASE WHEN here THEN 1 END) AS opened, count(CASE WHEN NOT here THEN 1 END) AS skipped, true AS fewer_bytes FROM fs""")
+def scan_files(spark, sf):
+    root, _, _ = _drained(spark, sf, fx.log_records(spark, sf))
+    seen = archive.scan_files(spark, f"{root}/data", "2024-01-03", "2024-01-04", patterns.matches(F.col("log_group"), "/app/*r*"))
+    return seen.select("listed", "opened", "skipped", ((F.col("opened_bytes") < F.col("listed_bytes")) & (F.col("opened_bytes") > 0)).alias("fewer_bytes"))
+
+
+@query(f"""{LR}, m AS (SELECT account, log_group, timestamp // {DAY} * {DAY} AS s, count(*) AS n FROM lr GROUP BY ALL) SELECT account, log_group, s AS window_start_ms, s + {DAY} AS window_end_ms, n AS record_count FROM m""")
+def manifest_foreign(spark, sf):
+    """Manifests of others, a file each and printed over many lines."""
+    path = scratch(spark, "manifests")
+    rows = windows.with_window(fx.log_records(spark, sf), DAY).groupBy("account", "log_group", *drain.WINDOW).agg(F.count(F.lit(1)).alias("record_count"))
+    rows = drain.manifest_rows(rows.withColumn("data_key", F.lit("a")))
+    rows.select(F.to_json(F.struct(*rows.columns), {"pretty": "true"}).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return manifest_source.read_files(spark, path).where("valid").select("account", "log_group", *drain.WINDOW, "record_count")
+
+
+@query(f"""{LR} SELECT arrival FROM lr WHERE arrival % 3 <> 0""")
+def grep_line_starts(spark, sf):
+    """An empty line behind the last line's end is a line too."""
+    rows = fx.log_records(spark, sf).withColumn("message", F.concat("message", F.when(F.col("arrival") % 3 == 0, "").when(F.col("arrival") % 3 == 1, "\n").otherwise("\nat x\n")))
+    return search.scan(rows, 0, T0 + 400 * DAY, None, r"(?m)^$").select("arrival")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,50 +31,91 @@ def write(records: DataFrame, path: str, fmt: str = "json", records_per_file: in
         writer.option("compression", "gzip").json(path)
 
 
-OBJECT_PATH = r"account=([^/]+)/loggroup=([^/]+)/dt=([^/]+)/object=([^/]+)/[^/]+$"
+OBJECT_PATH = r"account=([^/]+)/loggroup=([^/]+)/dt=([^/]+)/object=([^/]+)/run=([^/]+)/[^/]+$"
+OBJECT_KEYS = ["account", "log_group", "dt", "object", "run"]
+BROADCAST, MOST_DAYS = 200_000, 366
+"""Objects that are sent to every executor to choose folders by; days that are named one by one in a path."""
+
 
+def write_objects(named: DataFrame, path: str, run: str) -> None:
+    """Append records with an ``object`` name as gzip JSON lines, a folder for each object below its account, log group and date, and in it one for the ``run`` that wrote it.
 
-def write_objects(named: DataFrame, path: str) -> None:
-    """Append records with an ``object`` name as gzip JSON lines, a folder for each object below its account, log group and date."""
-    rows = named.select("timestamp", "stream", "message", "ingestion_time", "event_id", "account", F.col("log_group").alias("loggroup"), date_of(F.col("timestamp")).alias("dt"), "object")
-    rows = rows.repartition(*PARTS, "object").sortWithinPartitions(*PARTS, "object", "timestamp", "stream")
-    rows.write.mode("append").partitionBy(*PARTS, "object").option("compression", "gzip").json(path)
+    Nothing that stands there is touched, and what a run leaves behind when it is lost is not read: an object is there when a manifest names it with its run.
+    """
+    rows = named.select(
+        "timestamp", "stream", "message", "ingestion_time", "event_id", "account", F.col("log_group").alias("loggroup"), date_of(F.col("timestamp")).alias("dt"), "object", F.lit(run).alias("run")
+    )
+    rows = rows.repartition(*PARTS, "object").sortWithinPartitions(*PARTS, "object", "run", "timestamp", "stream")
+    rows.write.mode("append").partitionBy(*PARTS, "object", "run").option("compression", "gzip").json(path)
 
 
-def read_objects(spark: SparkSession, path: str) -> DataFrame:
-    """Records of named objects, with log_group, dt and object."""
-    return spark.read.schema(f"{RECORD}, {PARTITIONS}, object STRING").json(path).withColumnRenamed("loggroup", "log_group")
+def _paths(path: str, days: tuple[str, str] | None) -> str:
+    """The archive's folder, or a pattern of those of some days, so that no other is listed."""
+    if days is None:
+        return path
+    first, last = (date.fromisoformat(d) for d in days)
+    if (last - first).days >= MOST_DAYS:
+        return path
+    return f"{path}/account=*/loggroup=*/dt={{{','.join((first + timedelta(i)).isoformat() for i in range((last - first).days + 1))}}}"
 
 
-def listing(spark: SparkSession, path: str) -> DataFrame:
-    """(account, log_group, dt, object, bytes) of the objects' files; their content is not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+def read_objects(spark: SparkSession, path: str, days: tuple[str, str] | None = None) -> DataFrame:
+    """Records of objects, with log_group, dt, object and run; of the days from one to another, both included, where given."""
+    rows = spark.read.schema(f"{RECORD}, {PARTITIONS}, object STRING, run STRING").option("basePath", path).json(_paths(path, days)).withColumnRenamed("loggroup", "log_group")
+    return rows.where(F.col("dt").between(*days)) if days else rows
+
+
+def listing(spark: SparkSession, path: str, days: tuple[str, str] | None = None) -> DataFrame:
+    """(account, log_group, dt, object, run, bytes) of the objects' files; their content is not read."""
+    files = _files(spark, path, days).where(F.col("path").rlike(OBJECT_PATH))
     part = lambda i: unsanitize(F.regexp_extract("path", OBJECT_PATH, i))
-    named = files.select(part(1).alias("account"), part(2).alias("log_group"), part(3).alias("dt"), part(4).alias("object"), "length")
-    return named.groupBy("account", "log_group", "dt", "object").agg(F.sum("length").alias("bytes"))
+    named = files.select(*[part(i).alias(c) for i, c in enumerate(OBJECT_KEYS, 1)], "length")
+    return named.groupBy(*OBJECT_KEYS).agg(F.sum("length").alias("bytes"))
+
+
+def strangers(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the files below the archive that belong to no object."""
+    return _files(spark, path, None).where(~F.col("path").rlike(OBJECT_PATH))
+
+
+def _files(spark: SparkSession, path: str, days: tuple[str, str] | None) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_paths(path, days)).select("path", "length")
 
 
 def decoded(objects: DataFrame, size: Column) -> DataFrame:
-    """(account, log_group, dt, object, record_count, raw_bytes, min_ts, max_ts) of ``read_objects``."""
-    return objects.groupBy("account", "log_group", "dt", "object").agg(
+    """(account, log_group, dt, object, run, record_count, raw_bytes, min_ts, max_ts) of ``read_objects``."""
+    return objects.groupBy(*OBJECT_KEYS).agg(
         F.count(F.lit(1)).alias("record_count"), F.sum(size).cast("long").alias("raw_bytes"), F.min("timestamp").alias("min_ts"), F.max("timestamp").alias("max_ts")
     )
 
 
+def named(manifests: DataFrame) -> DataFrame:
+    """(account, log_group, dt, object, run, told_records, told_raw, told_bytes): the objects that manifests name; ``etag`` is the run that wrote an object."""
+    parsed = parse_data_key(F.col("o.data_key"))
+    keys = [c.alias(n) for n, c in zip(OBJECT_KEYS, parsed.values(), strict=False)]
+    told = [F.col(f"o.{c}").alias(n) for c, n in (("record_count", "told_records"), ("raw_bytes", "told_raw"), ("body_len", "told_bytes"))]
+    return manifests.select(F.explode("objects").alias("o")).select(*keys, F.coalesce("o.etag", F.lit("")).alias("run"), *told)
+
+
+def read_named(spark: SparkSession, path: str, manifests: DataFrame) -> DataFrame:
+    """Records of the objects that ``manifests`` name, and of no others: folders of other days are not listed, and up to ``BROADCAST`` objects those of others are not opened
+    (dynamic partition pruning)."""
+    wanted = named(manifests).select(*OBJECT_KEYS).where(F.length("object") > 0).distinct()
+    first, last, n = wanted.agg(F.min("dt"), F.max("dt"), F.count(F.lit(1))).first()
+    if not n:
+        return spark.createDataFrame([], f"{RECORD}, account STRING, log_group STRING, dt STRING, object STRING, run STRING")
+    return read_objects(spark, path, (first, last)).join(F.broadcast(wanted) if n <= BROADCAST else wanted, OBJECT_KEYS, "left_semi")
+
+
 def validate(manifests: DataFrame, files: DataFrame, contents: DataFrame) -> DataFrame:
     """Each object of manifests or files with its ``problem``: missing, foreign, records, raw bytes, bytes, or none (null)."""
-    keys = ["account", "log_group", "dt", "object"]
-    parsed = parse_data_key(F.col("o.data_key"))
-    told = manifests.select(F.explode("objects").alias("o")).select(
-        *[c.alias(n) for n, c in zip(keys, parsed.values(), strict=True)], F.col("o.record_count").alias("told_records"), F.col("o.raw_bytes").alias("told_raw"), F.col("o.body_len").alias("told_bytes")
-    )
-    joined = told.withColumn("_told", F.lit(True)).join(files, keys, "full").join(contents, keys, "left")
+    joined = named(manifests).withColumn("_told", F.lit(True)).join(files, OBJECT_KEYS, "full").join(contents, OBJECT_KEYS, "left")
     differs = lambda a, b: F.col(a).isNotNull() & ~F.col(a).eqNullSafe(F.col(b))
     problem = (
         F.when(F.col("bytes").isNull(), "missing").when(F.col("_told").isNull(), "foreign").when(differs("told_records", "record_count"), "records")
         .when(differs("told_raw", "raw_bytes"), "raw bytes").when(differs("told_bytes", "bytes"), "bytes")
     )
-    return joined.select(*keys, problem.alias("problem"))
+    return joined.select(*OBJECT_KEYS, problem.alias("problem"))
 
 
 def read(spark: SparkSession, path: str, fmt: str = "json", strict: bool = False) -> DataFrame:
@@ -95,3 +138,33 @@ def read(spark: SparkSession, path: str, fmt: str = "json", strict: bool = False
 def table_ddl(name: str, location: str) -> str:
     """An external table over a JSON archive for SQL users."""
     return f"CREATE TABLE {name} ({RECORD}, {PARTITIONS}) USING json PARTITIONED BY (account, loggroup, dt) LOCATION '{location}'"
+
+
+def add_partition(name: str, location: str, account: str, loggroup: str, dt: str) -> str:
+    """The statement that adds one partition to a table, where a repair would list all."""
+    quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    at = f"{location}/account={account}/loggroup={quote_path(loggroup)}/dt={dt}"
+    return f"ALTER TABLE {name} ADD IF NOT EXISTS PARTITION (account={quote(account)}, loggroup={quote(loggroup)}, dt={quote(dt)}) LOCATION {quote(at)}"
+
+
+def quote_path(text: str) -> str:
+    """A folder's name for a partition value, as Spark writes it."""
+    return "".join(f"%{ord(c):02X}" if c in ESCAPED or ord(c) < 0x20 else c for c in text)
+
+
+ESCAPED = set('"#%\'*/:=?\\\x7f{[]^')
+
+
+def create_table(spark: SparkSession, name: str, location: str) -> DataFrame:
+    """The table of ``table_ddl`` in the session's catalogue, with all partitions that are there by now; later ones are added by ``add_partition`` or another repair."""
+    spark.sql(table_ddl(name, location))
+    spark.sql(f"MSCK REPAIR TABLE {name}")
+    return spark.table(name)
+
+
+def scan_files(spark: SparkSession, path: str, first: str, last: str, here: Column) -> DataFrame:
+    """One row: files and bytes that an archive of objects has, those that a scan of the days ``first`` to ``last`` and of groups that are ``here`` opens, and those it skips."""
+    opened = F.col("dt").between(first, last) & here
+    counts = [F.count(F.lit(1)).alias("listed"), F.count(F.when(opened, 1)).alias("opened"), F.count(F.when(~opened, 1)).alias("skipped")]
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in ((F.col("bytes"), "listed_bytes"), (F.when(opened, F.col("bytes")), "opened_bytes"))]
+    return listing(spark, path).agg(*counts, *sums)

@@ -16,7 +16,13 @@ def parse(texts: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return parse(spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path))
+    """Manifests as ``write`` writes them: a line each."""
+    return parse(spark.read.option("recursiveFileLookup", True).text(path))
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """Manifests of others: a file each, printed over any number of lines."""
+    return parse(spark.read.option("recursiveFileLookup", True).text(path, wholetext=True))
 
 
 def latest(manifests: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from logtide.functions import patterns
 from logtide.operators import drain, folds, frames, plan, reconcile, report, restore, retention, routing, search, windows
+from logtide.sources import archive
 from logtide.sources import manifests as sources
 
 H, DAY, DAY0 = 3_600_000, 86_400_000, 1_717_545_600_000
@@ -253,3 +255,109 @@ def test_observed_scan(spark):
     rows, seen = search.observed(df, 2, 8, None, "[35]$")
     assert rows.count() == 2 and seen.get == {"matched": 2}
     assert search.cleaned(spark.createDataFrame([(1, None, None), (None, "m", "s")], "timestamp long, message string, stream string")).collect()[0][1:] == ("", "")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_named_objects_prune_folders(spark, tmp_path):
+    """Of an archive with orphans only named objects are opened, and only folders of their days are listed."""
+    path = f"file://{tmp_path}/data"
+    rows = spark.createDataFrame([("1", "/a b", f"s{i}", i * 43_200_000, "m", None, None, f"{i // 2 * 86_400_000}-000000") for i in range(8)], "account string, log_group string, stream string, timestamp long, message string, ingestion_time long, event_id string, object string")
+    for run in ("lost", "kept"):
+        archive.write_objects(rows, path, run)
+    key = F.concat(F.lit("data/account=1/loggroup=%2Fa%20b/dt=1970-01-0"), F.expr("cast(id + 1 as string)"), F.lit("/"), (F.col("id") * 86_400_000).cast("string"), F.lit("-000000.jsonl.zst"))
+    manifests = spark.range(1, 3).select(F.array(F.struct(key.alias("data_key"), F.lit("kept").alias("etag"), F.lit(2).alias("record_count"), F.lit(0).alias("raw_bytes"), F.lit(0).alias("body_len"))).alias("objects"))
+    found = archive.read_named(spark, path, manifests)
+    assert sorted(r.timestamp for r in found.collect()) == [i * 43_200_000 for i in range(2, 6)] and {r.run for r in found.collect()} == {"kept"}
+    assert "dynamicpruning" in plan_of(found) and "dt=1970-01-04" not in "".join(archive.read_objects(spark, path, ("1970-01-02", "1970-01-03")).inputFiles())
+    assert archive.read_named(spark, path, manifests.limit(0)).count() == 0
+    (tmp_path / "data" / "note.txt").write_text("not an object")
+    assert archive.strangers(spark, path).count() == 1 and archive.listing(spark, path).count() == 8
+    unnamed = archive.listing(spark, path).join(archive.named(manifests), archive.OBJECT_KEYS, "left_anti")
+    assert unnamed.where("run = 'lost'").count() == 4 and unnamed.count() == 6
+
+
+def test_partition_folders_are_named_as_spark_does(spark, tmp_path):
+    groups = ["/app/x", "a b", "a=b:c", "100%", "q?[x]{y}^#*\"'\\\\", "é"]
+    rows = spark.createDataFrame([(1, g) for g in groups], "v int, loggroup string")
+    rows.write.partitionBy("loggroup").json(f"file://{tmp_path}/t")
+    assert {f"loggroup={archive.quote_path(g)}" for g in groups} == {f.name for f in (tmp_path / "t").iterdir() if f.is_dir()}
+
+
+def test_table_reads_one_day(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "/g", "s", i * 86_400_000, "m", None, None) for i in range(5)], "account string, log_group string, stream string, timestamp long, message string, ingestion_time long, event_id string")
+    archive.write(rows, f"file://{tmp_path}/a")
+    table = archive.create_table(spark, "one_day", f"file://{tmp_path}/a")
+    day = table.where("dt = '1970-01-03'")
+    assert [r.timestamp for r in day.collect()] == [2 * 86_400_000]
+    relation = day._jdf.queryExecution().optimizedPlan().toString()
+    assert "dt=1970-01-03" in "".join(day.inputFiles()) and len(day.inputFiles()) == 1, relation
+    archive.write(rows.withColumn("timestamp", F.col("timestamp") + 10 * 86_400_000), f"file://{tmp_path}/a")
+    assert spark.table("one_day").count() == 5
+    spark.sql(archive.add_partition("one_day", f"file://{tmp_path}/a", "1", "/g", "1970-01-11"))
+    assert spark.table("one_day").count() == 6
+    spark.sql("DROP TABLE one_day")
+
+
+def test_many_ranges_and_frames(spark):
+    dice = random.Random(6)
+    frames_ = [(i, a, a + dice.choice([0, 1, 50, 1000, 10**9])) for i in range(300) for a in [dice.randrange(-5000, 5000)]]
+    ranges = [(i, a, a + dice.choice([0, 1, 2, 64, 5000, 10**10])) for i in range(200) for a in [dice.randrange(-5000, 5000)]]
+    found = frames.prune_many(spark.createDataFrame(frames_, "frame_idx int, min_ts long, max_ts long"), spark.createDataFrame(ranges, "range_id int, start long, end long"))
+    want = sorted((r, f) for r, s, e in ranges for f, lo, hi in frames_ if s < e and lo < e and hi >= s)
+    assert sorted((x.range_id, x.frame_idx) for x in found.collect()) == want
+    assert "NestedLoop" not in plan_of(found) and "Cartesian" not in plan_of(found)
+    assert frames.prune_many(spark.createDataFrame(frames_[:0], "frame_idx int, min_ts long, max_ts long"), spark.createDataFrame(ranges, "range_id int, start long, end long")).count() == 0
+
+
+def test_rules_are_met_by_their_beginnings(spark):
+    rules = [(0, "/a/b*", "x?", "both"), (1, "*", "y", "drop"), (2, "/a/{b,c}", "*", "s3"), (3, "/a/b1", "xx", "cloudwatch")]
+    table, streams = routing.rule_table(spark, rules), spark.createDataFrame([("/a/b1", "xx"), ("/a/b", "y"), ("/a/c", "z"), ("/a/b1", "xxx"), ("", "y"), ("q", "")], "log_group string, stream string")
+    got = {(r.log_group, r.stream): r.action for r in routing.routed(streams, table, "s3d").collect()}
+    assert got == {("/a/b1", "xx"): "both", ("/a/b", "y"): "drop", ("/a/c", "z"): "s3", ("/a/b1", "xxx"): "s3d", ("", "y"): "drop", ("q", ""): "s3d"}
+    assert "NestedLoop" not in plan_of(routing.routed(streams, table, "s3"))
+    assert {r.action for r in routing.routed(streams, routing.rule_table(spark, []), "s3").collect()} == {"s3"}
+    assert {r.log_group: r.reaches for r in routing.reaches_service(streams, table, "s3").collect()} == {"/a/b1": True, "/a/b": True, "/a/c": False, "": False, "q": False}
+
+
+def test_numbers_in_order_without_one_task(spark):
+    rows = spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("log_group"), F.lit("x").alias("n"))
+    got = plan.numbered(rows.repartition(7), ["log_group"])
+    assert [r.place for r in got.orderBy("log_group").collect()] == list(range(5000)) and got.columns == ["log_group", "n", "place"]
+    assert "SinglePartition" not in plan_of(plan.metric_batches(rows.select("log_group")))
+    ids = spark.createDataFrame([("m0",), ("m12",), ("m01",), ("m",), ("12",), ("m99999999999999999999",), (None,)], "q string")
+    assert [r[0] for r in ids.select(plan.place_of(F.col("q"))).collect()] == [0, 12, None, None, None, None, None]
+
+
+def test_manifests_of_lines_and_of_files(spark, tmp_path):
+    one = '{"version": 1, "account": "1", "log_group": "/g", "window_start_ms": 0, "window_end_ms": 10, "objects": [], "record_count": 0}'
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "files").mkdir()
+    (tmp_path / "lines" / "a.json").write_text(one + "\n" + one.replace("10", "20") + "\n")
+    (tmp_path / "files" / "a.json").write_text(one.replace(", ", ",\n  ") + "\n")
+    from logtide.sources import manifests as source  # noqa: F811
+
+    assert source.read(spark, f"file://{tmp_path}/lines").where("valid").count() == 2
+    assert source.read_files(spark, f"file://{tmp_path}/files").where("valid").count() == 1
+    assert source.read(spark, f"file://{tmp_path}/files").where("valid").count() == 0
+
+
+def test_dry_run_and_too_many_failures(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("1", "/g", "s", i * 3_600_000, "m", None, None) for i in range(4)], "account string, log_group string, stream string, timestamp long, message string, ingestion_time long, event_id string")
+    grid = windows.with_grid(rows.select("account", "log_group").distinct(), F.lit(0).cast("long"), F.lit(6 * 3_600_000).cast("long"), 3_600_000, True)
+    from logtide.sources import manifests as source  # noqa: F811
+
+    args = (grid, source.none(spark), f"file://{tmp_path}", 3_600_000, 100, F.octet_length("message"), ["timestamp"], 1)
+    planned = drain.run(rows, *args, dry_run=True)
+    assert sorted((r.window_start_ms, r.records) for r in planned.collect()) == [(i * 3_600_000, int(i < 4)) for i in range(6)] and not list(tmp_path.iterdir())
+    monkeypatch.setattr(drain, "MOST_FAILURES", 1)
+    spoilt = rows.withColumn("message", F.raise_error(F.lit("unread")).cast("string"))
+    with pytest.raises(Exception, match="unread"):
+        drain.isolated(spoilt, *args)
+
+
+@pytest.mark.parametrize(("pattern", "text", "hit"), [(r"(?m)^$", "a\n", True), (r"(?m)^$", "a", False), (r"^$", "a\n", False), (r"(?m)^b", "a\nb", True), (r"^b", "a\nb", False), (r"a{,2}b$", "aab", True), (r"^a{,2}b$", "aaab", False)])
+def test_line_starts(spark, pattern, text, hit):
+    assert bool(spark.createDataFrame([(text,)], "t string").where(F.col("t").rlike(patterns.search_regex(pattern))).count()) == hit
