@@ -361,3 +361,27 @@ def test_dry_run_and_too_many_failures(spark, tmp_path, monkeypatch):
 @pytest.mark.parametrize(("pattern", "text", "hit"), [(r"(?m)^$", "a\n", True), (r"(?m)^$", "a", False), (r"^$", "a\n", False), (r"(?m)^b", "a\nb", True), (r"^b", "a\nb", False), (r"a{,2}b$", "aab", True), (r"^a{,2}b$", "aaab", False)])
 def test_line_starts(spark, pattern, text, hit):
     assert bool(spark.createDataFrame([(text,)], "t string").where(F.col("t").rlike(patterns.search_regex(pattern))).count()) == hit
+
+
+@pytest.mark.parametrize("chunk", [7, 64, 1000])
+def test_a_hot_key_is_folded_by_many_tasks(spark, chunk):
+    """Numbers are those of one pass, whatever chunks a key is dealt to."""
+    dice = random.Random(chunk)
+    rows = [("hot" if i % 10 else f"k{i % 70}", i // 3, i, dice.choice([0, 1, 5, 30, 30, 99, 100, 101, 250])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, timestamp long, i long, cost long").repartition(5)
+    key = lambda r: (r.g, r.timestamp, r.i)
+    one = {key(r): r.seq for r in folds.rotate(df, ["g"], ["timestamp", "i"], "cost", 100).collect()}
+    got = folds.rotate(df, ["g"], ["timestamp", "i"], "cost", 100, chunk=chunk)
+    assert {key(r): r.seq for r in got.collect()} == one and got.columns == [*df.columns, "seq"]
+    limits = {"max_events": 6, "max_bytes": 300, "max_span": 3}
+    one = {key(r): r.batch for r in folds.batches(df, ["g"], ["timestamp", "i"], "cost", **limits).collect()}
+    got = {key(r): r.batch for r in folds.batches(df, ["g"], ["timestamp", "i"], "cost", **limits, chunk=chunk).collect()}
+    assert got == one
+
+
+def test_one_group_spreads_over_tasks(spark):
+    df = spark.range(4000).selectExpr("'g' g", "id timestamp", "10L cost")
+    got = folds.spread(df.repartition(8), ["g"], ["timestamp"], folds.Rotation(95, ("cost",)), "seq", 100)
+    plan = plan_of(got)
+    assert "hashpartitioning(_chunk" in plan and "hashpartitioning(g#" not in plan and "SinglePartition" not in plan
+    assert {r.timestamp: r.seq for r in got.collect()} == {i: i // 10 for i in range(4000)}
