@@ -942,3 +942,28 @@ def grep_line_starts(spark, sf):
     """An empty line behind the last line's end is a line too."""
     rows = fx.log_records(spark, sf).withColumn("message", F.concat("message", F.when(F.col("arrival") % 3 == 0, "").when(F.col("arrival") % 3 == 1, "\n").otherwise("\nat x\n")))
     return search.scan(rows, 0, T0 + 400 * DAY, None, r"(?m)^$").select("arrival")
+
+
+AGE, FULL = 6 * HOUR, 1500
+
+
+@query(f"""WITH RECURSIVE {fx.LOGS}, oo AS (SELECT log_group, timestamp // {DAY} AS day_no, timestamp AS ts, strlen(message) + strlen(stream) + 64 AS size,
+  row_number() OVER (PARTITION BY log_group, timestamp // {DAY} ORDER BY timestamp, arrival) AS i FROM lr),
+f AS (SELECT log_group, day_no, i, 0 AS number, size AS b, ts AS first FROM oo WHERE i = 1
+  UNION ALL SELECT oo.log_group, oo.day_no, oo.i, CASE WHEN f.b >= {FULL} OR oo.ts - f.first >= {AGE} THEN f.number + 1 ELSE f.number END,
+    CASE WHEN f.b >= {FULL} OR oo.ts - f.first >= {AGE} THEN oo.size ELSE f.b + oo.size END, CASE WHEN f.b >= {FULL} OR oo.ts - f.first >= {AGE} THEN oo.ts ELSE f.first END
+  FROM f JOIN oo ON oo.log_group = f.log_group AND oo.day_no = f.day_no AND oo.i = f.i + 1),
+g AS (SELECT log_group, day_no, number, count(*) AS records, max(b) AS bytes, min(first) AS first_ms, number = max(number) OVER (PARTITION BY log_group, day_no) AS is_last FROM f GROUP BY log_group, day_no, number)
+SELECT log_group, strftime(make_timestamp(day_no * {DAY} * 1000), '%Y-%m-%d') AS dt, CAST(number AS BIGINT) AS number,
+  CASE WHEN bytes >= {FULL} THEN 'size' WHEN NOT is_last OR first_ms + {AGE} < (SELECT max(timestamp) FROM lr) - 600000 THEN 'age' ELSE 'shutdown' END AS reason,
+  records, CAST(bytes AS BIGINT) AS bytes, first_ms FROM g""")
+def stream_buffer(spark, sf):
+    """Recorded arrivals, in three files, through buffers that close by size, by age and at the end."""
+    root, rows = scratch(spark, "buffer"), fx.log_records(spark, sf)
+    rows = rows.select("log_group", layout.date_of(F.col("timestamp")).alias("dt"), "stream", "message", F.col("timestamp").alias("arrival_ms"), "arrival")
+    low, high = rows.agg(F.min("arrival_ms"), F.max("arrival_ms")).first()
+    for third in range(3):  # in order of arrival, as files come
+        bounds = [low + (high + 1 - low) * i // 3 for i in (third, third + 1)]
+        rows.where((F.col("arrival_ms") >= bounds[0]) & (F.col("arrival_ms") < bounds[1])).coalesce(1).write.mode("append").parquet(f"{root}/arrivals")
+    arrivals = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/arrivals")
+    return gateway.buffer_run(arrivals, f"{root}/flushes", f"{root}/checkpoint", max_bytes=FULL, max_age_ms=AGE)
