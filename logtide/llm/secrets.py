@@ -2,10 +2,10 @@
 
 Base patterns find labelled credentials of three kinds.  From a bounded sample of each kind's values (the ``SAMPLE``
 distinct ones of smallest hash over all documents) a prefix tree is built whose statistically compatible states
-are merged into a probabilistic automaton.  Class frequencies of all occurrences of tokens that overlap no credential tell what is ordinary; they have
-no memory, so that unlabelled secrets among those tokens do not teach them a format.  Then every
+are merged into a probabilistic automaton; so are tokens that their shape labels as ordinary (dates, paths, names, words, numbers: ``PLAIN_SHAPE``).  Class frequencies of all occurrences of
+tokens that overlap no credential tell what is usual; they have no memory, so that unlabelled secrets among those tokens do not teach them a format.  Then every
 credential-like token of every document is scored, with its dots and also without those at its ends: one that is in no base span (it may contain one), is as likely in a kind's format as its own
-values are, and is likelier there than among ordinary tokens by ``MARGIN`` nats a character, is a span of kind ``inferred``.
+values are, and is likelier there than in the ordinary automaton by ``MARGIN`` nats a character and than by class frequencies by ``USUAL_MARGIN``, is a span of kind ``inferred``.
 
 Characters are read by class (digits, a-f, other lower case, ...; each other character is a class of its own), evenly likely within it.
 
@@ -39,10 +39,13 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 TOKEN = min(LEAST.values())
-SAMPLE, ALPHA, MARGIN = 2000, 0.05, 0.5
+SAMPLE, ALPHA, MARGIN, USUAL_MARGIN = 2000, 0.05, 0.5, 0.1
 LONGEST = 256
 """Automata are learned from values of at most so many characters, so that a value costs at most as many states; longer ones are base spans and are scored like others."""
-OTHER = "token"
+OTHER, PLAIN = "token", "plain"
+PLAIN_SHAPE = re.compile(
+    r"[0-9]{4}-[0-9]{2}(?:-[0-9]{2})?(?:[T_].*)?|[a-z0-9_.-]*(?:/[a-z_-]+)+(?:\.[a-z0-9]+)?|[a-z]+(?:[_.-][a-z]+)+|(?:[A-Z][a-z]+){2,}|[A-Z]?[a-z]+|[0-9.]+"
+)
 
 
 @cache
@@ -204,7 +207,7 @@ def log_likelihood(automaton: dict, value: str) -> float:
 
 
 def sample(docs: DataFrame, size: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
-    """(kind, value): per kind the ``size`` distinct values of smallest hash over all documents; and (class, n): how often each class occurs in
+    """(kind, value): per kind, and of ordinary tokens, the ``size`` distinct values of smallest hash over all documents; and (class, n): how often each class occurs in
     all ordinary tokens.
 
     A task keeps no more than that of its own rows, so what is shuffled is bounded per task.
@@ -222,6 +225,8 @@ def sample(docs: DataFrame, size: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
                     least.setdefault(KINDS[k], {})[value] = _hash(value)
                 for _, _, value in tokens:
                     count_classes(ordinary, value)
+                    if len(value) <= LONGEST and PLAIN_SHAPE.fullmatch(value):
+                        least.setdefault(PLAIN, {})[value] = _hash(value)
             for kind, found in least.items():
                 if len(found) > size:
                     least[kind] = dict(sorted(found.items(), key=lambda x: (x[1], x[0]))[:size])
@@ -233,7 +238,7 @@ def sample(docs: DataFrame, size: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
 
     rows = docs.select("text").mapInArrow(run, "kind string, value string, h long, n long")
     found = saved(rows.groupBy("kind", "value", "h").agg(F.sum("n").alias("n")), "secret-values")
-    parts = [found.where(F.col("kind") == k).orderBy("h", "value").limit(size) for k in KINDS]
+    parts = [found.where(F.col("kind") == k).orderBy("h", "value").limit(size) for k in (*KINDS, PLAIN)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -255,7 +260,7 @@ def infer(docs: DataFrame) -> dict[str, dict]:
 
     values, classes = sample(docs)
     learned = values.groupBy("kind").applyInPandas(run, "kind string, automaton string")
-    automata = {r["kind"]: json.loads(r["automaton"]) for r in learned.collect()}  # three at most, each from SAMPLE values
+    automata = {r["kind"]: json.loads(r["automaton"]) for r in learned.collect()}  # four at most, each from SAMPLE values
     count = {r["class"]: r["n"] for r in classes.collect()}  # a row for each class
     return automata | ({OTHER: {"count": count, "n": sum(count.values())}} if count else {})
 
@@ -268,9 +273,11 @@ def inferred(tokens: list[tuple[int, int, str]], automata: dict[str, dict]) -> l
         for at, one in ((left, inner), (start, value)) if inner != value else ((start, value),):  # a dot may end the sentence
             if len(one) < TOKEN:
                 continue
-            ordinary = usual(automata.get(OTHER), one)
+            ordinary = usual(automata.get(OTHER), one) + USUAL_MARGIN
+            if PLAIN in automata:
+                ordinary = max(ordinary, log_likelihood(automata[PLAIN], one) + MARGIN)
             scores = ((automata[k]["floor"], log_likelihood(automata[k], one)) for k in KINDS if k in automata)
-            if any(score >= floor and score - ordinary >= MARGIN for floor, score in scores):
+            if any(score >= max(floor, ordinary) for floor, score in scores):
                 out.append((at, at + len(one)))
                 break
     return out

@@ -200,7 +200,7 @@ def test_secrets_precision_and_recall(spark):
     hits = {i for i, spans in found.items() if f"inferred:4:{4 + len(bare[i])}" in spans}
     true = {i for i in bare if (i - 1000) % 4 == 0}
     print("precision", len(hits & true) / max(1, len(hits)), "recall", len(hits & true) / len(true))
-    assert len(hits & true) >= 0.6 * len(true) and len(hits & true) >= 0.5 * len(hits)  # dates look like the third format
+    assert len(hits & true) >= 0.8 * len(true) and len(hits & true) >= 0.8 * len(hits)
 
 
 def test_pseudonyms_query_against_plain_finds(spark, documents):
