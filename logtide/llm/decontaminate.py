@@ -9,7 +9,8 @@ compared, for those lengths only that the benchmark has and, while they are few
 Windows of the same items, and documents of the same such sets, are told apart no further: the items of each combination are listed once.
 
 Cases:  null or wordless texts have no words and no hits; a wordless item has no window; an item without id counts
-in n_hit and not in n_items; rows that repeat an id and a text get equal results; other columns are ignored.
+in n_hit and not in n_items; rows that repeat an id and a text get equal results; a very long text is one array of words and of
+three numbers a word, and its windows stand in rows of ``PIECE`` words; no documents give no row, no items no hit; other columns are ignored.
 """
 
 from __future__ import annotations

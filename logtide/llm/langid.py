@@ -9,7 +9,7 @@ Training is one pass that adds integers by language and dimension, so its result
 partitioned.  What reaches the driver is one vector a language.
 
 Cases:  a null text or one without a letter is ``und`` with score 0; so is every text if no row has a language; rows with a null
-doc_id are not held out; equal scores go to the language that sorts first; other columns are ignored.
+doc_id are not held out; rows that repeat are counted and predicted as often; a very long text takes memory in proportion to its length, with its n-grams' vectors made a few thousand at a time; equal scores go to the language that sorts first; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ themselves are read once.  Rates become copies by sequential Poisson rounding on
 
 Cases:  null or blank text has size 0 and takes 0 words; a null source is a source of its own, sorted last;
 repeated rows count as often as they occur and are rounded alike; an empty table gives an empty result;
-a source without words has target 0.
+a source without words has target 0; a very long text counts by its words alone, and is cut nowhere.
 """
 
 from __future__ import annotations
