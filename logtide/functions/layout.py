@@ -48,6 +48,15 @@ def parse_data_key(key: Column) -> dict[str, Column]:
     return {"account": part(1), "log_group": unsanitize(part(2)), "dt": part(3), "name": part(4)}
 
 
+def group_prefix(prefix: Column, account: Column, group: Column, kind: str = "data") -> Column:
+    """What the keys of a group's objects (or ``manifest``s) begin with."""
+    return F.concat(account_prefix(prefix, account, kind), F.lit("loggroup="), sanitize(group), F.lit("/"))
+
+
+def account_prefix(prefix: Column, account: Column, kind: str = "manifest") -> Column:
+    return F.concat(norm_prefix(prefix), F.lit(f"{kind}/account="), account, F.lit("/"))
+
+
 def manifest_key(prefix: Column, account: Column, group: Column, start: Column, end: Column) -> Column:
     return F.concat(
         norm_prefix(prefix), F.lit("manifest/account="), account, F.lit("/loggroup="), sanitize(group),
@@ -66,3 +75,14 @@ def drain_name(start: Column, seq: Column) -> Column:
 
 def reconcile_name(start: Column, attempt: Column, seq: Column) -> Column:
     return F.format_string("%d-r%02d%04d", start, attempt, seq)
+
+
+def gateway_name(first_ts: Column, suffix: Column) -> Column:
+    """``<first event's time>-<8 hex digits>``; for a name of its own give ``F.uuid()``'s text."""
+    return F.concat(first_ts.cast("string"), F.lit("-"), F.substring(F.replace(suffix, F.lit("-")), 1, 8))
+
+
+def dates(start: Column, end: Column) -> Column:
+    """The UTC dates that a half-open range of times touches, in order."""
+    days = F.sequence(F.floor(start / DAY_MS).cast("long"), F.floor((end - 1) / DAY_MS).cast("long"))
+    return F.when(start < end, F.transform(days, lambda d: date_of(d * DAY_MS))).otherwise(F.array().cast("array<string>"))

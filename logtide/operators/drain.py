@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.costs import LOG_RATIO, LOG_STORAGE, STANDARD, gib
 from ..functions.layout import data_key, date_of, drain_name
+from ..functions.times import format_bytes
 from ..sources import archive
 from ..sources import manifests as manifest_source
 from .folds import rotate
@@ -54,6 +55,20 @@ def outcome_report(outcomes: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def lines(report: DataFrame, *keys: str) -> DataFrame:
+    """(keys, lines, json) of ``outcome_report``: text for people, and for programs."""
+    n = lambda name: F.col(name).cast("string")
+    money = lambda name: F.concat(F.lit("$"), F.format_string("%.4f", F.col(name)))
+    out = [
+        F.concat(n("windows_processed"), F.lit(" windows archived, "), n("windows_empty"), F.lit(" of them empty, "), n("windows_skipped"), F.lit(" skipped")),
+        F.concat(n("records"), F.lit(" records in "), n("objects_written"), F.lit(" objects, "), n("events_outside_window"), F.lit(" outside")),
+        F.concat(format_bytes(F.col("raw_bytes")), F.lit(" raw, "), format_bytes(F.col("compressed_bytes")), F.lit(" compressed")),
+        F.concat(F.lit("a month: "), money("log_usd"), F.lit(" as logs, "), money("archive_usd"), F.lit(" archived")),
+    ]
+    counts = ["windows_skipped", "windows_processed", "windows_empty", "records", "events_outside_window", "raw_bytes", "compressed_bytes", "objects_written"]
+    return report.select(*keys, F.array_join(F.array(*out), "\n").alias("lines"), F.to_json(F.struct(*keys, *counts)).alias("json"))
+
+
 def _log(raw: Column) -> Column:
     return gib(raw) / LOG_RATIO * LOG_STORAGE
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.costs import BYPASS, DAYS_PER_MONTH, LOG_INGEST, LOG_STORAGE, PRICES, SIZE_FACTOR, STANDARD, gib
+from ..functions.times import format_bytes
 from ..session import scratch
 
 METRICS_PER_CALL = 500
@@ -72,3 +73,15 @@ def metric_batches(groups: DataFrame, size: int = METRICS_PER_CALL) -> DataFrame
         first = rows.groupBy("account").agg(F.min("place").alias("_first"))
         rows = rows.join(first, "account").withColumn("place", F.col("place") - F.col("_first"))
     return rows.select(*keys, F.format_string("m%d", F.col("place")).alias("query_id"), F.floor(F.col("place") / size).cast("long").alias("call"))
+
+
+def lines(rows: DataFrame) -> DataFrame:
+    """(log_group, lines) of ``costs`` as text for people."""
+    money = lambda name: F.concat(F.lit("$"), F.format_string("%.4f", F.col(name)))
+    out = [
+        F.col("log_group"),
+        F.concat(F.lit("  stored: "), format_bytes(F.col("stored_bytes")), F.lit(", a month in: "), format_bytes(F.col("ingest_bytes_monthly").cast("long"))),
+        F.concat(F.lit("  a month: "), money("log_total_usd"), F.lit(" as logs, "), money("archive_standard_usd"), F.lit(" archived, "), money("archive_cold_usd"), F.lit(" cold")),
+        F.concat(F.lit("  saves "), money("savings_usd"), F.lit(", "), money("bypass_usd"), F.lit(" of it by the gateway")),
+    ]
+    return rows.select("log_group", F.array_join(F.array(*out), "\n").alias("lines"))

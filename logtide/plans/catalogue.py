@@ -967,3 +967,39 @@ def stream_buffer(spark, sf):
         rows.where((F.col("arrival_ms") >= bounds[0]) & (F.col("arrival_ms") < bounds[1])).coalesce(1).write.mode("append").parquet(f"{root}/arrivals")
     arrivals = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/arrivals")
     return gateway.buffer_run(arrivals, f"{root}/flushes", f"{root}/checkpoint", max_bytes=FULL, max_age_ms=AGE)
+
+
+# Names, prefixes and text for people
+
+
+@query(f"""{LR} SELECT arrival, 'arc/data/account=' || account || '/loggroup=' || url_encode(log_group) || '/' AS data_prefix, 'arc/manifest/account=' || account || '/loggroup=' || url_encode(log_group) || '/' AS manifest_prefix,
+  'arc/manifest/account=' || account || '/' AS account_prefix, timestamp || '-' || md5(CAST(arrival AS VARCHAR))[1:8] AS name,
+  CASE WHEN arrival % 4 = 0 THEN '' ELSE array_to_string(list_transform(range(timestamp // {DAY}, (timestamp + arrival % 4 * {DAY} - 1) // {DAY} + 1), lambda d: strftime(make_timestamp(d * {DAY} * 1000), '%Y-%m-%d')), ',') END AS dates FROM lr""")
+def layout_prefixes(spark, sf):
+    c, arc = F.col, F.lit("/arc")
+    days = layout.dates(c("timestamp"), c("timestamp") + c("arrival") % 4 * DAY)
+    return fx.log_records(spark, sf).select(
+        "arrival", layout.group_prefix(arc, c("account"), c("log_group")).alias("data_prefix"), layout.group_prefix(arc, c("account"), c("log_group"), "manifest").alias("manifest_prefix"),
+        layout.account_prefix(arc, c("account")).alias("account_prefix"), layout.gateway_name(c("timestamp"), F.md5(c("arrival").cast("string"))).alias("name"), F.array_join(days, ",").alias("dates"),
+    )
+
+
+@query(f"""{PLAN} t AS (SELECT log_group, stored_bytes, sampled / 7e0 * 30e0 AS monthly, stored_bytes / 1073741824e0 * 3e-2 AS st, sampled / 7e0 * 30e0 / 1073741824e0 * 5e-1 AS ing, stored_bytes / 1073741824e0 * 65e-2 AS arc FROM sm)
+SELECT log_group, log_group || chr(10) || '  stored: ' || {SHOWN.format(n="stored_bytes")} || ', a month in: ' || {SHOWN.format(n="CAST(floor(monthly) AS BIGINT)")} || chr(10)
+  || printf('  a month: $%.4f as logs, $%.4f archived, $%.4f cold', st + ing, arc * 23e-3, arc * 4e-3) || chr(10) || printf('  saves $%.4f, $%.4f of it by the gateway', st - arc * 23e-3 + ing * 9e-1, ing * 9e-1) AS lines FROM t""")
+def plan_lines(spark, sf):
+    return plan.lines(plan.costs(_sampled(spark, sf), 7))
+
+
+@query(f"""WITH {fx.GROUPS}, {WHOLE}, r AS (SELECT log_group, count(CASE WHEN skipped THEN 1 END) AS sk, count(CASE WHEN NOT skipped THEN 1 END) AS pr, count(CASE WHEN NOT skipped AND n = 0 THEN 1 END) AS em,
+  CAST(sum(CASE WHEN skipped THEN 0 ELSE n END) AS BIGINT) AS rc, CAST(sum(CASE WHEN skipped THEN 0 ELSE b END) AS BIGINT) AS raw, CAST(sum(CASE WHEN skipped THEN 0 ELSE b // 6 END) AS BIGINT) AS cm,
+  CAST(sum(CASE WHEN skipped OR n = 0 THEN 0 ELSE 1 END) AS BIGINT) AS ob FROM x GROUP BY log_group)
+SELECT log_group, pr || ' windows archived, ' || em || ' of them empty, ' || sk || ' skipped' || chr(10) || rc || ' records in ' || ob || ' objects, 0 outside' || chr(10)
+  || {SHOWN.format(n="raw")} || ' raw, ' || {SHOWN.format(n="cm")} || ' compressed' || chr(10) || printf('a month: $%.4f as logs, $%.4f archived', raw / 1073741824e0 / 4e0 * 3e-2, cm / 1073741824e0 * 23e-3) AS lines,
+  to_json({{'log_group': log_group, 'windows_skipped': sk, 'windows_processed': pr, 'windows_empty': em, 'records': rc, 'events_outside_window': 0, 'raw_bytes': raw, 'compressed_bytes': cm, 'objects_written': ob}}) AS json FROM r""")
+def drain_lines(spark, sf):
+    rows = drain.window_summary(_whole_grid(spark, sf, HOUR), fx.log_records(spark, sf), HOUR).withColumns({
+        "skipped": F.expr(f"(window_start_ms div {HOUR}) % 4 = 0"), "dropped": F.lit(0).cast("long"), "compressed_bytes": F.expr("raw_bytes div 6"),
+        "objects": F.when(F.col("records") > 0, 1).otherwise(0).cast("long"),
+    })
+    return drain.lines(drain.outcome_report(rows, "log_group"), "log_group")
