@@ -43,6 +43,14 @@ def valid_range(start: int, end: int) -> None:
         raise ValueError(f"empty range: {start} is not before {end}")
 
 
+def one_of(**given: object) -> str:
+    """The name of the one option that is given (is not None); a ValueError where none is, or several that exclude each other are."""
+    names = [k for k, v in given.items() if v is not None]
+    if len(names) != 1:
+        raise ValueError(f"exactly one of {', '.join(given)} is required" + (f", not {' and '.join(names)}" if names else ""))
+    return names[0]
+
+
 def parse_time(text: Column) -> Column:
     """Like ``time_ms``, null if it is neither."""
     digits, offset = text.rlike(r"^-?\d+$"), text.rlike(r"([zZ]|[+-]\d\d:\d\d)$")

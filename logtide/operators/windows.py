@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.layout import DAY_MS
-from ..functions.times import align_down
+from ..functions.times import align_down, next_boundary
 
 LAG_MS = 15 * 60_000
 
@@ -19,16 +19,12 @@ def _starts(low: Column, high: Column, width: int) -> Column:
     return F.filter(every, lambda s: (s >= align_down(low, width)) & (s < high))
 
 
-def _end(start: Column, width: int) -> Column:
-    return F.least(start + width, start - F.pmod(start, F.lit(DAY_MS)) + DAY_MS)
-
-
 def with_grid(rows: DataFrame, low: Column, high: Column, width: int, complete: bool) -> DataFrame:
     """A row for each window of each row's range: those that end by ``high`` (complete) or all that start before it."""
     if width <= 0:
         raise ValueError("a window needs a positive width")
     grid = rows.withColumn("window_start_ms", F.explode(F.when(low < high, _starts(low, high, width)).otherwise(F.array().cast("array<bigint>"))))
-    grid = grid.withColumn("window_end_ms", _end(F.col("window_start_ms"), width))
+    grid = grid.withColumn("window_end_ms", next_boundary(F.col("window_start_ms"), width))
     return grid.where(F.col("window_end_ms") <= high) if complete else grid
 
 
@@ -39,4 +35,4 @@ def grid(spark: SparkSession, start: int, end: int, width: int, complete: bool =
 def with_window(records: DataFrame, width: int) -> DataFrame:
     """Each record's own window, by arithmetic."""
     start = align_down(F.col("timestamp"), width)
-    return records.withColumns({"window_start_ms": start, "window_end_ms": _end(start, width)})
+    return records.withColumns({"window_start_ms": start, "window_end_ms": next_boundary(start, width)})

@@ -105,3 +105,10 @@ def test_costs(spark):
     assert one(spark, costs.price_per_gib_month(F.lit("GLACIER_IR"))) == 0.004
     assert one(spark, costs.price_per_gib_month(F.lit(None).cast("string"))) == 0.023
     assert one(spark, costs.retention_label(F.lit(None).cast("int"))) == "never!"
+
+
+def test_options_that_exclude_each_other():
+    assert times.one_of(group=None, pattern="/a*", every=None) == "pattern"
+    for options in ({"group": None, "pattern": None}, {"group": "a", "pattern": "b"}):
+        with pytest.raises(ValueError, match="exactly one of group, pattern"):
+            times.one_of(**options)
