@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import overlaps
+from ..session import scratch
 
 
 def frame_index(records: DataFrame, keys: list[str], size: Column) -> DataFrame:
@@ -53,6 +54,50 @@ def prune_many(index: DataFrame, ranges: DataFrame) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def met_sums(index: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
+    """(key, frames, records, first_ts): how many frames each key's ``ranges`` (start, end; half open) meet, their records and least min_ts; keys that meet none are left out.
+
+    As ``prune_many`` and a sum over its pairs, but no pair is made, so work grows with frames and ranges alone.  Frames that a range meets are those that begin before its end, less those
+    that end before its start; the first of them has the least beginning of all that end at the start or later.  So each end of a range needs one running sum over
+    the times of all frames.  Times are ordered by range into partitions, which are written, as ranges drawn twice might differ; each is summed by itself, and what stands before or behind it is added.
+    """
+    spark, path = index.sparkSession, scratch(index.sparkSession, "times")
+    frames = index.where("min_ts <= max_ts").select("min_ts", "max_ts", F.coalesce("records", F.lit(0)).cast("long").alias("records"))
+    wanted = ranges.where(F.col("start") < F.col("end")).select(F.col(key).alias("_key"), "start", "end")
+    none, no_key = F.lit(None).cast("long").alias("_low"), F.lit(None).cast(wanted.schema["_key"].dataType).alias("_key")
+    one = F.count(F.lit(1))
+    begins = frames.groupBy(F.col("min_ts").alias("_t")).agg(one.alias("_begun"), F.sum("records").alias("_r"))
+    ends = frames.groupBy(F.col("max_ts").alias("_t")).agg(one.alias("_over"), F.sum("records").alias("_r"), F.min("min_ts").alias("_low"))
+    zero, told = F.lit(0).cast("long"), lambda kind: F.lit(kind).alias("_kind")
+    # Of one time, ends of ranges (kinds 0 and 1) come before frames.
+    points = begins.select("_t", told(2), F.col("_begun"), F.col("_r").alias("_begun_r"), zero.alias("_over"), zero.alias("_over_r"), none, no_key, none.alias("_end"))
+    points = points.unionByName(ends.select("_t", told(2), zero.alias("_begun"), zero.alias("_begun_r"), "_over", F.col("_r").alias("_over_r"), "_low", no_key, none.alias("_end")))
+    for kind, at, end in ((0, "start", F.col("end")), (1, "end", none)):
+        points = points.unionByName(wanted.select(F.col(at).alias("_t"), told(kind), *[zero.alias(c) for c in SUMS], none, "_key", end.alias("_end")))
+    points.repartitionByRange("_t", "_kind", F.xxhash64("_key")).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    there = spark.read.schema(points.schema.add("_part", "integer")).parquet(path)
+    totals = there.groupBy("_part").agg(*[F.sum(c).alias(f"_all{c}") for c in SUMS], F.min("_low").alias("_all_low"))  # a row a partition
+    up = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_part", *[F.coalesce(F.sum(f"_all{c}").over(up), F.lit(0)).alias(f"_before{c}") for c in SUMS], F.min("_all_low").over(down).alias("_behind"))
+    rising = Window.partitionBy("_part").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    falling = Window.partitionBy("_part").orderBy(F.desc("_t"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = there.select("*", *[F.sum(c).over(rising).alias(f"_run{c}") for c in SUMS]).withColumn("_least", F.min("_low").over(falling))
+    met = run.where("_kind < 2").join(F.broadcast(offsets), "_part")
+    begun, begun_r, over, over_r = (F.col(f"_run{c}") + F.col(f"_before{c}") for c in SUMS)
+    least = F.least("_least", "_behind")
+    ending = F.col("_kind") == 1
+    sums = met.groupBy(F.col("_key").alias(key)).agg(
+        F.sum(F.when(ending, begun).otherwise(-over)).alias("frames"), F.sum(F.when(ending, begun_r).otherwise(-over_r)).alias("records"),
+        F.min(F.when(~ending & (least < F.col("_end")), least)).alias("first_ts"),
+    )
+    return sums.where("frames > 0")
+
+
+SUMS = ["_begun", "_begun_r", "_over", "_over_r"]
+"""Frames begun and over, and their records."""
+
+
 def zipped(offsets: DataFrame, times: DataFrame, key: str) -> DataFrame:
     """Join the two halves of an index by frame; objects whose halves differ in length have ``ok`` false."""
     joined = offsets.join(times, [key, "frame_idx"], "full")
