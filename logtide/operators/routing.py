@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tomllib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,7 @@ def route(group: Column, stream: Column, rules: list[tuple[int, str, str, str]],
 
 
 TABLE = f"{RULES}, group_regex STRING, stream_regex STRING, group_start STRING, stream_start STRING"
+NAMES = [f.split()[0] for f in TABLE.split(", ")]
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[int, str, str, str]]) -> DataFrame:
@@ -41,6 +44,20 @@ def rule_table(spark: SparkSession, rules: list[tuple[int, str, str, str]]) -> D
     return spark.createDataFrame([(*r, glob_regex(r[1]), glob_regex(r[2]), literal_prefix(r[1]), literal_prefix(r[2])) for r in rules], TABLE)
 
 
+def rule_rows(rules: DataFrame) -> DataFrame:
+    """``rule_table`` of rules in a table (rule_idx, group_glob, stream_glob, action), however many: each pair of globs once, with its least rule, as no later one of the same globs
+    ever decides; expressions are made by tasks."""
+    first = rules.groupBy("group_glob", "stream_glob").agg(F.min_by("action", "rule_idx").alias("action"), F.min("rule_idx").alias("rule_idx"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            globs = [batch.column(i).to_pylist() for i in (1, 2)]
+            made = [pa.array([f(g) for g in column], pa.string()) for f in (glob_regex, literal_prefix) for column in globs]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], NAMES)
+
+    return first.select(F.col("rule_idx").cast("int"), "group_glob", "stream_glob", "action").mapInArrow(run, TABLE)
+
+
 def _met(rows: DataFrame, rules: DataFrame, starts: dict[str, str]) -> DataFrame:
     """``rows`` with the rules whose globs begin as their columns do (``starts``: column of rows, of rules).
 

@@ -312,6 +312,30 @@ def test_many_ranges_and_frames(spark):
     assert frames.prune_many(spark.createDataFrame(frames_[:0], "frame_idx int, min_ts long, max_ts long"), spark.createDataFrame(ranges, "range_id int, start long, end long")).count() == 0
 
 
+def test_sums_of_met_frames_without_pairs(spark):
+    """The same as sums over all pairs, also of keys with several ranges and of equal times; no join of frames and ranges is planned."""
+    dice = random.Random(8)
+    frames_ = [(i, a, a + dice.choice([0, 0, 1, 5, 400]), dice.choice([1, 7])) for i in range(400) for a in [dice.randrange(-60, 60)]] + [(400, 5, 4, 1), (401, None, 4, 1)]
+    ranges = [(i % 150, a, a + dice.choice([-1, 0, 1, 2, 30, 500])) for i in range(200) for a in [dice.randrange(-600, 90)]] + [(None, 0, 9), (151, None, 3)]
+    pairs = [(k, n, lo) for k, s, e in ranges if s is not None and s < e for _, lo, hi, n in frames_ if lo is not None and lo <= hi and lo < e and hi >= s]
+    want = {k: (len(x), sum(n for _, n, _ in x), min(lo for _, _, lo in x)) for k in {p[0] for p in pairs} for x in [[p for p in pairs if p[0] == k]]}
+    index = spark.createDataFrame(frames_, "frame_idx int, min_ts long, max_ts long, records long")
+    found = frames.met_sums(index, spark.createDataFrame(ranges, "range_id int, start long, end long").repartition(6), "range_id")
+    assert {r.range_id: (r.frames, r.records, r.first_ts) for r in found.collect()} == want
+    assert "SortMergeJoin" not in plan_of(found) and "NestedLoop" not in plan_of(found)
+    assert frames.met_sums(index.limit(0), spark.createDataFrame(ranges, "range_id int, start long, end long"), "range_id").count() == 0
+
+
+def test_rules_of_a_table_stay_off_the_driver(spark):
+    rules = [(i, "/a/*" if i % 2 else "*", f"s{i % 50}*", "drop" if i < 100 else "both") for i in range(5000)]
+    table = spark.createDataFrame(rules[::-1], "rule_idx int, group_glob string, stream_glob string, action string")
+    streams = spark.createDataFrame([("/a/b", f"s{i}") for i in range(60)] + [("q", "t")], "log_group string, stream string")
+    made = routing.rule_rows(table)
+    assert made.columns == routing.rule_table(spark, rules[:1]).columns and made.count() == 50
+    got = {(r.log_group, r.stream): r.action for r in routing.routed(streams, made, "s3").collect()}
+    assert got == {(r.log_group, r.stream): r.action for r in routing.routed(streams, routing.rule_table(spark, rules), "s3").collect()} and got["q", "t"] == "s3"
+
+
 def test_rules_are_met_by_their_beginnings(spark):
     rules = [(0, "/a/b*", "x?", "both"), (1, "*", "y", "drop"), (2, "/a/{b,c}", "*", "s3"), (3, "/a/b1", "xx", "cloudwatch")]
     table, streams = routing.rule_table(spark, rules), spark.createDataFrame([("/a/b1", "xx"), ("/a/b", "y"), ("/a/c", "z"), ("/a/b1", "xxx"), ("", "y"), ("q", "")], "log_group string, stream string")
