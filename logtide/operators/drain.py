@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.costs import LOG_RATIO, LOG_STORAGE, STANDARD, gib
 from ..functions.layout import data_key, date_of, drain_name
 from ..functions.times import format_bytes
+from ..session import scratch
 from ..sources import archive
 from ..sources import manifests as manifest_source
 from .folds import rotate
@@ -155,22 +157,14 @@ HASHES, MOST_FAILURES = 1 << 30, 1_000
 OUTCOME = "account string, log_group string, window_start_ms long, window_end_ms long, error string"
 
 
-def isolated(records: DataFrame, windows: DataFrame, known: DataFrame, path: str, width: int, target: int, size: Column, order: list[str], now_ms: int) -> DataFrame:
-    """As ``run``, but a window that fails keeps none of the others from being archived.
-
-    Where a run over some windows fails, they are run again in two halves (by a hash of the window), until those that fail stand alone: a few more jobs for each of them.
-    Returns (account, log_group, window, error) of every pending window; only those without error have manifests.  More than ``MOST_FAILURES`` failures are no
-    matter of single windows, and the last one is raised.
-    """
-    spark = windows.sparkSession
-    todo = pending(windows, known).select(*KEYS, *WINDOW).withColumn("_hash", F.pmod(F.xxhash64(*KEYS, *WINDOW), F.lit(HASHES)))
-    failed: list[tuple] = []
+def _alone(windows: DataFrame, action: Callable[[DataFrame], object], failed: list[tuple]) -> None:
+    """Do ``action`` on ``windows`` (with _hash), and where it fails on their halves, until those that fail stand alone, in ``failed``; on no part of none."""
     parts = [(0, HASHES)]
     while parts:
         low, high = parts.pop()
-        part = todo.where((F.col("_hash") >= low) & (F.col("_hash") < high)).drop("_hash")
+        part = windows.where((F.col("_hash") >= low) & (F.col("_hash") < high)).drop("_hash")
         try:
-            run(records, part, known.limit(0), path, width, target, size, order, now_ms)
+            action(part)
         except Exception as e:
             alone = part.limit(2).collect()  # two rows at most
             if len(alone) == 1 or high - low == 1:
@@ -179,6 +173,34 @@ def isolated(records: DataFrame, windows: DataFrame, known: DataFrame, path: str
                     raise
             else:
                 parts += [(low, (low + high) // 2), ((low + high) // 2, high)]
+
+
+def isolated(records: DataFrame, windows: DataFrame, known: DataFrame, path: str, width: int, target: int, size: Column, order: list[str], now_ms: int) -> DataFrame:
+    """As ``run``, but a window that fails keeps none of the others from being archived.
+
+    Where the run over all pending windows fails, those whose records cannot be read are looked for: one pass over the records of a part, which is taken in two halves (by a
+    hash of the window) where it fails, until those that fail stand alone.  All others are then archived in one run; only if this fails too, in halves in the same way.
+    Returns (account, log_group, window, error) of every pending window; only those without error have manifests.  More than ``MOST_FAILURES`` failures are no
+    matter of single windows, and the last one is raised.
+    """
+    spark, listed = windows.sparkSession, scratch(windows.sparkSession, "pending")
+    hashed = pending(windows, known).select(*KEYS, *WINDOW).withColumn("_hash", F.pmod(F.xxhash64(*KEYS, *WINDOW), F.lit(HASHES)))
+    hashed.write.parquet(listed)  # parts are taken of it, and no part works the windows out anew
+    todo, failed = spark.read.schema(hashed.schema).parquet(listed), []
+    needed = list(dict.fromkeys([*KEYS, "timestamp", "stream", "message", "ingestion_time", "event_id", *order]))
+
+    def archived(part: DataFrame) -> None:
+        run(records, part, known.limit(0), path, width, target, size, order, now_ms)
+
+    def readable(part: DataFrame) -> None:
+        rows = with_window(records, width).join(part, [*KEYS, *WINDOW], "left_semi")
+        rows.agg(F.max(F.xxhash64(*needed, size))).collect()  # one value
+
+    try:
+        archived(todo.drop("_hash"))
+    except Exception:
+        _alone(todo, readable, failed)
+        _alone(todo.join(F.broadcast(spark.createDataFrame(failed, OUTCOME)), [*KEYS, *WINDOW], "left_anti"), archived, failed)
     return todo.drop("_hash").join(F.broadcast(spark.createDataFrame(failed, OUTCOME)), [*KEYS, *WINDOW], "left")
 
 

@@ -382,6 +382,33 @@ def test_dry_run_and_too_many_failures(spark, tmp_path, monkeypatch):
         drain.isolated(spoilt, *args)
 
 
+def test_unreadable_windows_cost_passes_and_not_runs(spark, tmp_path, monkeypatch):
+    """Two of 40 windows cannot be read: all others are archived by one run after the one that failed; a window that only a run fails on stands alone too."""
+    from logtide.sources import manifests as source  # noqa: F811
+
+    hour, schema = 3_600_000, "account string, log_group string, stream string, timestamp long, message string, ingestion_time long, event_id string"
+    rows = spark.createDataFrame([("1", "/g", "s", i * hour, "m", None, None) for i in range(40)], schema)
+    grid = windows.with_grid(rows.select("account", "log_group").distinct(), F.lit(0).cast("long"), F.lit(41 * hour).cast("long"), hour, True)
+    spoilt = rows.withColumn("message", F.when(F.expr(f"timestamp div {hour} in (7, 30)"), F.raise_error(F.lit("unread")).cast("string")).otherwise(F.col("message")))
+    real, seen, fails = drain.run, [], lambda part: False
+
+    def counted(records, part, *args):
+        seen.append(part.count())
+        if fails(part):
+            raise RuntimeError("store")
+        return real(records, part, *args)
+
+    monkeypatch.setattr(drain, "run", counted)
+    args = (grid, source.none(spark), f"file://{tmp_path}/a", hour, 100, F.octet_length("message"), ["timestamp"], 1)
+    bad = lambda df: sorted(r.window_start_ms // hour for r in df.where("error is not null").collect())
+    assert bad(drain.isolated(spoilt, *args)) == [7, 30] and seen == [41, 39]
+    assert source.read(spark, f"file://{tmp_path}/a/manifest").where("valid").count() == 39
+    fails = lambda part: part.where(f"window_start_ms = {3 * hour}").count() > 0
+    small = (grid.where(f"window_start_ms < {5 * hour}"), source.none(spark), f"file://{tmp_path}/b", *args[3:])
+    assert bad(drain.isolated(rows, *small)) == [3]
+    assert source.read(spark, f"file://{tmp_path}/b/manifest").where("valid").count() == 4
+
+
 @pytest.mark.parametrize(("pattern", "text", "hit"), [(r"(?m)^$", "a\n", True), (r"(?m)^$", "a", False), (r"^$", "a\n", False), (r"(?m)^b", "a\nb", True), (r"^b", "a\nb", False), (r"a{,2}b$", "aab", True), (r"^a{,2}b$", "aaab", False)])
 def test_line_starts(spark, pattern, text, hit):
     assert bool(spark.createDataFrame([(text,)], "t string").where(F.col("t").rlike(patterns.search_regex(pattern))).count()) == hit
