@@ -4,7 +4,7 @@ Confirmed toxic documents are the positives; all documents of the training part,
 too.  The risk of a classifier on both is corrected by the class prior p: with loss l, ``p R(positive, 1) + max(0, R(unlabelled, 0) - p R(positive, 0))``.
 Where the second term would fall below 0 (the classifier learns the positives by heart), it is left out of a step.
 
-Features are the terms that stand in clearly more or fewer positives than other documents: document counts among positives and among unlabelled texts
+Features are the terms, and the beginnings of 4 and 5 characters of longer ones (stems that stand with many endings, each of them rare), that stand in clearly more or fewer positives than other documents: document counts among positives and among unlabelled texts
 are taken over the whole training part, first of buckets of terms (20 bits of hash), then of the terms of the clear buckets.  A text is the set of its features.  ``MEMBERS`` linear classifiers are
 trained with numpy, each by a task of its own on its own bounded sample of about ``SAMPLE`` positives and four times as many unlabelled texts; the mean of their weights
 scores every text.  The prior is the share of toxic labels of the training part and a margin (a twentieth and two standard errors), unless it is given: one that is too low makes the classifier
@@ -20,6 +20,7 @@ rows; very long texts are hashed in blocks; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -52,9 +53,20 @@ def labelled(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
 
 
+LETTER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+BEGINNINGS = [re.compile(rf"(?<!{LETTER}){LETTER}{{{n}}}(?={LETTER})") for n in (4, 5)]
+MARK = "\ue000"
+"""Behind a beginning, so that it is not the term of the same letters."""
+
+
+def _with_beginnings(text: str | None) -> str | None:
+    """A text and, as terms behind it, the beginnings of its terms."""
+    return text and " ".join([text, *(b + MARK for pattern in BEGINNINGS for b in set(pattern.findall(text)))])
+
+
 def _pairs(texts: list[str | None], chosen: Callable) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For some texts at a time: the place of the first, and the distinct pairs of a text (counted from it) and a key; ``chosen`` gives which hashes count, and their keys."""
-    for first, stop, hashes, ends in terms.pieces(texts):
+    for first, stop, hashes, ends in terms.pieces([_with_beginnings(t) for t in texts]):
         text = np.repeat(np.arange(stop - first), np.diff(ends, prepend=0))
         counts, keys = chosen(hashes)
         order = np.lexsort((keys, text[counts]))

@@ -152,3 +152,21 @@ def test_counts_of_documents(spark, hard):
     counts = {r.key: r.n for r in toxicity.document_counts(hard.repartition(3), some).collect()}
     want = Counter(int(np.uint64(h).view(np.int64)) for s in hashes for h in s if h >> 44 in set(some.tolist()))
     assert counts.pop(None) == hard.count() and counts == want
+
+
+def test_toxic_stems_with_many_endings(spark):
+    """Each form of a stem is too rare to be a feature; their common beginning is one."""
+    import random
+
+    from logtide.llm import toxicity
+
+    dice = random.Random(12)
+    word = lambda n: "".join(dice.choice("abdegiklmnoprstu") for _ in range(n))
+    plain = [word(dice.randrange(2, 8)) for _ in range(400)]
+    rows = [(i, " ".join([*dice.choices(plain, k=30), *(["Lowei" + word(4)] if i % 10 == 0 else [])]), int(i % 10 == 0)) for i in range(2000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] < 1200], "doc_id long, toxic int")
+    got = toxicity.score(docs, *toxicity.train(docs.where("doc_id < 1200"), labels, members=1)).where("doc_id >= 1200").collect()
+    found = {r.doc_id for r in got if r.score >= 0.5}
+    assert len([i for i in found if i % 10 == 0]) >= 76 and not [i for i in found if i % 10]
+    assert toxicity._with_beginnings("Abcdef abcd, x") == "Abcdef abcd, x Abcd\ue000 Abcde\ue000" and toxicity._with_beginnings(None) is None
