@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.costs import LOG_RATIO, LOG_STORAGE, STANDARD, gib
 from ..functions.layout import data_key, date_of, drain_name
 from ..functions.times import format_bytes
-from ..session import scratch
+from ..session import scratch, settled
 from ..sources import archive
 from ..sources import manifests as manifest_source
-from .folds import rotate
+from .folds import hot, rotate
 from .windows import LAG_MS, with_grid, with_window
 
 WINDOW = ["window_start_ms", "window_end_ms"]
@@ -103,8 +103,10 @@ def due(groups: DataFrame, now_ms: int, width: int, start_ms: int | None = None)
 
 def write_windows(records: DataFrame, path: str, name: Column, order: list[str], size: Column, target: int, run: str) -> None:
     """Cut the records of each window to objects of about ``target`` bytes, in ``order``, and write them under their names (of column ``seq``) as those of ``run``."""
-    cut = rotate(records.withColumn("_size", size.cast("long")), [*KEYS, *WINDOW], order, "_size", target)
-    archive.write_objects(cut.withColumn("object", name), f"{path}/data", run)
+    sized, folder = records.withColumn("_size", size.cast("long")), [*KEYS, date_of(F.col("window_start_ms"))]
+    near = None if hot(sized, folder) else folder
+    cut = rotate(sized, [*KEYS, *WINDOW], order, "_size", target, near=near)
+    archive.write_objects(cut.withColumn("object", name), f"{path}/data", run, together=near is not None)
 
 
 def _empty(windows: DataFrame) -> DataFrame:
@@ -141,6 +143,7 @@ def run(
     todo = pending(windows, known)
     if dry_run:
         return window_summary(todo, records, width)
+    todo = settled(todo, "pending")
     if todo.isEmpty():
         return manifest_source.none(windows.sparkSession)
     rows, own = with_window(records, width).join(todo, [*KEYS, *WINDOW], "left_semi"), uuid.uuid4().hex

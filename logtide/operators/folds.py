@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch
@@ -172,12 +172,14 @@ STATE = "_chunk long, _key long, number long, count long, had long, first long"
 SUMMARY_NAMES, STATE_NAMES = ([x.split()[0] for x in schema.split(", ")] for schema in (SUMMARY, STATE))
 
 
-def _hot(records: DataFrame, keys: list[str], chunk: int) -> bool:
+def hot(records: DataFrame, keys: list[str | Column], chunk: int = CHUNK) -> bool:
     """Whether some key has more rows than one task should take."""
     return bool(records.groupBy(*keys).count().where(F.col("count") > chunk).limit(1).count())
 
 
-def _numbered(records: DataFrame, keys: list[str], order: list[str], columns: list[str], name: str, fold: Callable[[], Callable]) -> DataFrame:
+def _numbered(
+    records: DataFrame, keys: list[str], order: list[str], columns: list[str], name: str, fold: Callable[[], Callable], near: list[str | Column] | None = None
+) -> DataFrame:
     """``records`` with a number: ``fold()`` makes a function that takes whether a key begins and the ``columns`` of a part of that key, and gives the numbers."""
     kept = [c for c in records.columns if c != name]
     fields = {f.name: f.dataType.simpleString() for f in records.schema.fields}
@@ -196,12 +198,15 @@ def _numbered(records: DataFrame, keys: list[str], order: list[str], columns: li
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(np.concatenate(out), pa.int64())], [*kept, name])
 
     rows = records.select(*kept, F.xxhash64(*keys).alias("_fold_key"))
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return rows.repartition(*(near or keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
 
+def rotate(records: DataFrame, keys: list[str], order: list[str], size: str, target: int, chunk: int = CHUNK, near: list[str | Column] | None = None) -> DataFrame:
+    """Number the objects of each key (``seq``): add a record, then cut if the size has reached ``target``.
 
-def rotate(records: DataFrame, keys: list[str], order: list[str], size: str, target: int, chunk: int = CHUNK) -> DataFrame:
-    """Number the objects of each key (``seq``): add a record, then cut if the size has reached ``target``."""
-    if _hot(records, keys, chunk):
+    With ``near``, which the keys determine, rows that share it come out of one task, by key and in order; the caller knows that none is ``hot``.
+    """
+    if near is None and hot(records, keys, chunk):
         return spread(records, keys, order, Rotation(target, (size,)), "seq", chunk)
 
     def fold() -> Callable:
@@ -224,14 +229,14 @@ def rotate(records: DataFrame, keys: list[str], order: list[str], size: str, tar
 
         return number
 
-    return _numbered(records, keys, order, [size], "seq", fold)
+    return _numbered(records, keys, order, [size], "seq", fold, near)
 
 
 def batches(
     records: DataFrame, keys: list[str], order: list[str], cost: str, max_events: int = MAX_EVENTS, max_bytes: int = MAX_BYTES, max_span: int = MAX_SPAN_MS, chunk: int = CHUNK
 ) -> DataFrame:
     """Number the batches of each key (``batch``), whose order begins with the time: before a record, close a batch that it would overfill or overstretch."""
-    if _hot(records, keys, chunk):
+    if hot(records, keys, chunk):
         return spread(records, keys, order, Batching(max_events, max_bytes, max_span, (cost, "timestamp")), "batch", chunk)
 
     def fold() -> Callable:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.layout import reconcile_name
+from ..session import settled
 from ..sources import archive as archive_source
 from ..sources import manifests as manifest_source
 from . import drain
@@ -59,6 +60,10 @@ def _attempts(known: DataFrame) -> DataFrame:
 
 def append(late: DataFrame, known: DataFrame, path: str, target: int, size: Column, order: list[str], run: str) -> None:
     """Write late events (with their windows) to objects of the next attempt of their windows, as those of ``run``; no manifest names them yet."""
+    _append(settled(late, "late"), known, path, target, size, order, run)
+
+
+def _append(late: DataFrame, known: DataFrame, path: str, target: int, size: Column, order: list[str], run: str) -> None:
     numbered = late.join(_attempts(known), [*SCOPE, "window_start_ms"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(1).cast("long")))
     drain.write_windows(numbered, path, reconcile_name(F.col("window_start_ms"), F.col("attempt"), F.col("seq")), order, size, target, run)
 
@@ -72,16 +77,17 @@ def run(source: DataFrame, known: DataFrame, path: str, width: int, target: int,
     (account, log_group, window, source_events, archived_events, appended); a run with nothing late writes no object and no manifest.  An attempt beyond 99 is an error.
     """
     spark, keys, own = source.sparkSession, [*SCOPE, *drain.WINDOW], uuid.uuid4().hex
-    rows = with_window(source, width).join(drain.covered(known), keys, "left_semi")
-    touched = known.join(rows.select(*keys).distinct(), keys, "left_semi")
-    late = missing(rows, archive_source.read_named(spark, f"{path}/data", touched))
+    rows = with_window(source, width)
+    touched = settled(known.where("version = 1").join(rows.select(*keys).distinct(), keys, "left_semi"), "touched")
+    rows = rows.join(drain.covered(touched), keys, "left_semi")
+    late = settled(missing(rows, archive_source.read_named(spark, f"{path}/data", touched)), "late")
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("source_events")).join(late.groupBy(*keys).agg(F.count(F.lit(1)).alias("appended")), keys, "left").na.fill(0, ["appended"])
     outcome = counts.select(*keys, "source_events", (F.col("source_events") - F.col("appended")).alias("archived_events"), "appended")
     manifest_source.write_rows(outcome, f"{path}/outcome/{now_ms}")
     outcome = spark.read.schema(outcome.schema).parquet(f"{path}/outcome/{now_ms}")
     changed = outcome.where("appended > 0")
     if not changed.isEmpty():
-        append(late, touched, path, target, size, order, own)
+        _append(late, touched, path, target, size, order, own)
         made = drain.described(changed.select(*keys), path, size, own).select(*keys, F.col("objects").alias("_new"), F.col("record_count").alias("_more"))
         made = touched.join(made, keys).join(changed.select(*keys, F.col("appended").alias("_added")), keys)
         made = made.withColumns({

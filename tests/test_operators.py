@@ -436,3 +436,56 @@ def test_one_group_spreads_over_tasks(spark):
     plan = plan_of(got)
     assert "hashpartitioning(_chunk" in plan and "hashpartitioning(g#" not in plan and "SinglePartition" not in plan
     assert {r.timestamp: r.seq for r in got.collect()} == {i: i // 10 for i in range(4000)}
+
+
+LOGGED = "account string, log_group string, timestamp long, stream string, message string, ingestion_time long, event_id string"
+SEEN_ORDER = ["timestamp", "stream", "ingestion_time", "event_id", "message"]
+
+
+def counted(spark, column):
+    """A column as it is, and how many of its values were worked out."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def one(value):
+        seen.add(1)
+        return value
+
+    return F.udf(one, "string")(column), seen
+
+
+def test_late_events_are_worked_out_once(spark, tmp_path):
+    """Counts, objects and manifests of a reconciliation come from one comparison of source and archive."""
+    path, size, n = f"file://{tmp_path}", F.octet_length("message"), 40
+    source = spark.createDataFrame([("1", "/g", i * 10_000_000, "s", f"m{i}", None, f"e{i}") for i in range(n)], LOGGED)
+    grid = windows.with_window(source, DAY).select("account", "log_group", *drain.WINDOW).distinct()
+    drain.run(source.where("timestamp % 3 = 0"), grid, sources.none(spark), path, DAY, 5, size, SEEN_ORDER, 1)
+    known = sources.latest(sources.read(spark, f"{path}/manifest"))
+    message, seen = counted(spark, F.col("message"))
+    out = reconcile.run(source.withColumn("message", message), known, path, DAY, 5, size, SEEN_ORDER, 2)
+    assert out.agg(F.sum("source_events"), F.sum("appended")).first() == (n, n - source.where("timestamp % 3 = 0").count())
+    assert seen.value == n
+    after = sources.latest(sources.read(spark, f"{path}/manifest"))
+    assert archive.read_named(spark, f"{path}/data", after).select("event_id").distinct().count() == after.agg(F.sum("record_count")).first()[0] == n
+
+
+def test_pending_windows_are_worked_out_once(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "/g", i * 10_000_000, "s", f"m{i}", None, f"e{i}") for i in range(40)], LOGGED)
+    days = [("1", "/g", i * DAY, (i + 1) * DAY) for i in range(6)]
+    group, seen = counted(spark, F.col("log_group"))
+    grid = spark.createDataFrame(days, "account string, log_group string, window_start_ms long, window_end_ms long").withColumn("log_group", group)
+    made = drain.run(rows, grid, sources.none(spark), f"file://{tmp_path}", DAY, 5, F.octet_length("message"), SEEN_ORDER, 1)
+    assert made.count() == len(days) and seen.value == len(days)
+
+
+def test_objects_of_a_folder_stay_together(spark, tmp_path, monkeypatch):
+    """Windows of a day are cut and packed by one task, without ordering them by range; a hot day is dealt out, with the same objects."""
+    rows = spark.createDataFrame([("1", f"/g{i % 3}", i * 1_000_000, "s", f"m{i}", None, f"e{i}") for i in range(400)], LOGGED)
+    own = windows.with_window(rows, H)
+    name = lambda: F.format_string("%d-%06d", "window_start_ms", "seq")
+    drain.write_windows(own, f"file://{tmp_path}/a", name(), SEEN_ORDER, F.octet_length("message"), 7, "r")
+    monkeypatch.setattr(drain, "hot", lambda *_: True)
+    drain.write_windows(own, f"file://{tmp_path}/b", name(), SEEN_ORDER, F.octet_length("message"), 7, "r")
+    contents = [{tuple(r) for r in archive.decoded(archive.read_objects(spark, f"file://{tmp_path}/{x}/data"), F.octet_length("message")).collect()} for x in "ab"]
+    assert contents[0] == contents[1] and sum(r[5] for r in contents[0]) == 400
+    folders = {f.parent for f in (tmp_path / "a").rglob("*.parquet")}
+    assert len(folders) == len(list((tmp_path / "a").rglob("*.parquet"))) == 15
