@@ -18,21 +18,24 @@ CONTENT = ["timestamp", "stream", "message"]
 SCOPE = ["account", "log_group"]
 
 
-def marked(source: DataFrame, archive: DataFrame) -> DataFrame:
-    """``source`` with ``archived``.
+def identities(archive: DataFrame) -> DataFrame:
+    """What ``archive`` knows events by, as a table in the shared folder, so that its objects are opened once: scope and id, or content where a record has no id (else null)."""
+    return settled(archive.select(*SCOPE, "event_id", *[F.when(F.col("event_id").isNull(), F.col(c)).alias(c) for c in CONTENT]), "identities")
 
-    An event with an id is there if the id is, or if an archived record without id has its content; one without id is there if
-    such a record has its content.
-    """
-    by_id = archive.where("event_id is not null").select(*SCOPE, "event_id").distinct().withColumn("_by_id", F.lit(True))
-    by_content = archive.where("event_id is null").select(*SCOPE, *CONTENT).distinct().withColumn("_by_content", F.lit(True))
-    joined = source.join(by_id, [*SCOPE, "event_id"], "left").join(by_content, [*SCOPE, *CONTENT], "left")
-    return joined.select(*source.columns, (F.col("_by_id").isNotNull() | F.col("_by_content").isNotNull()).alias("archived"))
+
+def _identities(archive: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ids and contents, to be merged: an archive has as many as events, and what it takes on disk, packed, would have Spark send them through the driver to every executor."""
+    by_id = archive.where("event_id is not null").select(*SCOPE, "event_id")
+    return by_id.hint("merge"), archive.where("event_id is null").select(*SCOPE, *CONTENT).hint("merge")
 
 
 def missing(source: DataFrame, archive: DataFrame) -> DataFrame:
-    """Events of ``source`` to append; of several of one identity the first (by ``arrival``, or by time of ingestion)."""
-    late = marked(source, archive).where("not archived")
+    """Events of ``source`` to append; of several of one identity the first (by ``arrival``, or by time of ingestion).
+
+    An event with an id is in the archive if the id is, or if an archived record without id has its content; one without id if such a record has its content.
+    """
+    by_id, by_content = _identities(archive)
+    late = source.join(by_id, [*SCOPE, "event_id"], "left_anti").join(by_content, [*SCOPE, *CONTENT], "left_anti").select(source.columns)
     # Rows with and without id never share an identity; id rows leave the content out of theirs.
     own = [F.when(F.col("event_id").isNull(), F.col(c)) for c in CONTENT]
     order = [c for c in ("arrival", "ingestion_time", *CONTENT) if c in source.columns]
@@ -41,8 +44,10 @@ def missing(source: DataFrame, archive: DataFrame) -> DataFrame:
 
 
 def archived(source: DataFrame, archive: DataFrame) -> DataFrame:
-    """Events of ``source`` that the archive has."""
-    return marked(source, archive).where("archived").select(source.columns)
+    """Events of ``source`` that the archive has, by the rule of ``missing``."""
+    by_id, by_content = (x.distinct().withColumn(name, F.lit(True)).hint("merge") for x, name in zip(_identities(archive), ("_by_id", "_by_content"), strict=True))
+    joined = source.join(by_id, [*SCOPE, "event_id"], "left").join(by_content, [*SCOPE, *CONTENT], "left")
+    return joined.where(F.col("_by_id").isNotNull() | F.col("_by_content").isNotNull()).select(source.columns)
 
 
 def next_attempt(names: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,7 +85,8 @@ def run(source: DataFrame, known: DataFrame, path: str, width: int, target: int,
     rows = with_window(source, width)
     touched = settled(known.where("version = 1").join(rows.select(*keys).distinct(), keys, "left_semi"), "touched")
     rows = rows.join(drain.covered(touched), keys, "left_semi")
-    late = settled(missing(rows, archive_source.read_named(spark, f"{path}/data", touched)), "late")
+    there = identities(archive_source.read_named(spark, f"{path}/data", touched))
+    late = settled(missing(rows, there), "late")
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("source_events")).join(late.groupBy(*keys).agg(F.count(F.lit(1)).alias("appended")), keys, "left").na.fill(0, ["appended"])
     outcome = counts.select(*keys, "source_events", (F.col("source_events") - F.col("appended")).alias("archived_events"), "appended")
     manifest_source.write_rows(outcome, f"{path}/outcome/{now_ms}")

@@ -468,6 +468,36 @@ def test_late_events_are_worked_out_once(spark, tmp_path):
     assert archive.read_named(spark, f"{path}/data", after).select("event_id").distinct().count() == after.agg(F.sum("record_count")).first()[0] == n
 
 
+def test_identities_are_not_broadcast(spark):
+    """An archive has as many identities as events, however small it is on disk."""
+    fields = ["'1' AS account", "'/g' AS log_group", "id AS timestamp", "'s' AS stream", "'m' || id AS message", "CASE WHEN id % 3 > 0 THEN 'e' || id END AS event_id"]
+    source = spark.range(9).selectExpr(*fields)
+    there = source.where("timestamp < 6").withColumn("event_id", F.when(F.col("timestamp") % 2 == 0, F.col("event_id")))
+    for rows, want in ((reconcile.missing(source, there), [6, 7, 8]), (reconcile.archived(source, there), [0, 1, 2, 3, 4, 5])):
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.timestamp for r in rows.collect()) == want
+
+
+def test_objects_are_opened_once_for_late_events(spark, tmp_path, monkeypatch):
+    path, size = f"file://{tmp_path}", F.octet_length("message")
+    source = spark.createDataFrame([("1", "/g", i * 1_000_000, "s", f"m{i}", None, f"e{i}" if i % 3 else None) for i in range(40)], LOGGED)
+    kept = source.where("timestamp % 7 <> 0")
+    grid = windows.with_window(source, DAY).select("account", "log_group", *drain.WINDOW).distinct()
+    drain.run(kept, grid, sources.none(spark), path, DAY, 5, size, SEEN_ORDER, 1)
+    opened, real = [], archive.read_named
+
+    def read_named(*args):
+        rows = real(*args)
+        stream, seen = counted(spark, F.col("stream"))
+        opened.append(seen)
+        return rows.withColumn("event_id", F.when(stream.isNotNull(), F.col("event_id")))
+
+    monkeypatch.setattr(archive, "read_named", read_named)
+    out = reconcile.run(source, sources.latest(sources.read(spark, f"{path}/manifest")), path, DAY, 5, size, SEEN_ORDER, 2)
+    assert out.agg(F.sum("appended")).first()[0] == 40 - kept.count()
+    assert [seen.value for seen in opened] == [kept.count()]
+
+
 def test_pending_windows_are_worked_out_once(spark, tmp_path):
     rows = spark.createDataFrame([("1", "/g", i * 10_000_000, "s", f"m{i}", None, f"e{i}") for i in range(40)], LOGGED)
     days = [("1", "/g", i * DAY, (i + 1) * DAY) for i in range(6)]
