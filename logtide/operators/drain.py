@@ -120,8 +120,7 @@ def described(windows: DataFrame, path: str, size: Column, run: str) -> DataFram
     if first is None:
         return _empty(windows.limit(0))
     days = spark.range(1).select(date_of(F.lit(first).cast("long")), date_of(F.lit(last - 1).cast("long"))).first()
-    read = archive.decoded(archive.read_run(spark, f"{path}/data", run, tuple(days)), size)
-    objects = read.join(archive.listing(spark, f"{path}/data", tuple(days)).where(F.col("run") == run), archive.OBJECT_KEYS)
+    objects = archive.decoded(archive.read_run(spark, f"{path}/data", run, tuple(days)), size)  # one listing of the folders and one reading tell all
     key = data_key(F.lit(""), F.col("account"), F.col("log_group"), F.col("dt"), F.col("object"))
     start = F.regexp_extract("object", r"^(-?\d+)-", 1).cast("long")
     objects = objects.select(

@@ -498,6 +498,26 @@ def test_objects_are_opened_once_for_late_events(spark, tmp_path, monkeypatch):
     assert [seen.value for seen in opened] == [kept.count()]
 
 
+def test_folders_are_listed_once_for_manifests(spark, tmp_path, monkeypatch):
+    """Bytes of objects, some of several members, come with their records; a listing of the folders tells the same."""
+    path, size, calls, real = f"file://{tmp_path}", F.octet_length("message"), [], archive._packs
+    rows = spark.createDataFrame([("1", "/g", i * 10_000_000, "s", f"m{i:02}", None, f"e{i}") for i in range(40)], LOGGED)
+    grid = windows.with_window(rows, DAY).select("account", "log_group", *drain.WINDOW).distinct()
+    monkeypatch.setattr(archive, "_packs", lambda *args: calls.append(args) or real(*args))
+    batch, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(batch, "2")
+    try:
+        made = drain.run(rows, grid, sources.none(spark), path, DAY, 15, size, SEEN_ORDER, 1)
+    finally:
+        spark.conf.set(batch, before)
+    assert len(calls) == 1
+    told = {(r.dt, r.object, r.run): (r.told_records, r.told_bytes) for r in archive.named(made).collect()}
+    packs = real(spark, f"{path}/data", None)
+    assert packs.count() > len(told) == archive.listing(spark, f"{path}/data").count()
+    assert sum(n for n, _ in told.values()) == 40
+    assert {k: b for k, (_, b) in told.items()} == {(r.dt, r.object, r.run): r.bytes for r in archive.listing(spark, f"{path}/data").collect()}
+
+
 def test_pending_windows_are_worked_out_once(spark, tmp_path):
     rows = spark.createDataFrame([("1", "/g", i * 10_000_000, "s", f"m{i}", None, f"e{i}") for i in range(40)], LOGGED)
     days = [("1", "/g", i * DAY, (i + 1) * DAY) for i in range(6)]
